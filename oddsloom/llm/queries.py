@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsloom.llm.asof import nearest_recordings
+from oddsloom.llm.names import link_names, linked_pairs
 from oddsloom.sources.tables import table
 
 
@@ -35,9 +36,19 @@ SELECT bet_id, anchor, history_id FROM near WHERE n = 1
 """
 
 
+def name_links(spark: SparkSession, d: str) -> DataFrame:
+    odds = table(spark, d, "odds")
+    names = odds.select("sport", F.explode(F.array("home", "away")).alias("name")).unionByName(table(spark, d, "unmatched_events").select("sport", F.col("best_pin_home").alias("name")))
+    return link_names(names.withColumnRenamed("sport", "domain"), people=["tennis"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_pairs(name_links(spark, d)).withColumnRenamed("domain", "sport")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+    return {"p4_found": p4_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_FOUND}
+    return {"p4_found": p4_found, "p5_found": P5_FOUND}
