@@ -8,23 +8,21 @@ centres alike (a name without its second word, say) is left alone."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.llm.minhash import Bands, bands_for, grams
 from oddsloom.llm.nametext import monge_elkan, parse
 from oddsloom.plans.materialize import table as stored
 
-Q = 3
 #: Words in more than this share of the keys of a domain (and at least COMMON_LEAST of them) are common. So at most
 #: words-per-key / COMMON_SHARE words of a domain are common, which bounds what is broadcast.
 COMMON_SHARE = 0.004
 COMMON_LEAST = 40
 #: Bands are tuned to find pairs of this q-gram similarity with this probability.
-TUNE_AT, RECALL, MOST_HASHES = 0.4, 0.97, 256
+TUNE_AT, RECALL = 0.4, 0.97
 #: Buckets with more keys than this are spread over several tasks.
 HOT = 300
 LIKE = 0.8
@@ -32,22 +30,6 @@ LIKE = 0.8
 MARGIN = 0.04
 
 
-def bands_for(at: float = TUNE_AT, recall: float = RECALL, most: int = MOST_HASHES, background: float = 0.05) -> tuple[int, int]:
-    """(bands, rows a band): the collision curve 1-(1-s^r)^b reaches `recall` at s = `at` and is least at the background's similarity."""
-    best = None
-    for r in range(1, 9):
-        b = int(np.ceil(np.log(1 - recall) / np.log(1 - at**r)))
-        if b * r <= most:
-            noise = 1 - (1 - background**r) ** b
-            best = min(best or (2.0, 0, 0), (noise, b, r))
-    return best[1], best[2]
-
-
-def grams(words: list[str]) -> set[int]:
-    pad = "#" * (Q - 1)
-    return {zlib.crc32((p := f"{pad}{w}{pad}")[i : i + Q].encode()) for w in words for i in range(len(w) + Q - 1)}
-
-
 def keyed(names: DataFrame, people: list[str]) -> DataFrame:
     """Adds side (mark) and key to (domain, name)."""
 
@@ -59,13 +41,20 @@ def keyed(names: DataFrame, people: list[str]) -> DataFrame:
     return names.mapInPandas(run, "domain string, name string, n long, side string, key string").where("key <> ''")
 
 
+def common_words(keys: DataFrame) -> dict[str, frozenset]:
+    """The common words of each domain, by the distinct keys (domain, key) that hold them."""
+    sizes = keys.groupBy("domain").agg(F.count("*").alias("size"))
+    words = keys.select("domain", F.explode(F.array_distinct(F.split("key", " "))).alias("w")).groupBy("domain", "w").count().join(sizes, "domain")
+    frequent = words.where((F.col("count") > COMMON_SHARE * F.col("size")) & (F.col("count") > COMMON_LEAST)).select("domain", "w").collect()
+    common: dict[str, frozenset] = {}
+    for r in frequent:
+        common[r["domain"]] = common.get(r["domain"], frozenset()) | {r["w"]}
+    return common
+
+
 def candidates(keys: DataFrame, common: dict[str, frozenset]) -> DataFrame:
     """Pairs a < b of keys of one domain and side that share a band."""
-    n_bands, n_rows = bands_for()
-    rng = np.random.default_rng(7)
-    mul = (rng.integers(1, 2**31 - 1, n_bands * n_rows).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-    add = rng.integers(0, 2**31 - 1, n_bands * n_rows).astype(np.uint64)
-    weights = rng.integers(1, 2**62, n_rows).astype(np.uint64) | np.uint64(1)
+    bands = Bands(*bands_for(TUNE_AT, RECALL))
     shared = keys.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -74,11 +63,8 @@ def candidates(keys: DataFrame, common: dict[str, frozenset]) -> DataFrame:
             for d, s, k in zip(b["domain"], b["side"], b["key"]):
                 words = k.split(" ")
                 usual = shared.value.get(d, frozenset())
-                g = grams([w for w in words if w not in usual and len(w) > 1] or words)
-                h = np.fromiter(g, dtype=np.uint64, count=len(g))
-                low = ((h[:, None] * mul + add) >> np.uint64(7) & np.uint64(0xFFFFFFFF)).min(axis=0).reshape(n_bands, n_rows)
-                band = (low * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
-                out.append(pd.DataFrame({"domain": d, "side": s, "key": k, "band": np.arange(n_bands), "h": band}))
+                h = bands(grams([w for w in words if w not in usual and len(w) > 1] or words))
+                out.append(pd.DataFrame({"domain": d, "side": s, "key": k, "band": np.arange(len(h)), "h": h}))
             if out:
                 yield pd.concat(out)
 
@@ -139,13 +125,8 @@ def link_names(names: DataFrame, *, people: list[str]) -> DataFrame:
     used = names.where("domain IS NOT NULL AND name IS NOT NULL").groupBy("domain", "name").agg(F.count("*").alias("n"))
     full = stored(keyed(used, people))
     keys = full.groupBy("domain", "side", "key").agg(F.sum("n").alias("n"))
-    sizes = keys.groupBy("domain").agg(F.count("*").alias("size"))
-    words = keys.select("domain", F.explode(F.array_distinct(F.split("key", " "))).alias("w")).groupBy("domain", "w").count().join(sizes, "domain")
-    frequent = words.where((F.col("count") > COMMON_SHARE * F.col("size")) & (F.col("count") > COMMON_LEAST)).select("domain", "w").collect()
-    common: dict[str, frozenset] = {}
-    for r in frequent:
-        common[r["domain"]] = common.get(r["domain"], frozenset()) | {r["w"]}
     longer = lambda least: F.size(F.filter(F.split("key", " "), lambda w: F.length(w) >= least))
+    common = common_words(keys)
     keys = stored(keys)
     edges = stored(verified(candidates(keys, common), common))
     v = ["domain", "side", "key"]

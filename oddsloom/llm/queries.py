@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsloom.llm.asof import nearest_recordings
+from oddsloom.llm.matching import match
 from oddsloom.llm.names import link_names, linked_pairs
 from oddsloom.sources.tables import table
 
@@ -46,8 +47,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_pairs(name_links(spark, d)).withColumnRenamed("domain", "sport")
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All candidate pairs of book_events with their confidence."""
+    events = table(spark, d, "book_events").withColumnsRenamed({"event_id": "id", "book": "source", "sport": "domain"})
+    return match(events, people=["tennis"]).withColumnsRenamed({"id_a": "event_id_a", "id_b": "event_id_b"})
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs(spark, d).where("confidence >= 0.5").select("event_id_a", "event_id_b")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
