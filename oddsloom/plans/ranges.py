@@ -36,3 +36,51 @@ def per_shard(sharded: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame | Non
                 yield out
 
     return sharded.mapInPandas(run, schema)
+
+
+def ranks(df: DataFrame, group: str, value: str, ident: str, *, rows: int | None = None) -> DataFrame:
+    """Exact ranks within groups, for groups of any size: adds lower (rows of the group with a smaller value), upto (rows with a
+    smaller or equal value) and total. group: one string column; value: double, neither null nor NaN; ident orders ties for the sort only.
+
+    Rows are range-sorted by group, value and ident, so a hot group or a hot value spans shards; each shard learns how many rows of
+    its first and last group, and of the values at its edges, lie in other shards (two rows a shard through the driver)."""
+    sorted_ = shards(df.select(group, value, ident), [group, value, ident], rows=rows)
+
+    def edge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for at in (0, -1):
+            own = pdf.loc[pdf[group] == pdf[group].iloc[at], value]
+            first, last = own.iloc[0], own.iloc[-1]
+            out.append((int(pdf["_pid"].iloc[0]), at, pdf[group].iloc[at], len(own), first, int((own == first).sum()), last, int((own == last).sum())))
+        return pd.DataFrame(out, columns=["pid", "at", "g", "n", "fv", "fn", "lv", "ln"])
+
+    meta = per_shard(sorted_, edge, "pid int, at int, g string, n long, fv double, fn long, lv double, ln long").toPandas()
+    firsts, lasts = ({r.pid: r for r in meta[meta["at"] == at].itertuples()} for at in (0, -1))
+    before: dict[int, tuple[int, int]] = {}
+    after: dict[int, tuple[int, int]] = {}
+    order = sorted(firsts)
+    for seq, near, far, told in ((order, firsts, lasts, before), (order[::-1], lasts, firsts, after)):
+        held = None  # group, rows, value at the edge, rows of that value
+        for i in seq:
+            a, b = near[i], far[i]
+            nv, nn, bv, bn = (a.fv, a.fn, b.lv, b.ln) if told is before else (a.lv, a.ln, b.fv, b.fn)
+            count, tie = (held[1], held[3] if held[2] == nv else 0) if held and held[0] == a.g else (0, 0)
+            told[i] = count, tie
+            if a.g == b.g:
+                held = b.g, count + b.n, bv, bn + (tie if a.fv == a.lv else 0)
+            else:
+                held = b.g, b.n, bv, bn
+    context = df.sparkSession.sparkContext.broadcast((before, after))
+
+    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
+        (b_n, b_tie), (a_n, a_tie) = (c[int(pdf["_pid"].iloc[0])] for c in context.value)
+        by = pdf.groupby(group, sort=False)
+        first, last = pdf[group] == pdf[group].iloc[0], pdf[group] == pdf[group].iloc[-1]
+        rank = by[value].rank(method="min").astype("int64") - 1
+        upto = by[value].rank(method="max").astype("int64")
+        total = by[value].transform("size").astype("int64")
+        head, tail = first & (pdf[value] == pdf[value].iloc[0]), last & (pdf[value] == pdf[value].iloc[-1])
+        return pdf.assign(lower=rank + b_n * first - b_tie * head, upto=upto + b_n * first + a_tie * tail, total=total + b_n * first + a_n * last).drop(columns="_pid")
+
+    kinds = dict(df.dtypes)
+    return per_shard(sorted_, ranked, f"{group} string, {value} double, {ident} {kinds[ident]}, lower long, upto long, total long")
