@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from oddsloom.llm.asof import nearest_recordings
 from oddsloom.llm.matching import match
 from oddsloom.llm.names import link_names, linked_pairs
+from oddsloom.llm.quality import not_prose, quality
 from oddsloom.sources.tables import table
 
 
@@ -57,8 +58,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pairs(spark, d).where("confidence >= 0.5").select("event_id_a", "event_id_b")
 
 
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and outlier score of every document."""
+    return quality(table(spark, d, "documents"), table(spark, d, "common_words"), ident="doc_id", text="text", lang="lang")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_prose(p9_statistics(spark, d)).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
