@@ -40,7 +40,7 @@ def per_shard(sharded: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame | Non
 
 def ranks(df: DataFrame, group: str, value: str, ident: str, *, rows: int | None = None) -> DataFrame:
     """Exact ranks within groups, for groups of any size: adds lower (rows of the group with a smaller value), upto (rows with a
-    smaller or equal value) and total. group: one string column; value: double, neither null nor NaN; ident orders ties for the sort only.
+    smaller or equal value), nth (its place, from 0, by value and ident) and total. group: one string column; value: double, neither null nor NaN; ident orders ties for the sort only.
 
     Rows are range-sorted by group, value and ident, so a hot group or a hot value spans shards; each shard learns how many rows of
     its first and last group, and of the values at its edges, lie in other shards (two rows a shard through the driver)."""
@@ -79,8 +79,9 @@ def ranks(df: DataFrame, group: str, value: str, ident: str, *, rows: int | None
         rank = by[value].rank(method="min").astype("int64") - 1
         upto = by[value].rank(method="max").astype("int64")
         total = by[value].transform("size").astype("int64")
+        nth = by.cumcount().astype("int64") + b_n * first
         head, tail = first & (pdf[value] == pdf[value].iloc[0]), last & (pdf[value] == pdf[value].iloc[-1])
-        return pdf.assign(lower=rank + b_n * first - b_tie * head, upto=upto + b_n * first + a_tie * tail, total=total + b_n * first + a_n * last).drop(columns="_pid")
+        return pdf.assign(lower=rank + b_n * first - b_tie * head, upto=upto + b_n * first + a_tie * tail, nth=nth, total=total + b_n * first + a_n * last).drop(columns="_pid")
 
     kinds = dict(df.dtypes)
-    return per_shard(sorted_, ranked, f"{group} string, {value} double, {ident} {kinds[ident]}, lower long, upto long, total long")
+    return per_shard(sorted_, ranked, f"{group} string, {value} double, {ident} {kinds[ident]}, lower long, upto long, nth long, total long")
