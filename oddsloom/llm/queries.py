@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from oddsloom.llm.asof import nearest_recordings
 from oddsloom.llm.matching import match
+from oddsloom.llm.mixing import mixture, share_report
 from oddsloom.llm.names import link_names, linked_pairs
+from oddsloom.llm.packing import fill_report, pack
 from oddsloom.llm.quality import not_prose, quality
+from oddsloom.llm.tokens import with_tokens
 from oddsloom.sources.tables import table
 
 
@@ -58,6 +61,25 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pairs(spark, d).where("confidence >= 0.5").select("event_id_a", "event_id_b")
 
 
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one of over 2,048 tokens, with its container."""
+    return pack(with_tokens(table(spark, d, "documents"), ident="doc_id", text="text"), ident="doc_id", size="n_tokens")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p7_packing(spark, d))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture with their numbers of copies."""
+    documents = with_tokens(table(spark, d, "documents"), ident="doc_id", text="text", keep=["source", "text"])
+    return mixture(documents, table(spark, d, "mix_targets"), ident="doc_id", text="text", source="source", tokens="n_tokens")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return share_report(p8_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Statistics and outlier score of every document."""
     return quality(table(spark, d, "documents"), table(spark, d, "common_words"), ident="doc_id", text="text", lang="lang")
@@ -68,7 +90,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
