@@ -1,0 +1,230 @@
+"""Queries on one event's markets, posted sheets and positions, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from oddsloom.operators import consistency as co
+from oddsloom.operators import identities as idn
+from oddsloom.operators import ledger as le
+from oddsloom.queries_board import _BOARD, _SIDES, _board, _shin, _v
+from oddsloom.sources.tables import table
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _flags(df):
+    return df.withColumn("severity", F.round("severity", 4))
+
+
+_S = f"board AS ({_BOARD}), s AS (SELECT * FROM ({_SIDES.replace('FROM odds', 'FROM board')}) WHERE submarket IS NULL)"
+
+
+def _cross(market: str, side: str, other: str, name: str) -> str:
+    return f"""{name}_r AS (SELECT source, sport, event, period, line, arg_min({_shin(side, other)}, odds_id) AS p FROM s WHERE market_type = '{market}' AND line IS NOT NULL AND {side} IS NOT NULL AND {other} IS NOT NULL GROUP BY ALL),
+{name}_w AS (SELECT *, lead(line) OVER w AS l2, lead(p) OVER w AS p2 FROM {name}_r WINDOW w AS (PARTITION BY source, sport, event, period ORDER BY line)),
+{name} AS (SELECT source, sport, event, period, arg_min(CASE WHEN p = 0.5 THEN line ELSE line + (0.5 - p) * (l2 - line) / (p2 - p) END, line) AS {name} FROM {name}_w WHERE p = 0.5 OR (p - 0.5) * (p2 - 0.5) < 0 GROUP BY ALL)"""
+
+
+_VIEW = f"""{_S}, ml2 AS (SELECT source, sport, event, period, arg_min({_shin('h', 'a')}, odds_id) AS ml2 FROM s WHERE market_type = 'moneyline' AND NOT three_way AND h IS NOT NULL AND a IS NOT NULL GROUP BY ALL),
+pick AS (SELECT source, sport, event, period, arg_min({_shin('h', 'a')}, odds_id) AS pick FROM s WHERE market_type = 'spread' AND line = 0 AND h IS NOT NULL AND a IS NOT NULL GROUP BY ALL),
+{_cross('spread', 'h', 'a', 'spread_center')}, {_cross('total', 'o', 'u', 'total_center')},
+v AS (SELECT * FROM ml2 FULL JOIN pick USING (source, sport, event, period) FULL JOIN spread_center USING (source, sport, event, period) FULL JOIN total_center USING (source, sport, event, period)),
+f AS (SELECT v.*, x.ml2 AS f2 FROM v JOIN v x ON v.source = x.source AND v.sport = x.sport AND v.event = x.event AND x.period = 'FT' WHERE v.period <> 'FT')"""
+
+
+@_query(f"WITH {_VIEW} SELECT source, sport, event, period, round(ml2, 6) AS ml2, round(pick, 6) AS pick, round(spread_center, 5) AS spread_center, round(total_center, 5) AS total_center FROM v")
+def period_view(spark, d):
+    v = co.period_view(_board(spark, d).where("NOT (market_type = 'moneyline' AND map_contains_key(selections, 'draw'))"))
+    return v.select("source", "sport", "event", "period", *[F.round(c, n).alias(c) for c, n in (("ml2", 6), ("pick", 6), ("spread_center", 5), ("total_center", 5))])
+
+
+@_query(f"WITH {_VIEW} SELECT source, sport, event, 'ml_vs_spread' AS kind, period AS periods, round(abs(ml2 - pick)*100, 4) AS severity FROM v WHERE abs(ml2 - pick)*100 >= 5")
+def ml_vs_spread(spark, d):
+    return _flags(co.moneyline_against_spread(co.period_view(_board(spark, d))))
+
+
+@_query(f"WITH {_VIEW} SELECT source, sport, event, 'favourite_flip' AS kind, 'FT/' || period AS periods, round(abs(f2 - ml2)*100, 4) AS severity FROM f WHERE (f2 - 0.5)*(ml2 - 0.5) < 0 AND abs(f2 - 0.5) >= 0.06 AND abs(ml2 - 0.5) >= 0.06")
+def favourite_flip(spark, d):
+    return _flags(co.favourite_flip(co.period_view(_board(spark, d))))
+
+
+@_query(f"WITH {_VIEW} SELECT source, sport, event, 'quarter_extreme' AS kind, period AS periods, round((abs(ml2 - 0.5) - abs(f2 - 0.5))*100, 4) AS severity FROM f WHERE period LIKE 'Q%' AND (abs(ml2 - 0.5) - abs(f2 - 0.5))*100 >= 6")
+def quarter_extreme(spark, d):
+    return _flags(co.quarter_extreme(co.period_view(_board(spark, d))))
+
+
+def _sum_sql() -> str:
+    rows = []
+    for whole, sums in co.SUMS.items():
+        for parts in sums:
+            gap = f"abs({' + '.join(parts)} - {whole})"
+            rows.append(f"SELECT source, sport, event, 'total_additivity' AS kind, '{whole}={'+'.join(parts)}' AS periods, round({gap}, 4) AS severity FROM w WHERE {gap} >= 5")
+    wide = ", ".join(f"max(CASE WHEN period = '{p}' THEN total_center END) AS {p}" for p in ("FT", "H1", "H2", "Q1", "Q2", "Q3", "Q4"))
+    return f"WITH {_VIEW}, w AS (SELECT source, sport, event, {wide} FROM v GROUP BY ALL) " + " UNION ALL ".join(rows)
+
+
+@_query(_sum_sql())
+def total_additivity(spark, d):
+    return _flags(co.total_additivity(co.period_view(_board(spark, d))))
+
+
+@_query()
+def consistency_flags(spark, d):
+    return _flags(co.consistency_flags(_board(spark, d)))
+
+
+@_query(f"""WITH {_S}, h1 AS (SELECT source, sport, event, arg_min({{'h': h, 'a': a}}, odds_id) AS h1 FROM s WHERE market_type = 'moneyline' AND period = 'H1' AND three_way GROUP BY ALL), ft AS (SELECT source, sport, event, arg_min({{'h': h, 'a': a}}, odds_id) AS ft FROM s WHERE market_type = 'moneyline' AND period = 'FT' AND three_way GROUP BY ALL),
+c AS (SELECT source, sport, event, arg_min(selections, odds_id) AS c FROM s WHERE market_type = 'htft' GROUP BY ALL),
+r AS (SELECT source, sport, event, '1/1' AS outcome, {_v("c['1/1']")} AS posted, h1.h AS h, ft.h AS f FROM c JOIN h1 USING (source, sport, event) JOIN ft USING (source, sport, event) UNION ALL SELECT source, sport, event, '2/2', {_v("c['2/2']")}, h1.a, ft.a FROM c JOIN h1 USING (source, sport, event) JOIN ft USING (source, sport, event)),
+k AS (SELECT *, (greatest(h, f)/posted - 1)*100 AS short, (posted/greatest(h*(1 + (f - 1)/2), h, f) - 1)*100 AS long FROM r WHERE h IS NOT NULL AND f IS NOT NULL AND posted IS NOT NULL)
+SELECT source, sport, event, 'half_full_combo' AS kind, outcome AS periods, round(CASE WHEN short >= 2 THEN short ELSE long END, 4) AS severity FROM k WHERE short >= 2 OR long >= 2""")
+def half_full_combo(spark, d):
+    return _flags(co.half_full_combos(_board(spark, d)))
+
+
+@_query(f"""WITH {_S}, p AS (SELECT *, (1/h)/(1/h + 1/a) AS p FROM s WHERE market_type = 'moneyline'), m2 AS (SELECT source, sport, event, arg_min(p, odds_id) AS m2 FROM p WHERE p IS NOT NULL AND period = 'FT' AND NOT three_way GROUP BY ALL), m3 AS (SELECT source, sport, event, arg_min(p, odds_id) AS m3 FROM p WHERE p IS NOT NULL AND period = 'FT' AND three_way GROUP BY ALL),
+ht AS (SELECT source, sport, event, arg_min(p, odds_id) AS ht FROM p WHERE p IS NOT NULL AND period = 'H1' GROUP BY ALL), c0 AS (SELECT source, sport, event, arg_min(selections, odds_id) AS c FROM s WHERE market_type = 'htft' GROUP BY ALL),
+c1 AS (SELECT source, sport, event, {' + '.join(f"coalesce(1/{_v(f'c[$${k}$$]')}, 0)" for k in ('1/1', 'X/1', '2/1'))} AS x, {' + '.join(f"coalesce(1/{_v(f'c[$${k}$$]')}, 0)" for k in ('1/2', 'X/2', '2/2'))} AS y FROM c0), c AS (SELECT source, sport, event, CASE WHEN x > 0 AND y > 0 THEN x/(x + y) END AS cp FROM c1),
+j AS (SELECT *, list_filter([m2, m3, ht, cp], lambda z: z IS NOT NULL) AS l FROM m2 FULL JOIN m3 USING (source, sport, event) FULL JOIN ht USING (source, sport, event) FULL JOIN c USING (source, sport, event)), k AS (SELECT *, list_min(l) AS lo, list_max(l) AS hi FROM j WHERE len(l) >= 2)
+SELECT source, sport, event, 'favourite_disagreement' AS kind, 'all' AS periods, round((hi - lo)*100, 4) AS severity FROM k WHERE lo < 0.5 AND hi > 0.5 OR (hi - lo)*100 >= 10""")
+def favourite_disagreement(spark, d):
+    return _flags(co.favourite_disagreement(_board(spark, d)))
+
+
+_T = "regexp_replace(printf('%.2f', abs(line)), '\\.?0+$', '')"
+_PL, _AW = f"(CASE WHEN line < 0 THEN '-' ELSE '' END || {_T})", f"(CASE WHEN line > 0 THEN '-' ELSE '' END || {_T})"
+_SHEET = f"""{_S}, b AS (SELECT * FROM s WHERE sport = 'soccer' AND team_side IS NULL), rows AS (
+SELECT source, event, odds_id, CASE period WHEN 'FT' THEN 'ft_1x2:' WHEN 'H1' THEN 'ht_1x2:' END || x AS key, CASE x WHEN '1' THEN h WHEN 'X' THEN d ELSE a END AS posted FROM b, (VALUES ('1'), ('X'), ('2')) t(x) WHERE market_type = 'moneyline' AND three_way
+UNION ALL SELECT source, event, odds_id, 'ft_total:over_' || {_PL}, o FROM b WHERE market_type = 'total' AND period = 'FT' UNION ALL SELECT source, event, odds_id, 'ft_total:under_' || {_PL}, u FROM b WHERE market_type = 'total' AND period = 'FT'
+UNION ALL SELECT source, event, odds_id, 'ah:home_' || {_PL}, h FROM b WHERE market_type = 'spread' AND period = 'FT' UNION ALL SELECT source, event, odds_id, 'ah:away_' || {_AW}, a FROM b WHERE market_type = 'spread' AND period = 'FT'
+UNION ALL SELECT source, event, odds_id, 'htft:' || e.key, {_v('e.value')} FROM (SELECT *, unnest(map_entries(selections)) AS e FROM b WHERE market_type = 'htft' AND period = 'FT')),
+sheet AS (SELECT source, event, key, arg_min(posted, odds_id) AS posted FROM rows WHERE key IS NOT NULL AND posted IS NOT NULL GROUP BY ALL)"""
+
+
+@_query(f"WITH {_SHEET} SELECT * FROM sheet")
+def posted_sheet(spark, d):
+    return idn.posted_sheet(_board(spark, d))
+
+
+_PARTS = ", ".join(f"('{n}', '{w}', '{p}', {len(ps)})" for n, w, ps in idn.PARTITIONS for p in ps)
+
+
+@_query(f"""WITH {_SHEET}, dim(name, whole, key, size) AS (VALUES {_PARTS}), g AS (SELECT source, event, name, whole, size, count(*) AS n, sum(1/posted) AS total, arg_max(key, (posted, key)) AS suspect FROM sheet JOIN dim USING (key) GROUP BY ALL HAVING count(*) = size)
+SELECT g.source, g.event, name, g.whole, round((1/s.posted - total)*100, 4) AS excess, suspect FROM g JOIN sheet s ON s.source = g.source AND s.event = g.event AND s.key = g.whole WHERE (1/s.posted - total)*100 > 0.5""")
+def identities_partition(spark, d):
+    return idn.partitions(idn.posted_sheet(_board(spark, d))).withColumn("excess", F.round("excess", 4))
+
+
+_EQ = ", ".join(f"('{a}', '{b}')" for a, b in idn.EQUIVALENCES)
+
+
+@_query(f"""WITH {_SHEET}, dim(key, other) AS (VALUES {_EQ}) SELECT a.source, a.event, a.key, b.key AS other, round(abs(1/a.posted - 1/b.posted)*100, 4) AS gap, CASE WHEN a.posted > b.posted THEN a.key ELSE b.key END AS back
+FROM sheet a JOIN dim USING (key) JOIN sheet b ON a.source = b.source AND a.event = b.event AND b.key = dim.other WHERE abs(1/a.posted - 1/b.posted)*100 > 0.5""")
+def identities_equivalence(spark, d):
+    return idn.equivalences(idn.posted_sheet(_board(spark, d))).withColumn("gap", F.round("gap", 4))
+
+
+_QU = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in idn.QUARTERS)
+
+
+@_query(f"""WITH {_SHEET}, dim(key, lo, hi) AS (VALUES {_QU}) SELECT a.source, a.event, a.key, round(abs(1/a.posted - (1/b.posted + 1/c.posted)/2)*100, 4) AS gap FROM sheet a JOIN dim USING (key)
+JOIN sheet b ON a.source = b.source AND a.event = b.event AND b.key = dim.lo JOIN sheet c ON a.source = c.source AND a.event = c.event AND c.key = dim.hi WHERE abs(1/a.posted - (1/b.posted + 1/c.posted)/2)*100 > 0.5""")
+def identities_quarter_lines(spark, d):
+    return idn.quarter_lines(idn.posted_sheet(_board(spark, d))).withColumn("gap", F.round("gap", 4))
+
+
+_CO = ", ".join(f"('{a}', '{b}')" for a, b in idn.COVERS)
+
+
+@_query(f"""WITH {_SHEET}, dim(key, other) AS (VALUES {_CO}) SELECT a.source, a.event, a.key, b.key AS other, round((1/(1/a.posted + 1/b.posted) - 1)*100, 4) AS gain FROM sheet a JOIN dim USING (key) JOIN sheet b ON a.source = b.source AND a.event = b.event AND b.key = dim.other WHERE (1/(1/a.posted + 1/b.posted) - 1)*100 > 0""")
+def identities_arbs(spark, d):
+    return idn.covers(idn.posted_sheet(_board(spark, d))).withColumn("gain", F.round("gain", 4))
+
+
+@_query("SELECT bet_id, status, round(CASE status WHEN 'won' THEN stake*odds_taken WHEN 'lost' THEN 0 WHEN 'pushed' THEN stake WHEN 'push' THEN stake WHEN 'void' THEN stake WHEN 'cashout' THEN payout WHEN 'cashed_out' THEN payout END, 4) AS due FROM bets")
+def settle_payout(spark, d):
+    b = table(spark, d, "bets")
+    return b.select("bet_id", "status", F.round(le.payout(F.col("status"), F.col("stake"), F.col("odds_taken"), F.col("payout")), 4).alias("due"))
+
+
+@_query("""SELECT coalesce(account_id, 0) AS account_id, count(*) AS bets, round(coalesce(sum(CASE WHEN status = 'open' THEN stake END), 0), 2) AS open_stake, round(coalesce(sum(CASE WHEN status <> 'open' AND payout IS NOT NULL AND status NOT IN ('pushed', 'push', 'void') THEN stake END), 0), 2) AS turnover,
+round(coalesce(sum(CASE WHEN status <> 'open' AND payout IS NOT NULL THEN payout - stake END), 0), 2) AS gain FROM bets GROUP BY ALL""")
+def capital_accounts(spark, d):
+    return le.by_account(table(spark, d, "bets")).select(F.coalesce("account_id", F.lit(0)).alias("account_id"), "bets", *[F.round(c, 2).alias(c) for c in ("open_stake", "turnover", "gain")])
+
+
+@_query("""WITH g AS (SELECT coalesce(account_id, 0) AS account_id, date_trunc('day', settled_at)::TIMESTAMP AS day, count(*) AS bets, sum(payout - stake) AS gain FROM bets WHERE status <> 'open' AND settled_at IS NOT NULL AND payout IS NOT NULL AND stake IS NOT NULL GROUP BY ALL)
+SELECT account_id, day, bets, round(gain, 2) AS gain, round(sum(gain) OVER (PARTITION BY account_id ORDER BY day ROWS UNBOUNDED PRECEDING), 2) AS balance FROM g""")
+def pnl_curve(spark, d):
+    g = le.deltas(table(spark, d, "bets")).groupBy(F.coalesce("account_id", F.lit(0)).alias("account_id"), F.to_date("settled_at").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("bets"), F.sum("gain").alias("gain"))
+    return le.running_curve(g, "gain", ["day"]).withColumns({"gain": F.round("gain", 2), "balance": F.round("balance", 2)})
+
+
+@_query("WITH a AS (SELECT book, max(account_id) AS t FROM bets WHERE account_id IS NOT NULL GROUP BY ALL) SELECT bet_id, coalesce(account_id, a.t) AS account FROM bets LEFT JOIN a USING (book)")
+def bet_attribution(spark, d):
+    b = table(spark, d, "bets")
+    return le.attribute(b, b.where("account_id IS NOT NULL").select("book", "account_id").distinct()).select("bet_id", "account")
+
+
+@_query("""WITH j AS (SELECT b.bet_id, h.pin_fair_decimal AS f, row_number() OVER (PARTITION BY b.bet_id ORDER BY h.recorded_at, h.history_id) AS n FROM bets b JOIN bet_odds_history h ON h.bet_id = b.bet_id AND h.recorded_at >= b.start_time WHERE h.pin_fair_decimal IS NOT NULL)
+SELECT bet_id, f AS closing FROM j WHERE n = 1""")
+def closing_fair(spark, d):
+    return le.closing_price(table(spark, d, "bet_odds_history"), table(spark, d, "bets"), "pin_fair_decimal")
+
+
+@_query("""SELECT bet_id, recorded_at, history_id, cb_decimal, pin_fair_decimal FROM (SELECT *, row_number() OVER (PARTITION BY bet_id, recorded_at ORDER BY history_id) AS n FROM bet_odds_history
+WHERE bet_id IS NOT NULL AND recorded_at IS NOT NULL AND (cb_decimal IS NOT NULL OR pin_fair_decimal IS NOT NULL)) WHERE n = 1""")
+def history_snapshots(spark, d):
+    return le.snapshots(table(spark, d, "bet_odds_history"))
+
+
+@_query("SELECT bet_id, round((pin_fair_at_placement/pin_fair_closing - 1)*100, 5) AS clv, round((odds_taken/pin_fair_at_placement - 1)*100, 5) AS edge FROM bets WHERE pin_fair_closing > 0 AND pin_fair_at_placement > 0")
+def closing_line_value(spark, d):
+    b = table(spark, d, "bets").where("pin_fair_closing > 0 AND pin_fair_at_placement > 0")
+    return b.select("bet_id", F.round((F.col("pin_fair_at_placement") / F.col("pin_fair_closing") - 1) * 100, 5).alias("clv"), F.round((F.col("odds_taken") / F.col("pin_fair_at_placement") - 1) * 100, 5).alias("edge"))
+
+
+@_query("""WITH m AS (SELECT event_id, book, source_event_id, home FROM book_events WHERE book = 'apex'), a AS (SELECT unmatched_id, best_pin_home AS home, 'x' AS source_event_id FROM unmatched_events)
+SELECT DISTINCT a.unmatched_id AS asked, m.event_id, m.book, m.source_event_id, m.home FROM m JOIN a ON m.home = a.home OR m.source_event_id = a.source_event_id""")
+def marks_by_either_key(spark, d):
+    m = table(spark, d, "book_events").where("book = 'apex'").select("event_id", "book", "source_event_id", "home")
+    a = table(spark, d, "unmatched_events").select("unmatched_id", F.col("best_pin_home").alias("home"), F.lit("x").alias("source_event_id"))
+    return le.either_key(m, a, ("home", "source_event_id"), "unmatched_id")
+
+
+@_query("SELECT book, count(*) AS rows, count(DISTINCT sport) AS sports, max(last_seen) AS freshest FROM book_events GROUP BY ALL")
+def book_status(spark, d):
+    return table(spark, d, "book_events").groupBy("book").agg(F.count("*").alias("rows"), F.countDistinct("sport").alias("sports"), F.max("last_seen").alias("freshest"))
+
+
+@_query("""SELECT e.event_id, e.book, e.home, e.away, count(m.market_id) AS markets, sum((m.line IS NOT NULL)::INT)::BIGINT AS lined FROM book_events e LEFT JOIN markets m USING (event_id) GROUP BY ALL""")
+def matches_view(spark, d):
+    e, m = table(spark, d, "book_events"), table(spark, d, "markets")
+    by = m.groupBy("event_id").agg(F.count("market_id").alias("markets"), F.sum(F.col("line").isNotNull().cast("long")).alias("lined"))
+    return e.join(by, "event_id", "left").select("event_id", "book", "home", "away", F.coalesce("markets", F.lit(0)).alias("markets"), F.coalesce("lined", F.lit(0)).alias("lined"))
+
+
+@_query("SELECT bet_id, placed_at, book, odds_taken, stake, round(coalesce(payout - stake, 0), 2) AS pnl FROM bets WHERE placed_at >= TIMESTAMP '2025-10-01' AND placed_at < TIMESTAMP '2026-04-01'")
+def bets_export(spark, d):
+    b = table(spark, d, "bets").where((F.col("placed_at") >= F.lit("2025-10-01").cast("timestamp_ntz")) & (F.col("placed_at") < F.lit("2026-04-01").cast("timestamp_ntz")))
+    return b.select("bet_id", "placed_at", "book", "odds_taken", "stake", F.round(F.coalesce(F.col("payout") - F.col("stake"), F.lit(0.0)), 2).alias("pnl"))
