@@ -73,7 +73,7 @@ def handicap(m: np.ndarray, line: float) -> np.ndarray:
     return win / np.maximum(win + lose, 1e-300)
 
 
-def fit_rates(p_home: np.ndarray, p_draw: np.ndarray, line: np.ndarray | None = None, p_over: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_rates(p_home: np.ndarray, p_draw: np.ndarray, line: np.ndarray | None = None, p_over: np.ndarray | None = None, rho: float = LOW_SCORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Goal rates of all events at once by damped Newton steps in log rates, and the residual. Anchors: chance of home and, where a
     total is given, of over; else of the draw."""
     n = len(p_home)
@@ -82,7 +82,7 @@ def fit_rates(p_home: np.ndarray, p_draw: np.ndarray, line: np.ndarray | None =
     lines = np.zeros(n) if line is None else np.nan_to_num(line)
 
     def residual(x: np.ndarray) -> np.ndarray:
-        m = score_matrices(np.exp(x[:, 0]), np.exp(x[:, 1]))
+        m = score_matrices(np.exp(x[:, 0]), np.exp(x[:, 1]), rho=rho)
         r = results(m)
         i, j = _grid(GOALS)
         second = np.where(total, (m * ((i + j)[None] > lines[:, None, None])).sum((1, 2)) - (0 if p_over is None else np.nan_to_num(p_over)), r[:, 1] - p_draw)
@@ -113,10 +113,10 @@ def _text(x: float) -> str:
     return f"{x + 0.0:g}" if x else "0"
 
 
-def price_sheet(home: np.ndarray, away: np.ndarray, share: float = FIRST_HALF) -> dict[str, np.ndarray]:
+def price_sheet(home: np.ndarray, away: np.ndarray, share: float = FIRST_HALF, rho: float = LOW_SCORE) -> dict[str, np.ndarray]:
     """Chance of every key of the sheet, for all events at once."""
-    ft = score_matrices(home, away)
-    h1, h2 = score_matrices(home * share, away * share), score_matrices(home * (1 - share), away * (1 - share))
+    ft = score_matrices(home, away, rho=rho)
+    h1, h2 = score_matrices(home * share, away * share, rho=rho), score_matrices(home * (1 - share), away * (1 - share), rho=rho)
     i, j = _grid(GOALS)
     s: dict[str, np.ndarray] = {}
     part = lambda mask: ft[:, mask].sum(1)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddsloom.functions.odds import valid
+from oddsloom.functions import text as tx
 from oddsloom.operators import consistency as co
+from oddsloom.operators import fixtures as fx
 from oddsloom.operators import identities as idn
 from oddsloom.operators import models as mo
 from oddsloom.operators.board import with_sides
 from oddsloom.queries_board import _board
 from oddsloom.sources.tables import table
+from oddsloom.streaming import quotes as sq
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -83,3 +86,58 @@ def ladder_curves(spark, d):
 @_query()
 def cross_fit(spark, d):
     return mo.cross_fit(_ladders(spark, d), goal_rates(spark, d), EVENT)
+
+
+def _fixtures(spark, d, cond):
+    e = table(spark, d, "book_events").where(cond)
+    return e.select(F.col("event_id").alias("id"), "sport", "home", "away", "league", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', start_time)").alias("start"))
+
+
+@_query()
+def event_match(spark, d):
+    """Fixtures of one source matched one-to-one with the reference's."""
+    return fx.match_fixtures(_fixtures(spark, d, "book = 'birch'"), _fixtures(spark, d, "book = 'apex'"))[0]
+
+
+@_query()
+def event_match_rejects(spark, d):
+    return fx.match_fixtures(_fixtures(spark, d, "book = 'birch'"), _fixtures(spark, d, "book = 'apex'"))[1]
+
+
+@_query("""SELECT event_id, regexp_matches(home, '\\b[uU][- ]?(1[6-9]|2[0-3])\\b') AS youth, regexp_matches(coalesce(league, ''), '(?i)(\\b(women|womens|woman|ladies|female|feminine|feminin|femminile|frauen|damen|dames|femenino|femenina|mujeres|senhoras)\\b|\\(w\\))') AS women,
+regexp_matches(home, '(?i)\\s(w|wom)\\.?\\s*$') AND regexp_matches(away, '(?i)\\s(w|wom)\\.?\\s*$') AS women_pair FROM book_events""")
+def name_guards(spark, d):
+    e = table(spark, d, "book_events")
+    return e.select("event_id", tx.youth(F.col("home")).alias("youth"), tx.women(F.col("league")).alias("women"), tx.women_suffix_pair(F.col("home"), F.col("away")).alias("women_pair"))
+
+
+@_query("SELECT unmatched_id, " + " OR ".join(f"contains(lower(coalesce(cb_league, '')), '{w}')" for w in tx.SIMULATED) + " AS simulated FROM unmatched_events")
+def simulated_leagues(spark, d):
+    return table(spark, d, "unmatched_events").select("unmatched_id", tx.simulated(F.col("cb_league")).alias("simulated"))
+
+
+_ASCII = "home IS NOT NULL AND regexp_full_match(home, '[ -~]*')"
+
+
+@_query(f"""WITH n AS (SELECT DISTINCT home FROM odds WHERE sport <> 'tennis' AND {_ASCII}), w AS (SELECT home, list_filter(string_split_regex(trim(regexp_replace(lower(home), '[^a-z0-9 ]', ' ', 'g')), ' +'), lambda t: t <> '' AND NOT list_contains([{', '.join(repr(x) for x in sorted(tx.DROPPED))}], t)) AS l FROM n)
+SELECT home, array_to_string(l, ' ') AS norm FROM w""")
+def normalized_names(spark, d):
+    n = table(spark, d, "odds").where("sport <> 'tennis' AND home IS NOT NULL").where(F.col("home").rlike("^[ -~]*$")).select("home").distinct()
+    return n.withColumn("norm", tx.normal_team("home"))
+
+
+@_query("""SELECT tick_id, market_id, selection, odds FROM (SELECT *, lag(odds) OVER w AS p, row_number() OVER w AS n FROM ticks WINDOW w AS (PARTITION BY market_id, selection ORDER BY ts, tick_id)) WHERE n = 1 OR odds IS DISTINCT FROM p""")
+def stream_change_ticks(spark, d):
+    """The change-only history by a stream with keyed state."""
+    ticks = sq.read_table(spark, d, "ticks", 1_000_000)
+    out = sq.start(sq.change_only(ticks, ["market_id", "selection"], at="ts", value="odds", ident="tick_id"))
+    return out.select("tick_id", "market_id", "selection", "odds")
+
+
+@_query("""WITH g AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, market_id, count(*) AS n, round(avg(odds), 6) AS mean, min(odds) AS lo, max(odds) AS hi FROM ticks WHERE odds > 1 AND isfinite(odds) GROUP BY ALL)
+SELECT start, market_id, n, mean, lo, hi FROM g WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks WHERE odds > 1 AND isfinite(odds)) - INTERVAL 2 HOUR""")
+def stream_tumbling_windows(spark, d):
+    """Hourly windows by a stream; those that the watermark has passed."""
+    ticks = sq.read_table(spark, d, "ticks", 1_000_000).where("odds > 1 AND NOT isnan(odds) AND odds < double('infinity')")
+    out = sq.start(sq.tumbling(ticks, ["market_id"], at="ts", value="odds", width="1 hour", late="2 hours"))
+    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "mean": F.round("mean", 6)})
