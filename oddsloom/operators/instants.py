@@ -84,8 +84,12 @@ def with_instants(df: DataFrame, *, text: str, zone: str, day_first: str) -> Dat
     'skipped' (wall times), or null with a null utc_ms where the text names no instant: null, empty, a placeholder, not a
     date, a time alone, a date alone, or wall time without a known zone. day_first says how all-digit dates that do not begin with the year are
     written (null: month first). Fractions beyond milliseconds are cut. Two-digit years are of this century.
+    Columns named utc_ms or time_status are replaced.
     A count is seconds, milli-, micro-, nanoseconds since 1970 or 100 ns since year 1 by its size; below 1e8 it is a placeholder."""
-    t = F.trim(F.regexp_replace(F.col(text), "[\\s\u00a0\u202f]+", " "))
+    # the row is set aside, so that none of its names can clash with those used here
+    kept = [c for c in df.columns if c not in ("utc_ms", "time_status")]
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(text).alias("_text"), F.col(zone).alias("_zone"), F.col(day_first).cast("boolean").alias("_first"))
+    t = F.trim(F.regexp_replace(F.col("_text"), "[\\s\u00a0\u202f]+", " "))
     canon = F.lit(None).cast("string")
     for pattern, order in reversed(PATTERNS):
         canon = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, order)).otherwise(canon)
@@ -98,7 +102,7 @@ def with_instants(df: DataFrame, *, text: str, zone: str, day_first: str) -> Dat
     ).cast("long")
     c = lambda i: F.get(F.col("_c"), F.lit(i))
     two = c(9) == "two"
-    first = F.coalesce(F.col(day_first), F.lit(False))
+    first = F.coalesce(F.col("_first"), F.lit(False))
     named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(c(1), 1, 3))).cast("int")
     year = F.when(two, _try_int(c(2)) + F.when(F.length(c(2)) == 2, 2000).otherwise(0)).otherwise(_try_int(c(0)))
     month = F.when(two, F.when(first, _try_int(c(1))).otherwise(_try_int(c(0)))).when(named > 0, named).otherwise(_try_int(c(1)))
@@ -116,7 +120,7 @@ def with_instants(df: DataFrame, *, text: str, zone: str, day_first: str) -> Dat
     df = df.withColumns({"_y": year, "_mo": month, "_d": day, "_h": hour, "_mi": _try_int(c(4)), "_s": second.cast("decimal(8,6)"), "_ms": millis, "_off": F.coalesce(minutes, F.try_element_at(names, z)), "_named": F.coalesce(F.length(z) > 0, F.lit(False)), "_year": year, "_epoch": epoch})
     df = df.withColumn("_l", local)
     # the table is bounded by the number of zones and years
-    df = df.join(F.broadcast(zone_table(df, zone)), [zone, "_year"], "left")
+    df = df.join(F.broadcast(zone_table(df, "_zone")), ["_zone", "_year"], "left")
     holding = F.filter("_spans", lambda s: (s["s"] <= F.col("_l")) & (F.col("_l") < s["e"]))
     earlier = F.filter("_spans", lambda s: s["e"] <= F.col("_l"))
     wall = F.when(F.size(holding) >= 1, F.array_max(F.transform(holding, lambda s: s["o"]))).when(F.size(earlier) >= 1, F.element_at(F.array_sort(earlier, lambda a, b: (a["e"] - b["e"]).cast("int")), -1)["o"])
@@ -125,5 +129,4 @@ def with_instants(df: DataFrame, *, text: str, zone: str, day_first: str) -> Dat
     floating = ~F.col("_named") & F.col("_wall").isNotNull() & F.col("_l").isNotNull()
     utc = F.coalesce(F.col("_epoch"), F.when(zoned, (F.col("_l") - F.col("_off") * 60) * 1000 + F.col("_ms")), F.when(floating, (F.col("_l") - F.col("_wall")) * 1000 + F.col("_ms")))
     status = F.when(F.col("_epoch").isNotNull(), "epoch").when(zoned, "zoned").when(floating, F.when(F.col("_hits") == 1, "unique").when(F.col("_hits") > 1, "ambiguous").otherwise("skipped"))
-    df = df.withColumns({"utc_ms": utc, "time_status": status})
-    return df.drop("_c", "_n", "_y", "_mo", "_d", "_h", "_mi", "_s", "_ms", "_off", "_named", "_year", "_epoch", "_l", "_wall", "_hits", "_spans")
+    return df.select("_row.*", utc.alias("utc_ms"), status.alias("time_status"))

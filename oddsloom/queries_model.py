@@ -11,7 +11,10 @@ from oddsloom.operators import fixtures as fx
 from oddsloom.operators import identities as idn
 from oddsloom.operators import models as mo
 from oddsloom.operators.board import with_sides
+from oddsloom.operators.shredding import flat
 from oddsloom.queries_board import _board
+from oddsloom.queries_core import payload_tables
+from oddsloom.sources import sinks
 from oddsloom.sources.tables import table
 from oddsloom.streaming import quotes as sq
 
@@ -141,3 +144,23 @@ def stream_tumbling_windows(spark, d):
     ticks = sq.read_table(spark, d, "ticks", 1_000_000).where("odds > 1 AND NOT isnan(odds) AND odds < double('infinity')")
     out = sq.start(sq.tumbling(ticks, ["market_id"], at="ts", value="odds", width="1 hour", late="2 hours"))
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "mean": F.round("mean", 6)})
+
+
+@_query()
+def payload_outcomes(spark, d):
+    """Outcomes of the board feed with their game: one flat table out of the payloads."""
+    rows = payload_tables(spark, d)
+    o = flat(rows, "basketball_board", "$.data.eventGames.outcomes", ["outcomeId", "outcomeName", "outcomeOdds"])
+    return o.select("payload_id", F.col("parent_key").alias("game_id"), F.col("outcomeId").alias("outcome_id"), F.col("outcomeName").alias("name"), F.col("outcomeOdds").try_cast("double").alias("price"))
+
+
+@_query()
+def payload_prices(spark, d):
+    """Prices of the grouped feed with their event and group."""
+    p = flat(payload_tables(spark, d), "gamezip_bball_matched", "$.Value.GE.E.[]", ["T", "P", "C"])
+    return p.select("payload_id", F.col("parent_key").alias("event_group"), F.col("T").try_cast("int").alias("kind"), F.col("P").try_cast("double").alias("line"), F.col("C").try_cast("double").alias("price"))
+
+
+@_query("""SELECT source AS book, sport, coalesce(raw_event_id, concat_ws('|', home, away)) AS source_event_id, concat_ws('_', submarket, market_type) AS market_type, period, line, team_side, e.key AS selection, e.value AS odds FROM (SELECT *, unnest(map_entries(selections)) AS e FROM odds)""")
+def tick_rows(spark, d):
+    return sinks.tick_rows(table(spark, d, "odds")).select("book", "sport", "source_event_id", "market_type", "period", "line", "team_side", "selection", "odds")
