@@ -40,7 +40,7 @@ def reference_odds(raw_matchups: DataFrame, raw_markets: DataFrame, sport: str,
     k = k.withColumns({"period": period, "selections": F.map_from_entries(F.transform("prices", lambda p: F.struct(p["designation"], price(p)))), "line": F.when(F.col("type") == "moneyline", F.lit(None).cast("double")).otherwise(F.coalesce(F.get(F.filter("prices", lambda p: p["designation"] == "home"), F.lit(0))["points"], F.col("prices")[0]["points"]))})
     k = k.withColumn("max_stake", F.array_max(F.transform(F.filter("limits", lambda x: x["type"] == "maxRiskStake"), lambda x: x["amount"])))
     j = k.where("period IS NOT NULL").join(children.withColumnRenamed("id", "matchupId").withColumnRenamed("units", "child_units"), "matchupId", "left").withColumn("id", F.coalesce("parentId", "matchupId")).join(parents, "id")
-    j = j.where("NOT (units = 'sets' AND type IN ('spread', 'total') AND coalesce(child_units, '') <> 'games')")
+    j = j.where("NOT (coalesce(units, '') = 'sets' AND type IN ('spread', 'total') AND coalesce(child_units, '') <> 'games')")
     return j.select(F.lit(sport).alias("sport"), "home", "away", F.col("type").alias("market_type"), "period", "selections", "line", "start_time", "league", F.col("id").cast("string").alias("raw_event_id"), "submarket", F.col("side").alias("team_side"), "max_stake")
 
 
@@ -52,11 +52,11 @@ def list_view(rows: DataFrame, ident: str, body: str) -> DataFrame:
     price = lambda e: valid(e["bet"].try_cast("double"))
     by_name = lambda n: price(F.get(F.filter("l", lambda e: F.trim(e["name"]) == n), F.lit(0)))
     ml = x.select(ident, F.lit("moneyline").alias("market_type"), F.lit(None).cast("double").alias("line"), F.map_filter(F.create_map(F.lit("home"), by_name("1"), F.lit("draw"), by_name("X"), F.lit("away"), by_name("2")), lambda _, v: v.isNotNull()).alias("selections"))
-    e = x.select(ident, "l", F.posexplode("l").alias("i", "e")).where(F.col("e.handicap").isin("handicap", "total"))
-    side = lambda k: price(F.get(F.col("l"), F.col("i") + k))
-    total = F.col("e.handicap") == "total"
+    e = x.select(ident, "l", F.posexplode("l").alias("_at", "_item")).where(F.col("_item.handicap").isin("handicap", "total"))
+    side = lambda k: price(F.get(F.col("l"), F.col("_at") + k))
+    total = F.col("_item.handicap") == "total"
     names = lambda a, b: F.create_map(F.lit(a), side(-1), F.lit(b), side(1))
-    lined = e.where(side(-1).isNotNull() & side(1).isNotNull()).select(ident, F.when(total, "total").otherwise("spread").alias("market_type"), F.col("e.bet").try_cast("double").alias("line"), F.when(total, names("under", "over")).otherwise(names("home", "away")).alias("selections"))
+    lined = e.where(side(-1).isNotNull() & side(1).isNotNull()).select(ident, F.when(total, "total").otherwise("spread").alias("market_type"), F.col("_item.bet").try_cast("double").alias("line"), F.when(total, names("under", "over")).otherwise(names("home", "away")).alias("selections"))
     return ml.where("map_contains_key(selections, 'home') AND map_contains_key(selections, 'away')").unionByName(lined.where("line IS NOT NULL"))
 
 
