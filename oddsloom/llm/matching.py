@@ -123,7 +123,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             v, n, s = pools.pop()
             pools[-1] = [pools[-1][0] + v, pools[-1][1] + n, s]
-    return np.array([p[2] for p in pools]), np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools])
+    return np.array([p[2] for p in pools]), np.maximum.accumulate(np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools]))
 
 
 def match(records: DataFrame, *, people: list[str]) -> DataFrame:
