@@ -65,12 +65,13 @@ def fair_sides(df: DataFrame, selections: str) -> DataFrame:
     at = lambda k: valid(F.try_element_at(selections, F.lit(k)))
     h, d, a, o, u = (at(k) for k in ("home", "draw", "away", "over", "under"))
     three = shin_three_way(h, d, a)
-    pair = lambda x, y, p, q: F.create_map(F.lit(p), shin_two_way(x, y), F.lit(q), shin_two_way(y, x))
     ok = lambda *c: F.array_min(F.array(*[x.isNotNull() for x in c]))
     has_draw = F.map_contains_key(selections, F.lit("draw"))
+    two = lambda p, q, x, y: F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), x.alias("x"), y.alias("y"))
+    # the prices are bound to a name by the lambda, else the solver's formula would repeat their lookup dozens of times
+    pair = F.transform(F.array(F.when(ok(h, a), two("home", "away", h, a)).when(ok(o, u), two("over", "under", o, u))), lambda s: F.when(s.isNotNull(), F.create_map(s["p"], shin_two_way(s["x"], s["y"]), s["q"], shin_two_way(s["y"], s["x"]))))[0]
     return df.withColumn("_t", F.when(has_draw & ok(h, d, a), three)).withColumn(
-        "fair",
-        F.when(has_draw, F.when(F.col("_t").isNotNull(), F.create_map(F.lit("home"), F.col("_t")[0], F.lit("draw"), F.col("_t")[1], F.lit("away"), F.col("_t")[2]))).when(ok(h, a), pair(h, a, "home", "away")).when(ok(o, u), pair(o, u, "over", "under")),
+        "fair", F.when(has_draw, F.when(F.col("_t").isNotNull(), F.create_map(F.lit("home"), F.col("_t")[0], F.lit("draw"), F.col("_t")[1], F.lit("away"), F.col("_t")[2]))).otherwise(pair)
     ).drop("_t")
 
 

@@ -179,6 +179,11 @@ def price_sheet(home: np.ndarray, away: np.ndarray, share: float = FIRST_HALF, r
     return s
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Few bytes but much work a row: over all tasks, whatever their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def rates(anchors: DataFrame, key: list[str], method: str = "power") -> DataFrame:
     """Goal rates of events. anchors: key, h, d, a (prices), and line, o, u of the main total or nulls. Adds lh, la, residual; rows without
     three valid prices are left out."""
@@ -195,7 +200,7 @@ def rates(anchors: DataFrame, key: list[str], method: str = "power") -> DataFram
                 lh, la, residual = fit_rates(p[:, 0], p[:, 1], b["line"].to_numpy(float), np.where(b["line"].isna(), np.nan, main))
                 yield b[key].assign(lh=lh, la=la, residual=residual)
 
-    return anchors.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", lh double, la double, residual double")
+    return _spread(anchors).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", lh double, la double, residual double")
 
 
 def sheets(fitted: DataFrame, key: list[str]) -> DataFrame:
@@ -215,7 +220,7 @@ def sheets(fitted: DataFrame, key: list[str]) -> DataFrame:
             out["odds"] = 1 / np.maximum(out["prob"], 1e-12)
             yield out[[*key, "market", "prob", "odds", "robust_lo"]]
 
-    return fitted.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", market string, prob double, odds double, robust_lo double")
+    return _spread(fitted).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", market string, prob double, odds double, robust_lo double")
 
 
 def model_values(posted: DataFrame, sheet: DataFrame, key: list[str]) -> DataFrame:
