@@ -57,3 +57,10 @@ def either_key(marks: DataFrame, asked: DataFrame, keys: tuple[str, str], ident:
     one = marks.join(asked.select(F.col(ident).alias("asked"), F.col(a)), a).select("asked", *[c for c in marks.columns])
     two = marks.join(asked.select(F.col(ident).alias("asked"), F.col(b)), b).select("asked", *[c for c in marks.columns])
     return one.unionByName(two).distinct()
+
+
+def combined(legs: DataFrame, key: list[str]) -> DataFrame:
+    """By key: legs, combined (product of the prices of legs that are not returned, as the exponential of a sum, so it is added up before the
+    shuffle), won (all are) and lost (any is)."""
+    price = F.when(F.col("status").isin("pushed", "push", "void"), F.lit(1.0)).otherwise(F.col("odds_taken"))
+    return legs.groupBy(*key).agg(F.count("*").alias("legs"), F.exp(F.sum(F.ln(price))).alias("combined"), F.bool_and(F.col("status") == "won").alias("won"), F.bool_or(F.col("status") == "lost").alias("lost"))

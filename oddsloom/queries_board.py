@@ -425,3 +425,46 @@ def series_without_latest(spark, d):
 @_query("(SELECT home AS name FROM odds INTERSECT SELECT best_pin_home FROM unmatched_events)")
 def names_in_both(spark, d):
     return table(spark, d, "odds").select(F.col("home").alias("name")).intersect(table(spark, d, "unmatched_events").select("best_pin_home"))
+
+
+@_query(f"""WITH board AS ({_BOARD}), j AS (SELECT b.bet_id, q.odds_id, coalesce(abs(b.line - q.line), 0) AS gap, {_v('q.selections[b.side]')} AS now_odds FROM bets b JOIN board q ON q.source = b.book AND q.event = b.cb_event_id AND q.market_type IS NOT DISTINCT FROM b.market_type AND q.period IS NOT DISTINCT FROM b.period
+AND q.submarket IS NOT DISTINCT FROM b.submarket AND q.team_side IS NOT DISTINCT FROM b.team_side AND (q.line IS NULL) = (b.line IS NULL) AND coalesce(abs(b.line - q.line), 0) <= 0.01 + 1e-9)
+SELECT bet_id, odds_id, now_odds FROM (SELECT *, row_number() OVER (PARTITION BY bet_id ORDER BY gap, odds_id) AS n FROM j) WHERE n = 1""")
+def bet_quotes(spark, d):
+    """The board's present price of every bet: its own event, specification and nearest line."""
+    at = lambda source, event: F.concat_ws("|", source, event)
+    b = table(spark, d, "bets").where("book IS NOT NULL AND cb_event_id IS NOT NULL").select(F.col("bet_id").alias("odds_id"), F.lit("bet").alias("source"), at("book", "cb_event_id").alias("event"), *bo.SPEC, "line", "side")
+    q = _board(spark, d).withColumn("event", at("source", "event"))
+    j = bo.closest_line(b, q, b.select("source", "event", F.col("event").alias("ref_event")).distinct())
+    return j.select(F.col("odds_id").alias("bet_id"), F.col("ref_id").alias("odds_id"), fo.valid(F.try_element_at("ref_selections", F.col("side"))).alias("now_odds"))
+
+
+@_query(f"""WITH {_JOINED.split(', joined AS')[0]}, a AS ({_W1.replace('WITH board AS (' + _BOARD + '), ', 'WITH ')}), j AS (SELECT a.*, r.odds_id AS ref_id, {_v('r.selections[a.side]')} AS ref_price FROM a JOIN pairs p ON a.source = p.source AND a.event = p.event JOIN board r ON r.source = 'apex' AND r.event = p.ref_event
+AND r.market_type = a.market_type AND r.period IS NOT DISTINCT FROM a.period AND r.submarket IS NOT DISTINCT FROM a.submarket AND r.team_side IS NOT DISTINCT FROM a.team_side AND abs(r.line - a.inflated) <= 0.01 + 1e-9)
+SELECT source, event, market_type, period, side, inflated, min(ref_id) AS ref_id, round(max(pct), 5) AS pct FROM j WHERE ref_price IS NOT NULL GROUP BY ALL""")
+def anomaly_reference(spark, d):
+    """Ladder anomalies of matched events with the reference's row for the inflated line."""
+    board, pairs = _board(spark, d), _matched(spark, d)
+    a = bo.ladder_anomalies(board.join(pairs, ["source", "event"], "left_semi")).join(pairs, ["source", "event"])
+    ref = board.where(F.col("source") == REFERENCE).withColumnsRenamed({"event": "ref_event", "odds_id": "ref_id", "line": "ref_line"})
+    r = bo.long_quotes(ref, "ref_event", "ref_id", *bo.SPEC, "ref_line")
+    text = lambda df: df.withColumns({f"_{c}": F.coalesce(c, F.lit("~")) for c in bo.SPEC})
+    r = text(r).drop(*bo.SPEC).withColumn("_c", F.explode(F.array(*[F.round(F.col("ref_line") * 100).cast("long") + k for k in (-1, 0, 1)])))
+    j = text(a).withColumn("_c", F.round(F.col("inflated") * 100).cast("long")).join(r.drop("price"), ["ref_event", "side", "_c", *[f"_{c}" for c in bo.SPEC]]).where(F.abs(F.col("ref_line") - F.col("inflated")) <= bo.LINE_TOLERANCE + 1e-9)
+    return j.groupBy("source", "event", "market_type", "period", "side", "inflated").agg(F.min("ref_id").alias("ref_id"), F.round(F.max("pct"), 5).alias("pct"))
+
+
+@_query("SELECT source, sport, max(fetched_at) AS newest, count(*) AS rows, sum((fetched_at >= TIMESTAMP '2026-05-01')::INT)::BIGINT AS late_rows FROM odds GROUP BY ALL")
+def latest_cycle(spark, d):
+    o = table(spark, d, "odds")
+    return o.groupBy("source", "sport").agg(F.max("fetched_at").alias("newest"), F.count("*").alias("rows"), F.sum((F.col("fetched_at") >= F.lit("2026-05-01").cast("timestamp_ntz")).cast("long")).alias("late_rows"))
+
+
+@_query(f"""WITH {_GRID}, k AS (SELECT *, row_number() OVER (PARTITION BY sport ORDER BY price DESC, meeting, market_type, period, line NULLS FIRST, submarket NULLS FIRST, team_side NULLS FIRST, side) AS place FROM best WHERE sources >= 2)
+SELECT sport, place, meeting, market_type, period, line, side, source, price FROM k WHERE place <= 20""")
+def longest_prices(spark, d):
+    """The twenty longest prices of every sport that two sources quote: a top-k report."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("sport").orderBy(F.col("price").desc(), "meeting", "market_type", "period", "line", "submarket", "team_side", "side")
+    return _grid(spark, d).where("sources >= 2").withColumn("place", F.row_number().over(w)).where("place <= 20").select("sport", F.col("place").cast("long").alias("place"), "meeting", "market_type", "period", "line", "side", "source", "price")

@@ -228,3 +228,11 @@ def matches_view(spark, d):
 def bets_export(spark, d):
     b = table(spark, d, "bets").where((F.col("placed_at") >= F.lit("2025-10-01").cast("timestamp_ntz")) & (F.col("placed_at") < F.lit("2026-04-01").cast("timestamp_ntz")))
     return b.select("bet_id", "placed_at", "book", "odds_taken", "stake", F.round(F.coalesce(F.col("payout") - F.col("stake"), F.lit(0.0)), 2).alias("pnl"))
+
+
+@_query("""SELECT account_id, date_trunc('day', placed_at)::TIMESTAMP AS day, count(*) AS legs, round(product(CASE WHEN status IN ('pushed', 'push', 'void') THEN 1 ELSE odds_taken END), 4) AS combined, bool_and(status = 'won') AS won, bool_or(status = 'lost') AS lost
+FROM bets WHERE account_id IS NOT NULL AND odds_taken > 1 AND book = 'birch' GROUP BY ALL""")
+def combined_odds(spark, d):
+    """Bets of one account and day as legs: the product of their prices, returned ones left out."""
+    b = table(spark, d, "bets").where("account_id IS NOT NULL AND odds_taken > 1 AND book = 'birch'")
+    return le.combined(b.withColumn("day", F.to_date("placed_at").cast("timestamp_ntz")), ["account_id", "day"]).withColumn("combined", F.round("combined", 4))

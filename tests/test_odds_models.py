@@ -64,3 +64,11 @@ def test_a_planted_rung_is_off_the_curve(spark):
         rows.append(("b", "e", "ah", float(line), float(1 / p), float(1 / (1 - p))))
     got = mo.ladder_curves(spark.createDataFrame(rows, "source string, event string, kind string, line double, x double, y double"), ["source", "event"]).collect()
     assert 0.5 in {r.line for r in got} and max(got, key=lambda r: abs(r.points)).line == 0.5
+
+
+def test_functions_from_sql(spark):
+    from oddsloom.sql import register
+
+    assert "token_set_ratio" in register(spark)
+    row = spark.sql("SELECT token_set_ratio('real madrid', 'madrid real club') AS a, shin_three_way(8.9D, 6.15D, 1.18D) AS b, normal_team('FC Köln') AS c").first()
+    assert row.a == 100 and sum(row.b) == pytest.approx(1) and row.c == "koln"
