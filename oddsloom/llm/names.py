@@ -95,7 +95,7 @@ def stars(keys: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round, keys that outrank all their undecided neighbours become centres and their neighbours satellites; the rounds
     end when no undecided edge is left. A satellite that is linked to several centres goes to the likeliest; one that lacks
-    words and fits two of them alike within MARGIN is its own centre."""
+    words or has one as an initial, and fits two of them alike within MARGIN, is its own centre."""
     v = ["domain", "side"]
     both = edges.unionByName(edges.select(*v, F.col("b").alias("a"), F.col("a").alias("b"), "like", "short"))
     ranks = keys.select(*v, F.col("key"), "rank")
@@ -112,7 +112,8 @@ def stars(keys: DataFrame, edges: DataFrame) -> DataFrame:
     to = both.join(centres.withColumnRenamed("centre", "b"), [*v, "b"], "left_semi").join(centres.withColumnRenamed("centre", "a"), [*v, "a"], "left_anti")
     choice = to.groupBy(*v, "a").agg(F.array_sort(F.collect_list(F.struct((-F.col("like")).alias("l"), "short", "rb", "b")), lambda x, y: F.when(x["l"] + x["short"] * 0.02 < y["l"] + y["short"] * 0.02, -1).when(x["l"] + x["short"] * 0.02 > y["l"] + y["short"] * 0.02, 1).when(x["rb"] > y["rb"], -1).otherwise(1)).alias("c"))
     first, second = F.col("c")[0], F.try_element_at("c", F.lit(2))
-    alike = second.isNotNull() & (first["short"] > 0) & (second["short"] > 0) & (second["l"] - first["l"] < MARGIN)
+    vague = F.col("a").rlike("(^| )[^ ]( |$)") | ((first["short"] > 0) & (second["short"] > 0))
+    alike = second.isNotNull() & vague & (second["l"] - first["l"] < MARGIN)
     chosen = choice.select(*v, F.col("a").alias("key"), F.when(alike, F.col("a")).otherwise(first["b"]).alias("centre"))
     return keys.select(*v, "key").join(chosen, [*v, "key"], "left").withColumn("centre", F.coalesce("centre", "key"))
 
