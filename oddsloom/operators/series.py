@@ -47,6 +47,20 @@ def step_series(ticks: DataFrame, since: str) -> DataFrame:
     return inside.unionByName(seed)
 
 
+def sessions(ticks: DataFrame, hours: int, *, slice_hours: int = 24) -> DataFrame:
+    """market_id, start, last, n of each market's sessions: readings less than `hours` apart.
+
+    Sessions are first made within slices of time, so a hot market is spread over as many tasks as it has slices; the slices' sessions,
+    a few rows a market, are then merged where the gap between them is short. session_window joins a gap of its exact width, hence the
+    microsecond less."""
+    gap = F.expr(f"INTERVAL {hours} HOURS")
+    parts = ticks.withColumn("_slice", F.window("ts", f"{slice_hours} hours")["start"]).groupBy("market_id", "_slice", F.session_window("ts", f"{hours * 3_600_000_000 - 1} microseconds")).agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    w = Window.partitionBy("market_id").orderBy("start")
+    new = F.coalesce(F.col("start") >= F.lag("last").over(w) + gap, F.lit(True)).cast("long")
+    merged = parts.withColumn("_new", new).withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return merged.groupBy("market_id", "_k").agg(F.min("start").alias("start"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("_k")
+
+
 def steam_moves(points: DataFrame, key: list[str], *, fair: str = "fair", side: str = "side", ts: str = "ts", least: float = 0.02) -> DataFrame:
     """Rises of a side's fair probability by at least `least` since the market's anchor. The anchor moves only when a side fires,
     then for all sides of the market together; a plain lag would miss slow drift.
