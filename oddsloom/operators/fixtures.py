@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +17,34 @@ STRONG, MEDIUM, WINDOW, WINDOWS = 80.0, 65.0, 3600, {"tennis": 6 * 3600}
 LEAST_SIDE, CONTRADICTION, FLIP_MEAN, FLIP_BY, FLIP_SIDE = 50.0, 88.0, 85.0, 15.0, 70.0
 
 
+#: MinHash of unknown kickoffs: so many bands of two hashes find names of q-gram similarity 0.4 with probability 0.999.
+BANDS = 40
+_RNG = np.random.default_rng(7)
+_MUL = (_RNG.integers(1, 2**31 - 1, 2 * BANDS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = _RNG.integers(0, 2**31 - 1, 2 * BANDS).astype(np.uint64)
+_MIX = _RNG.integers(1, 2**62, (BANDS, 2)).astype(np.uint64) | np.uint64(1)
+
+
+def name_bands(norm: str) -> np.ndarray:
+    """64-bit hashes of the MinHash bands of a name's padded 3-grams by word, each with the number of its band in it."""
+    h = np.fromiter({zlib.crc32(f"##{w}##"[i : i + 3].encode()) for w in norm.split() for i in range(len(w) + 2)}, dtype=np.uint64)
+    low = ((h[:, None] * _MUL + _ADD) >> np.uint64(7) & np.uint64(0xFFFFFFFF)).min(axis=0).reshape(BANDS, 2)
+    return ((low * _MIX).sum(axis=1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def side_bands(fixtures: DataFrame, ident: str, home: str, away: str) -> DataFrame:
+    """(sport, ident, h): the bands of both sides' names, so that a join on h meets both orientations."""
+
+    def run(batches):
+        for b in batches:
+            out = [pd.DataFrame({"sport": s, ident: i, "h": name_bands(n)}) for s, i, x, y in zip(b["sport"], b[ident], b[home], b[away]) for n in {x, y} if n]
+            if out:
+                yield pd.concat(out)
+
+    kind = dict(fixtures.dtypes)[ident]
+    return fixtures.select("sport", ident, home, away).mapInPandas(run, f"sport string, {ident} {kind}, h long").distinct()
+
+
 def prepared(events: DataFrame) -> DataFrame:
     """id, sport, home, away, league, start (seconds or null) with normalised names and the marks of youth and women."""
     distinct = events.select("sport", F.explode(F.array("home", "away")).alias("name")).where("name IS NOT NULL").distinct()
@@ -25,23 +56,25 @@ def prepared(events: DataFrame) -> DataFrame:
     return out.withColumns({"w": w, "y_home": tx.youth(F.col("home")), "y_away": tx.youth(F.col("away"))})
 
 
-def scored_pairs(soft: DataFrame, ref: DataFrame) -> DataFrame:
+def scored_pairs(soft: DataFrame, ref: DataFrame, by: tuple = ()) -> DataFrame:
     """Pairs of one sport whose kickoffs are compatible, with mean, low (the weaker side), flipped, gap and the reject reason, or null
-    where the pair is acceptable.
+    where the pair is acceptable. by: further columns of soft that are kept.
 
     Kickoffs are bucketed by the sport's window; the reference side goes into its own and both neighbouring buckets. An unknown
-    kickoff is compatible with any: such pairs are joined on a word of the home sides, so no cross product arises; they need the
-    strong tier."""
+    kickoff is compatible with any: such pairs are joined on MinHash bands of either side's name with either side's, so no cross
+    product arises; they need the strong tier."""
     window = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WINDOWS.items() for x in kv]), F.col("sport")), F.lit(WINDOW))
     p, q = prepared(soft).withColumn("win", window), prepared(ref).withColumn("win", window)
     names = ["id", "home", "away", "n_home", "n_away", "start", "w", "y_home", "y_away"]
-    a = p.select("sport", "win", *[F.col(c).alias(f"a_{c}") for c in names])
+    a = p.select("sport", "win", *by, *[F.col(c).alias(f"a_{c}") for c in names])
     b = q.select("sport", *[F.col(c).alias(f"b_{c}") for c in names], F.col("win").alias("_win"))
     timed = a.where("a_start IS NOT NULL").withColumn("bk", F.floor(F.col("a_start") / F.col("win"))).join(
         b.where("b_start IS NOT NULL").withColumn("bk", F.explode(F.array(*[F.floor(F.col("b_start") / F.col("_win")) + k for k in (-1, 0, 1)]))), ["sport", "bk"]
     ).where(F.abs(F.col("a_start") - F.col("b_start")) <= F.col("win")).drop("bk")
-    word = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 4)))
-    untimed = a.withColumn("wd", word("a_n_home")).join(b.withColumn("wd", word("b_n_home")), ["sport", "wd"]).where("a_start IS NULL OR b_start IS NULL").drop("wd").dropDuplicates(["a_id", "b_id"])
+    a_h, b_h = side_bands(a, "a_id", "a_n_home", "a_n_away"), side_bands(b, "b_id", "b_n_home", "b_n_away")
+    none_a, none_b = a.where("a_start IS NULL").select("a_id"), b.where("b_start IS NULL").select("b_id")
+    met = a_h.join(none_a, "a_id", "left_semi").join(b_h, ["sport", "h"]).select("a_id", "b_id").unionByName(a_h.join(b_h.join(none_b, "b_id", "left_semi"), ["sport", "h"]).select("a_id", "b_id")).distinct()
+    untimed = met.join(a, "a_id").join(b.drop("sport"), "b_id").select(*timed.columns)
     pairs = timed.unionByName(untimed)
     kinds = dict(pairs.dtypes)
 
@@ -55,9 +88,9 @@ def scored_pairs(soft: DataFrame, ref: DataFrame) -> DataFrame:
                 one, two = (hs, ws) if flip else (h, w)
                 rows.append(((one + two) / 2, min(one, two), flip, tx.contradict(*pair[:2]) or tx.contradict(*pair[2:])))
             s = pd.DataFrame(rows, columns=["mean", "low", "flipped", "clash"], index=x.index)
-            yield pd.concat([x[["sport", "win", "a_id", "b_id", "a_start", "b_start", "a_w", "b_w", "a_y_home", "a_y_away", "b_y_home", "b_y_away"]], s], axis=1)
+            yield pd.concat([x[keep], s], axis=1)
 
-    keep = ["sport", "win", "a_id", "b_id", "a_start", "b_start", "a_w", "b_w", "a_y_home", "a_y_away", "b_y_home", "b_y_away"]
+    keep = ["sport", "win", *by, "a_id", "b_id", "a_start", "b_start", "a_w", "b_w", "a_y_home", "a_y_away", "b_y_home", "b_y_away"]
     s = pairs.mapInPandas(score, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", mean double, low double, flipped boolean, clash boolean")
     gap = F.abs(F.col("a_start") - F.col("b_start"))
     same_youth = F.when(F.col("flipped"), (F.col("a_y_home") == F.col("b_y_away")) & (F.col("a_y_away") == F.col("b_y_home"))).otherwise((F.col("a_y_home") == F.col("b_y_home")) & (F.col("a_y_away") == F.col("b_y_away")))
@@ -65,29 +98,29 @@ def scored_pairs(soft: DataFrame, ref: DataFrame) -> DataFrame:
         F.when(F.col("mean") < MEDIUM, "name").when(F.col("a_w") != F.col("b_w"), "gender").when(~same_youth, "youth").when((F.col("low") < LEAST_SIDE) | (F.col("clash") & (F.col("mean") < CONTRADICTION)), "wrong_fixture_guard")
         .when(gap.isNull() & (F.col("mean") < STRONG), "no_kickoff").when((F.col("mean") < STRONG) & (gap > WINDOW), "time")
     )
-    return s.withColumns({"gap": gap, "reason": reason}).select("sport", "a_id", "b_id", "mean", "low", "flipped", "gap", "reason")
+    return s.withColumns({"gap": gap, "reason": reason}).select("sport", *by, "a_id", "b_id", "mean", "low", "flipped", "gap", "reason")
 
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
+def one_to_one(pairs: DataFrame, by: tuple = ()) -> DataFrame:
     """Greedy matching by falling mean, ties by a_id and b_id: in rounds the pairs that are best for both sides are taken and their
-    rows retired, which with a total order gives what going through the sorted list would."""
+    rows retired, which with a total order gives what going through the sorted list would. A b_id is taken once for each value of `by`."""
     order = [F.col("mean").desc(), "a_id", "b_id"]
     left, taken = stored(pairs), None
     while True:
-        best = left.withColumns({"_a": F.row_number().over(Window.partitionBy("a_id").orderBy(*order)), "_b": F.row_number().over(Window.partitionBy("b_id").orderBy(*order))})
+        best = left.withColumns({"_a": F.row_number().over(Window.partitionBy("a_id").orderBy(*order)), "_b": F.row_number().over(Window.partitionBy(*by, "b_id").orderBy(*order))})
         now = stored(best.where("_a = 1 AND _b = 1").drop("_a", "_b"))
         taken = now if taken is None else taken.unionByName(now)
-        left = stored(left.join(now.select("a_id"), "a_id", "left_anti").join(now.select("b_id"), "b_id", "left_anti"))
+        left = stored(left.join(now.select("a_id"), "a_id", "left_anti").join(now.select(*by, "b_id"), [*by, "b_id"], "left_anti"))
         if left.isEmpty():
             return taken
 
 
-def match_fixtures(soft: DataFrame, ref: DataFrame) -> tuple[DataFrame, DataFrame]:
+def match_fixtures(soft: DataFrame, ref: DataFrame, by: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """(matches, unmatched): matches a_id, b_id, mean, flipped, gap; of every other soft row with a candidate its best one and the
     reason why it was not taken ('taken' if the candidate went elsewhere).
 
-    soft, ref: id, sport, home, away, league, start. Empty tables give empty results; null names never match."""
-    pairs = stored(scored_pairs(soft, ref))
-    matched = stored(one_to_one(pairs.where("reason IS NULL").drop("reason")))
+    soft, ref: id, sport, home, away, league, start. by: columns of soft, not null, such as its book, within which the matching is one-to-one. Empty tables give empty results; null names never match."""
+    pairs = stored(scored_pairs(soft, ref, by))
+    matched = stored(one_to_one(pairs.where("reason IS NULL").drop("reason"), by))
     rest = pairs.join(matched.select("a_id"), "a_id", "left_anti").groupBy("a_id").agg(F.max_by(F.struct("b_id", "mean", "reason"), F.struct("mean", -F.col("b_id"))).alias("x"))
     return matched.select("a_id", "b_id", "mean", "flipped", "gap"), rest.select("a_id", "x.b_id", "x.mean", F.coalesce("x.reason", F.lit("taken")).alias("reason"))

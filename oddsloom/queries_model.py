@@ -93,18 +93,22 @@ def cross_fit(spark, d):
 
 def _fixtures(spark, d, cond):
     e = table(spark, d, "book_events").where(cond)
-    return e.select(F.col("event_id").alias("id"), "sport", "home", "away", "league", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', start_time)").alias("start"))
+    return e.select(F.col("event_id").alias("id"), "book", "sport", "home", "away", "league", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', start_time)").alias("start"))
+
+
+def _event_match(spark, d):
+    return fx.match_fixtures(_fixtures(spark, d, "book <> 'apex'"), _fixtures(spark, d, "book = 'apex'"), ("book",))
 
 
 @_query()
 def event_match(spark, d):
-    """Fixtures of one source matched one-to-one with the reference's."""
-    return fx.match_fixtures(_fixtures(spark, d, "book = 'birch'"), _fixtures(spark, d, "book = 'apex'"))[0]
+    """Fixtures of every soft book matched with the reference's, one-to-one for each book."""
+    return _event_match(spark, d)[0]
 
 
 @_query()
 def event_match_rejects(spark, d):
-    return fx.match_fixtures(_fixtures(spark, d, "book = 'birch'"), _fixtures(spark, d, "book = 'apex'"))[1]
+    return _event_match(spark, d)[1]
 
 
 @_query("""SELECT event_id, regexp_matches(home, '\\b[uU][- ]?(1[6-9]|2[0-3])\\b') AS youth, regexp_matches(coalesce(league, ''), '(?i)(\\b(women|womens|woman|ladies|female|feminine|feminin|femminile|frauen|damen|dames|femenino|femenina|mujeres|senhoras)\\b|\\(w\\))') AS women,

@@ -4,8 +4,10 @@ import os
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from oddsloom.operators import fixtures as fx
 from oddsloom.operators import series as se
 
 D = "/root/testdata/sf0.001"
@@ -33,3 +35,22 @@ def test_sessions_of_all_markets_by_brute_force(spark):
 def test_session_windows_all_holds_every_tick(spark):
     out = entry.queries()["session_windows_all"](spark, D)
     assert out.agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{D}/ticks.parquet").count() and out.where("market_id = 1").count() > 0
+
+
+FX = "id long, book string, sport string, home string, away string, league string, start long"
+
+
+def test_fixtures_of_every_book_and_without_kickoff(spark):
+    soft = [(1, "b", "soccer", "Alpha Rovers", "Beta City", None, 1000), (2, "c", "soccer", "Alpha Rovers", "Beta City", None, 1000), (3, "c", "soccer", "Alpha Rovers", "Beta City", None, 1200),
+            (4, "b", "soccer", "Topimujra", "Sotihanur", None, None), (5, "c", "soccer", "Gemobonal Sporting", "Hufneamur", None, None), (6, "c", "soccer", "Ub", "Deffupani", None, None), (7, "d", "soccer", "Rimolaka", "Wesotunu", None, 50)]
+    ref = [(11, "a", "soccer", "Alpha Rovers", "Beta City", None, 1100), (14, "a", "soccer", "Topimujar", "Sotihanur", None, 9000), (15, "a", "soccer", "Hufneamur", "Gemobonal Sporting", None, 9000), (16, "a", "soccer", "Ub", "Deffupani", None, 9000), (17, "a", "soccer", "Wesotunu", "Rimolaka", None, None)]
+    m, rest = fx.match_fixtures(spark.createDataFrame(soft, FX), spark.createDataFrame(ref, FX), ("book",))
+    assert {(r.a_id, r.b_id, r.flipped) for r in m.collect()} == {(1, 11, False), (2, 11, False), (4, 14, False), (5, 15, True), (6, 16, False), (7, 17, True)}
+    assert {r.a_id: r.reason for r in rest.collect()} == {3: "taken"}
+
+
+@needs_tables
+def test_event_match_holds_every_soft_book(spark):
+    e = spark.read.parquet(f"{D}/book_events.parquet")
+    books = {r.book for r in entry.queries()["event_match"](spark, D).join(e, F.col("a_id") == F.col("event_id")).select("book").distinct().collect()}
+    assert books == {r.book for r in e.where("book <> 'apex'").select("book").distinct().collect()}
