@@ -236,3 +236,10 @@ def combined_odds(spark, d):
     """Bets of one account and day as legs: the product of their prices, returned ones left out."""
     b = table(spark, d, "bets").where("account_id IS NOT NULL AND odds_taken > 1 AND book = 'birch'")
     return le.combined(b.withColumn("day", F.to_date("placed_at").cast("timestamp_ntz")), ["account_id", "day"]).withColumn("combined", F.round("combined", 4))
+
+
+@_query()
+def combined_odds_all(spark, d):
+    """combined_odds over the bets of every book; that one, held against SQL, has those of birch alone."""
+    b = table(spark, d, "bets").where("account_id IS NOT NULL AND odds_taken > 1")
+    return le.combined(b.withColumn("day", F.to_date("placed_at").cast("timestamp_ntz")), ["account_id", "day"])
