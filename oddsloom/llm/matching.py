@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.functions.times import micros
-from oddsloom.llm.minhash import Bands, bands_for, grams
+from oddsloom.llm.logistic import fit_logistic
+from oddsloom.llm.minhash import Bands, bands_for, meet
 from oddsloom.llm.names import common_words
 from oddsloom.llm.nametext import fold, monge_elkan, parse, side_marks
 from oddsloom.plans.materialize import table as stored
@@ -99,21 +100,6 @@ def weak_label(f: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Newton steps on the ridge-penalised likelihood with classes weighted alike; the last weight is the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    penalty = ridge * np.append(np.ones(x.shape[1] - 1), 1e-6)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pooled adjacent violators: knots of a rising step function from score to probability, smoothed by one virtual case of each class a pool."""
     order = np.argsort(score, kind="stable")
@@ -126,13 +112,8 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] for p in pools]), np.maximum.accumulate(np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools]))
 
 
-def match(records: DataFrame, *, people: list[str]) -> DataFrame:
-    """(id_a, id_b, confidence): pairs of records of two different sources that describe the same meeting, id_a < id_b, with the
-    calibrated probability; all candidates are given, so keep those above the confidence wanted.
-
-    records: id, source, domain, home, away, league, start_time, last_seen. A missing start_time is stood in for by last_seen
-    in the blocking; records without either, without both names (null or without a letter) or without source or domain take
-    no part. With no labelled pair of both classes, the plain mean of the likeness features stands for the confidence."""
+def prepared(records: DataFrame, people: list[str]) -> DataFrame:
+    """The records that take part, with mark (of the side), hk and ak (keys of the names), t, s and at (seconds)."""
     r = records.where("id IS NOT NULL AND source IS NOT NULL AND domain IS NOT NULL AND home IS NOT NULL AND away IS NOT NULL")
     r = r.select("id", "source", "domain", "home", "away", "league", (micros(records, "start_time") / 1e6).alias("t"), (micros(records, "last_seen") / 1e6).alias("s")).withColumn("at", F.coalesce("t", F.col("s") + 3600)).where("at IS NOT NULL")
 
@@ -142,30 +123,43 @@ def match(records: DataFrame, *, people: list[str]) -> DataFrame:
             tags = [sorted(set(re.findall("w|r|u..", h[0] + a[0] + m))) for h, a, m in rows]
             yield b.assign(mark=["".join(t) for t in tags], hk=[" ".join(x[0][1]) for x in rows], ak=[" ".join(x[1][1]) for x in rows])
 
-    kinds = dict(r.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in r.columns)
-    r = stored(r.mapInPandas(parsed, f"{schema}, mark string, hk string, ak string").where("hk <> '' AND ak <> ''"))
+    schema = ", ".join(f"{c} {t}" for c, t in r.dtypes)
+    return stored(r.repartition("id").mapInPandas(parsed, f"{schema}, mark string, hk string, ak string").where("hk <> '' AND ak <> ''"))
+
+
+def candidates(r: DataFrame) -> DataFrame:
+    """(id_a, id_b, src_a, src_b): pairs of prepared records of two sources, id_a < id_b, that share a band and a mark and are within REACH.
+
+    Buckets are a band's hash, mark and day; hot ones (a cup's name on a full day) are spread over tasks."""
     common = common_words(r.select("domain", F.explode(F.array("hk", "ak")).alias("key")).distinct())
     shared = r.sparkSession.sparkContext.broadcast(common)
     bands = Bands(*bands_for(TUNE_AT, RECALL))
 
     def signed(batches):
         for b in batches:
-            out = []
-            for i, src, d, m, h, a, at in zip(b["id"], b["source"], b["domain"], b["mark"], b["hk"], b["ak"], b["at"]):
-                usual = shared.value.get(d, frozenset())
-                words = h.split(" ") + a.split(" ")
-                hashed = bands(grams([w for w in words if len(w) > 1 and w not in usual] or words))
-                out.append(pd.DataFrame({"id": i, "source": src, "domain": d, "mark": m, "at": at, "band": np.arange(len(hashed)), "h": hashed}))
-            if out:
-                yield pd.concat(out)
-
-    sig = r.select("id", "source", "domain", "mark", "hk", "ak", "at").mapInPandas(signed, f"id {kinds['id']}, source string, domain string, mark string, at double, band int, h long")
-    sig = stored(sig)
+            split = [(f"{h} {a}".split(" "), shared.value.get(d, frozenset())) for d, h, a in zip(b["domain"], b["hk"], b["ak"])]
+            yield bands.rows(b.drop(columns=["hk", "ak"]), [[w for w in words if len(w) > 1 and w not in usual] or words for words, usual in split])
+
+    kind = dict(r.dtypes)["id"]
+    sig = r.select("id", "source", "domain", "mark", "hk", "ak", "at").mapInPandas(signed, f"id {kind}, source string, domain string, mark string, at double, band int, h long")
+    sig = stored(sig.select("id", "source", "at", F.xxhash64("domain", "mark", "band", "h").alias("bucket"), F.xxhash64("domain", "mark").alias("kind")))
     block = lambda c: F.floor(c / BLOCK)
-    left = sig.select(F.col("id").alias("id_a"), F.col("source").alias("src_a"), F.col("at").alias("at_a"), "domain", "mark", "band", "h", block(F.col("at")).alias("day"))
-    right = sig.select(F.col("id").alias("id_b"), F.col("source").alias("src_b"), F.col("at").alias("at_b"), "domain", "mark", "band", "h", F.explode(F.array_distinct(F.array(block(F.col("at") - REACH), block(F.col("at")), block(F.col("at") + REACH)))).alias("day"))
-    pairs = left.join(right, ["domain", "mark", "band", "h", "day"]).where((F.col("id_a") < F.col("id_b")) & (F.col("src_a") != F.col("src_b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= REACH)).select("id_a", "id_b", "src_a", "src_b").distinct()
+    side = lambda x: [F.col("id").alias(f"id_{x}"), F.col("source").alias(f"src_{x}"), F.col("at").alias(f"at_{x}"), F.col("kind").alias(f"kind_{x}"), "bucket"]
+    left = sig.select(*side("a"), block(F.col("at")).alias("day"))
+    right = sig.select(*side("b"), F.explode(F.array_distinct(F.array(block(F.col("at") - REACH), block(F.col("at")), block(F.col("at") + REACH)))).alias("day"))
+    near = (F.col("id_a") < F.col("id_b")) & (F.col("src_a") != F.col("src_b")) & (F.col("kind_a") == F.col("kind_b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= REACH)
+    return meet(left, right, ["bucket", "day"], "id_a").where(near).select("id_a", "id_b", "src_a", "src_b").distinct()
+
+
+def match(records: DataFrame, *, people: list[str]) -> DataFrame:
+    """(id_a, id_b, confidence): pairs of records of two different sources that describe the same meeting, id_a < id_b, with the
+    calibrated probability; all candidates are given, so keep those above the confidence wanted.
+
+    records: id, source, domain, home, away, league, start_time, last_seen. A missing start_time is stood in for by last_seen
+    in the blocking; records without either, without both names (null or without a letter) or without source or domain take
+    no part. With no labelled pair of both classes, the plain mean of the likeness features stands for the confidence."""
+    r = prepared(records, people)
+    pairs, kinds = candidates(r), dict(r.dtypes)
     side = lambda x: r.select(F.col("id").alias(f"id_{x}"), *(["domain"] if x == "a" else []), F.col("home").alias(f"h{x}"), F.col("away").alias(f"a{x}"), F.col("league").alias(f"l{x}"), F.col("t").alias(f"t{x}"), F.col("s").alias(f"s{x}"))
     wide = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
 

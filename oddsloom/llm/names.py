@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsloom.llm.minhash import Bands, bands_for, grams
+from oddsloom.llm.minhash import Bands, bands_for, meet
 from oddsloom.llm.nametext import monge_elkan, parse
 from oddsloom.plans.materialize import table as stored
 
@@ -21,10 +21,13 @@ from oddsloom.plans.materialize import table as stored
 #: words-per-key / COMMON_SHARE words of a domain are common, which bounds what is broadcast.
 COMMON_SHARE = 0.004
 COMMON_LEAST = 40
+#: The words beside a common word begin in at least so many ways (the effective number of their first two letters), so that the many
+#: spellings of one name do not make its own words common.
+COMMON_PARTNERS = 12.0
 #: Bands are tuned to find pairs of this q-gram similarity with this probability.
 TUNE_AT, RECALL = 0.4, 0.97
-#: Buckets with more keys than this are spread over several tasks.
-HOT = 300
+#: Names of one centre are paired in parts of about so many.
+PAIRED = 2_000
 LIKE = 0.8
 #: A spelling short of words must fit its centre by so much better than any other.
 MARGIN = 0.04
@@ -42,12 +45,15 @@ def keyed(names: DataFrame, people: list[str]) -> DataFrame:
 
 
 def common_words(keys: DataFrame) -> dict[str, frozenset]:
-    """The common words of each domain, by the distinct keys (domain, key) that hold them."""
+    """The common words of each domain, by the distinct keys (domain, key) that hold them and the words beside them."""
     sizes = keys.groupBy("domain").agg(F.count("*").alias("size"))
-    words = keys.select("domain", F.explode(F.array_distinct(F.split("key", " "))).alias("w")).groupBy("domain", "w").count().join(sizes, "domain")
-    frequent = words.where((F.col("count") > COMMON_SHARE * F.col("size")) & (F.col("count") > COMMON_LEAST)).select("domain", "w").collect()
+    words = keys.select("domain", F.array_distinct(F.split("key", " ")).alias("ws")).select("domain", "ws", F.explode("ws").alias("w"))
+    frequent = words.groupBy("domain", "w").count().join(sizes, "domain").where((F.col("count") > COMMON_SHARE * F.col("size")) & (F.col("count") > COMMON_LEAST)).select("domain", "w")
+    beside = words.join(frequent, ["domain", "w"]).select("domain", "w", F.explode("ws").alias("o")).where("o <> w").groupBy("domain", "w", F.substring("o", 1, 2).alias("o")).count()
+    # the effective number is exp(entropy) = exp(ln N - sum(n ln n) / N)
+    total = beside.groupBy("domain", "w").agg(F.exp(F.ln(F.sum("count")) - F.sum(F.col("count") * F.ln("count")) / F.sum("count")).alias("ways"))
     common: dict[str, frozenset] = {}
-    for r in frequent:
+    for r in total.where(F.col("ways") >= COMMON_PARTNERS).select("domain", "w").collect():
         common[r["domain"]] = common.get(r["domain"], frozenset()) | {r["w"]}
     return common
 
@@ -59,22 +65,13 @@ def candidates(keys: DataFrame, common: dict[str, frozenset]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for d, s, k in zip(b["domain"], b["side"], b["key"]):
-                words = k.split(" ")
-                usual = shared.value.get(d, frozenset())
-                h = bands(grams([w for w in words if w not in usual and len(w) > 1] or words))
-                out.append(pd.DataFrame({"domain": d, "side": s, "key": k, "band": np.arange(len(h)), "h": h}))
-            if out:
-                yield pd.concat(out)
-
-    on = ["domain", "side", "band", "h"]
-    signed = stored(keys.select("domain", "side", "key").mapInPandas(run, "domain string, side string, key string, band int, h long"))
-    sizes = signed.groupBy(on).count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / HOT).cast("int"))
-    full = signed.join(sizes.drop("count"), on)
-    left = full.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts").cast("long")).cast("int")).withColumnRenamed("key", "a").drop("parts")
-    right = full.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumnRenamed("key", "b").drop("parts")
-    return left.join(right, [*on, "part"]).where("a < b").select("domain", "side", "a", "b").distinct()
+            split = [(k.split(" "), shared.value.get(d, frozenset())) for d, k in zip(b["domain"], b["key"])]
+            yield bands.rows(b, [[w for w in words if w not in usual and len(w) > 1] or words for words, usual in split])
+
+    signed = keys.select("domain", "side", "key").mapInPandas(run, "domain string, side string, key string, band int, h long")
+    signed = stored(signed.withColumn("bucket", F.xxhash64("domain", "side", "band", "h")).drop("band", "h"))
+    left, right = signed.withColumnRenamed("key", "a"), signed.select("bucket", F.col("domain").alias("d"), F.col("side").alias("s"), F.col("key").alias("b"))
+    return meet(left, right, ["bucket"], "a").where("a < b AND domain = d AND side = s").select("domain", "side", "a", "b").distinct()
 
 
 def verified(pairs: DataFrame, common: dict[str, frozenset]) -> DataFrame:
@@ -124,11 +121,11 @@ def link_names(names: DataFrame, *, people: list[str]) -> DataFrame:
     names: domain, name; repeated rows count as use. people: the domains whose names are those of persons. Null names and
     domains take no part, nor do names without a letter or digit. An empty table gives an empty result."""
     used = names.where("domain IS NOT NULL AND name IS NOT NULL").groupBy("domain", "name").agg(F.count("*").alias("n"))
-    full = stored(keyed(used, people))
+    full = stored(keyed(used.repartition("name"), people))
     keys = full.groupBy("domain", "side", "key").agg(F.sum("n").alias("n"))
     longer = lambda least: F.size(F.filter(F.split("key", " "), lambda w: F.length(w) >= least))
     common = common_words(keys)
-    keys = stored(keys)
+    keys = stored(keys.repartition("key"))
     edges = stored(verified(candidates(keys, common), common))
     v = ["domain", "side", "key"]
     degree = edges.select("domain", "side", F.explode(F.array("a", "b")).alias("key")).groupBy(v).agg(F.count("*").alias("degree"))
@@ -137,6 +134,12 @@ def link_names(names: DataFrame, *, people: list[str]) -> DataFrame:
 
 
 def linked_pairs(links: DataFrame) -> DataFrame:
-    """(domain, name_a, name_b), name_a < name_b by code points, of every two names of one centre."""
-    a, b = (links.select("domain", "side", "centre", F.col("name").alias(n)) for n in ("name_a", "name_b"))
-    return a.join(b, ["domain", "side", "centre"]).where("name_a < name_b").select("domain", "name_a", "name_b")
+    """(domain, name_a, name_b), name_a < name_b by code points, of every two names of one centre.
+
+    The pairs grow with the square of a centre's names; links themselves do not. A centre of many names is cut into parts, each of which meets the whole."""
+    on = ["domain", "side", "centre"]
+    hot = links.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > PAIRED).select(*on, F.ceil(F.col("_n") / PAIRED).cast("int").alias("_parts"))
+    a, b = (links.select(*on, F.col("name").alias(n)).join(hot, on, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))) for n in ("name_a", "name_b"))
+    a = a.withColumn("_part", F.pmod(F.xxhash64("name_a"), F.col("_parts").cast("long")).cast("int")).drop("_parts")
+    b = b.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return a.join(b, [*on, "_part"]).where("name_a < name_b").select("domain", "name_a", "name_b")
