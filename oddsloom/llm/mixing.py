@@ -1,153 +1,259 @@
 """Mixing sources to target shares of the tokens: soft membership and fitted document rates (problem 8).
 
-Each document belongs to the domains with a probability: where the table says its source, wholly to that one; where it does
-not (null or a source without target), as a classifier trained on the labelled documents says. Rates of the documents, not
-negative and within their caps, are then fitted by projected gradient so that the expected tokens of each domain meet its
-target; a round needs only one vector of sums, a few dozen numbers, from all documents. Copies are whole: the fraction of the
-rate is given to the documents of a domain in the order of a hash, up to the token count it stands for."""
+A classifier trained on the documents whose source the targets name gives every document its probabilities of the domains, the soft
+membership: by its text, at a temperature that is fitted on held-out documents, and, where the table names its source, by that label, of
+which a stated share is trusted. The rates of the documents (copies, not yet whole) are fitted by projected gradient on the least squares of two sets of
+totals: the tokens expected in each domain by the memberships, and the tokens of each source as the table names it, both against the
+targets. A document's rate is kept between nil and its source's cap. The projection is lazy: a document's rate follows from the sum of
+all steps so far, one number a domain and source, so a round is one pass over the documents that returns a few dozen sums; the step is
+scaled by the normal matrix of the documents whose rates are free, which one pass returns, too, and damped while it overshoots. Rates become whole copies by
+sequential Poisson sampling: the part beyond the whole copies goes to the documents of a source in the order of a hash over that part,
+up to the tokens the source still lacks. The sources therefore meet their targets to within a document, the expected totals as nearly
+as that allows."""
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.llm.tokens import VOCABULARY, encoding
 from oddsloom.plans.materialize import table as stored
 
 BUCKETS = 4096
-#: Log-likelihoods of long texts are damped to this many words, so that posteriors stay moderate.
-WORDS = 20
-ROUNDS, TOLERANCE = 200, 1e-6
+#: Temperatures tried: the mean log-likelihood of a text's tokens counts as so many tokens, or as many as the text has.
+TEMPERATURES = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
+#: How often the source that the table names is the domain.
+TRUST = 0.98
+#: Tokens of texts scored at a time in a task.
+CHUNK = 200_000
+#: Rounds of the fit at most, and the residual, as a share of the mixture, at which it ends.
+ROUNDS, TOLERANCE = 25, 1e-6
+#: Weight of the totals by source against those expected, and of staying near equal rates.
+BY_SOURCE, INERTIA = 3.0, 1e-5
 SLOTS = 4096
-#: How often the room that is left in a domain is offered to smaller documents.
+#: How often the room that is left in a source is offered to smaller documents.
 FILLS = 3
-_WORD = re.compile(r"[^\W_]+")
+#: The targets are a small table that goes to every executor; a longer one is an error.
+MOST_TARGETS = 10_000
 
 
-def _bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) % BUCKETS
+def encoded(documents: DataFrame, *, ident: str, text: str, source: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """i, source, n_tokens and b, the bucket of every token of the whole text; null and empty texts have none."""
+    kind = dict(documents.dtypes)[ident]
 
+    def run(batches):
+        enc = encoding(vocabulary)
+        for b in batches:
+            tokens = [np.asarray(t, dtype=np.int64) % BUCKETS for t in enc.encode_ordinary_batch([t or "" for t in b["t"]], num_threads=1)]
+            yield b[["i", "source"]].assign(n_tokens=[len(t) for t in tokens], b=[t.astype(np.int16) for t in tokens])
 
-def posteriors(documents: DataFrame, domains: list[str], *, ident: str, text: str, source: str) -> DataFrame:
-    """ident and p, the probabilities of the domains in the order given, of the documents without a known source.
+    work = documents.where(F.col(ident).isNotNull()).select(F.col(ident).alias("i"), F.col(source).alias("source"), F.col(text).alias("t"))
+    return work.mapInPandas(run, f"i {kind}, source string, n_tokens long, b array<smallint>")
 
-    Multinomial Bayes over hashed words with counts from all labelled documents (the model has len(domains) * BUCKETS numbers);
-    priors are the domains' numbers of documents. Documents without words get the priors."""
-    kind = dict(documents.dtypes)[ident]
-    known = F.col(source).isin(domains)
+
+def _likelihoods(like: np.ndarray, texts: list, sizes: np.ndarray) -> np.ndarray:
+    """Mean log-likelihood of the tokens of each text under each domain; about CHUNK tokens at a time."""
+    mean = np.zeros((len(texts), len(like)))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), CHUNK)) + lo)
+        flat = np.concatenate(texts[lo:hi]).astype(np.int64) if sizes[lo:hi].sum() else np.zeros(0, dtype=np.int64)
+        if hi == lo + 1:
+            mean[lo] = sum((like[:, flat[j : j + CHUNK]].sum(axis=1) for j in range(0, len(flat), CHUNK)), np.zeros(len(like)))
+        else:
+            row = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+            for k in range(len(like)):
+                mean[lo:hi, k] = np.bincount(row, weights=like[k, flat], minlength=hi - lo)
+        lo = hi
+    return mean / np.maximum(sizes, 1)[:, None]
+
+
+def _softmax(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _model(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    words = n[:, :BUCKETS] + 0.5
+    return np.log(words / words.sum(axis=1, keepdims=True)), np.log((n[:, BUCKETS] + 1) / (n[:, BUCKETS] + 1).sum())
+
+
+def posteriors(told: DataFrame, domains: list[str], trust: float = TRUST) -> DataFrame:
+    """told (columns i, source, n_tokens and b) without b and with p, the probabilities of the domains in the order given, and k, the number of
+    the named source or -1, for every document.
+
+    Multinomial Bayes over token buckets with counts from all documents of a named source (the model has len(domains) * BUCKETS numbers);
+    priors are the domains' numbers of documents. The temperature is the one at which the model of one half of those documents gives the
+    other half's sources the highest likelihood. Documents without tokens have the priors for a text."""
+    at = {d: i for i, d in enumerate(domains)}
+    spark = told.sparkSession
+    half = F.pmod(F.xxhash64(F.lit(11), "i"), F.lit(2)).cast("int")
+    known = told.where(F.col("source").isin(domains)).select("source", "n_tokens", "b", half.alias("half"))
 
     def count(batches):
+        sums = np.zeros((2 * len(domains), BUCKETS + 1), dtype=np.int64)
         for b in batches:
-            rows: dict = {}
-            for s, t in zip(b["s"], b["t"]):
-                own = rows.setdefault(s, np.zeros(BUCKETS + 1, dtype=np.int64))
-                own[BUCKETS] += 1
-                for w in _WORD.findall((t or "").lower()):
-                    own[_bucket(w)] += 1
-            if rows:
-                yield pd.concat([pd.DataFrame({"s": s, "b": np.flatnonzero(v), "n": v[v > 0]}) for s, v in rows.items()])
-
-    counted = documents.where(known).select(F.col(source).alias("s"), F.col(text).alias("t")).mapInPandas(count, "s string, b int, n long").groupBy("s", "b").agg(F.sum("n").alias("n")).toPandas()
-    at = {d: i for i, d in enumerate(domains)}
-    n = np.zeros((len(domains), BUCKETS + 1))
-    n[counted["s"].map(at).to_numpy(dtype=int), counted["b"].to_numpy(dtype=int)] = counted["n"]
-    words = n[:, :BUCKETS] + 0.5
-    model = documents.sparkSession.sparkContext.broadcast((np.log(words / words.sum(axis=1, keepdims=True)), np.log((n[:, BUCKETS] + 1) / (n[:, BUCKETS] + 1).sum())))
+            for (s, h), own in b.groupby(["source", "half"])["b"]:
+                sums[2 * at[s] + h, :BUCKETS] += np.bincount(np.concatenate(own.to_list()), minlength=BUCKETS)
+                sums[2 * at[s] + h, BUCKETS] += len(own)
+        k, bucket = np.nonzero(sums)
+        if len(k):
+            yield pd.DataFrame({"k": k, "bucket": bucket, "n": sums[k, bucket]})
+
+    counted = known.mapInPandas(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros((2 * len(domains), BUCKETS + 1))
+    n[counted["k"].to_numpy(), counted["bucket"].to_numpy()] = counted["n"]
+    first = spark.sparkContext.broadcast(_model(n[0::2]))
+    scale = lambda sizes, t: np.minimum(sizes, t)[:, None]
+
+    def judge(batches):
+        like, prior = first.value
+        for b in batches:
+            sizes, k = b["n_tokens"].to_numpy(np.int64), b["source"].map(at).to_numpy(int)
+            mean = _likelihoods(like, b["b"].to_list(), sizes)
+            told = [np.log(_softmax(prior + mean * scale(sizes, t))[np.arange(len(k)), k] + 1e-12).sum() for t in TEMPERATURES]
+            yield pd.DataFrame({"t": TEMPERATURES, "v": told})
+
+    judged = known.where("half = 1").mapInPandas(judge, "t double, v double").groupBy("t").agg(F.sum("v").alias("v")).toPandas().sort_values("t")
+    heat = float(judged["t"].iloc[judged["v"].argmax()]) if len(judged) else 0.0
+    model = spark.sparkContext.broadcast(_model(n[0::2] + n[1::2]))
 
     def predict(batches):
         like, prior = model.value
         for b in batches:
-            out = []
-            for t in b["t"]:
-                ids = [_bucket(w) for w in _WORD.findall((t or "").lower())]
-                score = prior + (like[:, ids].mean(axis=1) * min(len(ids), WORDS) if ids else 0)
-                p = np.exp(score - score.max())
-                out.append((p / p.sum()).tolist())
-            yield b[["i"]].assign(p=out)
-
-    rest = documents.where(F.col(ident).isNotNull() & (F.col(source).isNull() | ~known)).select(F.col(ident).alias("i"), F.col(text).alias("t"))
-    return rest.mapInPandas(predict, f"i {kind}, p array<double>").withColumnRenamed("i", ident)
-
-
-def fit_rates(tokens: np.ndarray, targets: np.ndarray, caps: np.ndarray, soft, total: float) -> tuple[np.ndarray, np.ndarray]:
-    """Projected gradient on sum_k (tokens_k(rates) - target_k * total)^2, rates within [0, cap].
-
-    The documents of one known source share their gradient, so they share their rate: they enter as one block of tokens.
-    soft(dual) returns the expected tokens by domain of the other documents, whose rates follow from the same dual vector.
-    Returns the rates of the blocks and the dual vector."""
-    goal = targets * total
-    rate = np.minimum(caps, 1.0) * (tokens > 0)
-    dual = np.zeros(len(tokens))
+            sizes = b["n_tokens"].to_numpy(np.int64)
+            p = _softmax(prior + _likelihoods(like, b["b"].to_list(), sizes) * scale(sizes, heat))
+            k = b["source"].map(at).fillna(-1).to_numpy(int)
+            if len(domains) > 1:
+                named = k >= 0
+                label = np.full((int(named.sum()), len(domains)), (1 - trust) / (len(domains) - 1))
+                label[np.arange(len(label)), k[named]] = trust
+                p[named] = p[named] * label / (p[named] * label).sum(axis=1, keepdims=True)
+            yield b.drop(columns="b").assign(k=k, p=list(p))
+
+    schema = ", ".join(f"{c} {t}" for c, t in told.dtypes if c != "b")
+    return told.mapInPandas(predict, f"{schema}, k int, p array<double>")
+
+
+def rates(own: np.ndarray, k: np.ndarray, dual: np.ndarray, start: np.ndarray, caps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rates of documents by the sum of the steps so far: (rows of the totals each document enters, rate, whether it is free).
+
+    own: memberships; k: number of the source, -1 if unknown; start: the rate of departure by source, the last for unknown ones."""
+    size = own.shape[1]
+    rows = np.zeros((len(own), 2 * size))
+    rows[:, :size] = own
+    named = np.flatnonzero(k >= 0)
+    rows[named, size + k[named]] = BY_SOURCE
+    cap = np.where(k >= 0, caps[k], caps[own.argmax(axis=1)])
+    want = np.minimum(start[k], cap) + rows @ dual
+    rate = np.clip(want, 0.0, cap)
+    return rows, rate, (want > 0) & (want < cap)
+
+
+def fit_rates(told: DataFrame, targets: np.ndarray, caps: np.ndarray, start: np.ndarray, total: float) -> np.ndarray:
+    """The sum of the projected gradient's steps, one number for each domain's expected tokens and each source's tokens.
+
+    told: n_tokens, k, p. Least squares of the totals' shares off the targets, and INERTIA times that of the rates off their start."""
+    size = len(targets)
+    goal = np.concatenate([targets, BY_SOURCE * targets])
+    dual = np.zeros(2 * size)
+    context = told.sparkSession.sparkContext
+
+    def look(dual: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        at = context.broadcast(dual)
+
+        def add(batches):
+            out = np.zeros((2 * size, 2 * size + 1))
+            for b in batches:
+                if not len(b):
+                    continue
+                rows, rate, free = rates(np.stack(b["p"].to_list()), b["k"].to_numpy(np.int64), at.value, start, caps)
+                n = b["n_tokens"].to_numpy(np.float64) / total
+                out[:, 0] += rows.T @ (n * rate)
+                out[:, 1:] += (rows * (n * free)[:, None]).T @ rows
+            i, j = np.nonzero(out)
+            if len(i):
+                yield pd.DataFrame({"i": i, "j": j, "v": out[i, j]})
+
+        got = told.select("n_tokens", "k", "p").mapInPandas(add, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+        out = np.zeros((2 * size, 2 * size + 1))
+        out[got["i"].to_numpy(), got["j"].to_numpy()] = got["v"]
+        off = goal - out[:, 0] - INERTIA * dual
+        return off, out[:, 1:], float((off**2).sum())
+
+    off, normal, error = look(dual)
+    damp = 0.01
     for _ in range(ROUNDS):
-        have = rate * tokens + soft(dual)
-        off = goal - have
-        if np.abs(off).max() <= TOLERANCE * max(total, 1.0):
+        if np.abs(off).max() <= TOLERANCE or damp > 1e3:
             break
-        step = off / np.maximum(tokens, 1.0)
-        new = np.clip(rate + step, 0.0, caps) * (tokens > 0)
-        dual = np.clip(dual + 0.5 * np.where(goal > 0, off / np.maximum(goal, 1.0), 0.0), -1.0, 1.0)
-        if np.abs(new - rate).max() < 1e-12 and np.abs(off[(new > 0) & (new < caps)]).sum() <= TOLERANCE * total:
-            rate = new
+        step = np.linalg.solve(normal + (INERTIA + damp) * np.eye(2 * size), off)
+        now = look(dual + step)
+        if now[2] >= error:  # documents reached their bounds on the way
+            damp *= 8
+            continue
+        done = now[2] > error * (1 - 1e-3)
+        dual, damp, (off, normal, error) = dual + step, damp / 8, now
+        if done:
             break
-        rate = new
-    return rate, dual
-
+    return dual
 
-def mixture(documents: DataFrame, targets: DataFrame, *, ident: str, text: str, source: str, tokens: str, total_tokens: float | None = None) -> DataFrame:
-    """ident, source (as given), domain (the known source, else the likeliest), n_tokens, copies: documents of the mixture, copies >= 1.
 
-    targets: source, target_share (not negative; taken relative to their sum), max_repeats. total_tokens: size of the mixture;
-    by default the largest at which every source with documents can meet its share within its cap. A source without
-    documents gets what soft members give it. A document appears at most max_repeats times, those of unknown source at most as
-    often as their likeliest domain allows. Documents without tokens are left out. ident must be unique."""
-    wanted = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("source").limit(10_000).toPandas()
+def memberships(documents: DataFrame, targets: DataFrame, *, ident: str, text: str, source: str, total_tokens: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """mixture(), with p, the probabilities of the domains in the order of their names."""
+    wanted = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("source").limit(MOST_TARGETS + 1).toPandas()
+    if len(wanted) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} sources in the targets")
     domains = wanted["source"].tolist()
+    size = len(domains)
     share = wanted["share"].fillna(0).clip(lower=0).to_numpy(np.float64)
     share = share / max(share.sum(), 1e-12)
     caps = wanted["cap"].fillna(0).clip(lower=0).to_numpy(np.float64)
+    kind = dict(documents.dtypes)[ident]
+    empty = documents.sparkSession.createDataFrame([], f"`{ident}` {kind}, source string, domain string, n_tokens long, copies int, p array<double>")
+    if not size:
+        return empty
     labels = F.array(*[F.lit(d) for d in domains])
-    known = (F.array_position(labels, F.col(source)) - 1).cast("int")
-    base = documents.where(F.col(ident).isNotNull() & (F.col(tokens) > 0))
-    soft_p = posteriors(base, domains, ident=ident, text=text, source=source)
-    told = stored(base.select(ident, source, F.col(tokens).cast("long").alias("n_tokens"), F.when(F.col(source).isNull(), -1).otherwise(known).alias("k")))
+    coded = stored(encoded(documents, ident=ident, text=text, source=source, vocabulary=vocabulary).where("n_tokens > 0"))
+    told = stored(posteriors(coded, domains))
     sums = {r["k"]: float(r["n"]) for r in told.groupBy("k").agg(F.sum("n_tokens").alias("n")).collect()}
-    own = np.array([sums.get(k, 0.0) for k in range(len(domains))])
-    soft_docs = stored(told.where("k < 0").select(ident, "n_tokens").join(soft_p, ident)) if sums.get(-1) else None
-
-    def soft_rate(dual: np.ndarray):
-        best = F.expr("array_position(p, array_max(p)) - 1")
-        drift = F.aggregate(F.zip_with("p", F.array(*[F.lit(float(x)) for x in dual]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        return best, F.least(F.greatest(F.lit(1.0) + drift, F.lit(0.0)), F.get(F.array(*[F.lit(float(c)) for c in caps]), best.cast("int")))
-
-    def soft(dual: np.ndarray) -> np.ndarray:
-        if soft_docs is None:
-            return np.zeros(len(domains))
-        _, rate = soft_rate(dual)
-        got = soft_docs.select(F.posexplode(F.transform("p", lambda q: q * F.col("n_tokens") * rate)).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(len(domains))
-        for r in got:
-            out[r["k"]] = r["v"]
-        return out
-
-    reach = [caps[k] * own[k] / share[k] for k in range(len(domains)) if share[k] > 0 and own[k] > 0]
+    own = np.array([sums.get(k, 0.0) for k in range(size)])
+    reach = [caps[k] * own[k] / share[k] for k in range(size) if share[k] > 0 and own[k] > 0]
     total = float(total_tokens if total_tokens is not None else min(reach, default=0.0))
-    rate, dual = fit_rates(own, share, caps, soft, total)
-    whole, part = np.floor(rate + 1e-9), rate - np.floor(rate + 1e-9)
-    part = np.where(part < 1e-9, 0.0, part)
-
-    # the part of a copy goes to the documents of a domain with the least hashes, as far as its tokens go; what room is then left
-    # goes the same way to the others that still fit in. Each time two passes over a histogram of bounded size.
-    slot = lambda level: F.shiftrightunsigned(F.xxhash64(F.lit(20_250_101), ident), 64 - 12 * level).bitwiseAND(SLOTS - 1)
-    hashed = told.where("k >= 0").withColumn("s1", slot(1)).withColumn("s2", slot(2))
-    pick = lambda values: F.get(F.array(*[F.lit(int(values.get(k, -1))) for k in range(len(domains))]), F.col("k"))
-    need = {k: part[k] * own[k] for k in range(len(domains))}
+    if total <= 0:
+        return empty
+    start = np.append(np.minimum(caps, np.where(own > 0, share * total / np.maximum(own, 1.0), 0.0)), 0.0)
+    dual = fit_rates(told, share, caps, start, total)
+    shared = told.sparkSession.sparkContext.broadcast(dual)
+
+    def rated(batches):
+        for b in batches:
+            if len(b):
+                p, k = np.stack(b["p"].to_list()), b["k"].to_numpy(np.int64)
+                rate = rates(p, k, shared.value, start, caps)[1]
+                top = p.argmax(axis=1)
+                yield b.assign(rate=rate, cap=np.where(k >= 0, caps[k], caps[top]).astype(np.int64), domain=np.where(k >= 0, k, top))
+
+    schema = ", ".join(f"{c} {t}" for c, t in told.dtypes)
+    found = stored(told.mapInPandas(rated, f"{schema}, rate double, cap long, domain int"))
+
+    # sequential Poisson sampling: of each source, and of those of unknown source together, the documents with the least quotient of hash
+    # and open part get a copy more, as far as the tokens go that the source still lacks; what room is then left goes the same way to
+    # documents that still fit in. Each time two passes over a histogram of bounded size.
+    whole = F.floor(F.col("rate") + 1e-9).cast("long")
+    part = F.greatest(F.col("rate") - F.floor(F.col("rate") + 1e-9), F.lit(0.0))
+    chance = (F.pmod(F.xxhash64(F.lit(20_250_101), "i"), F.lit(2**31 - 1)) + 1) / F.lit(float(2**31))
+    place = F.least(F.floor(chance / (chance + part) * SLOTS * SLOTS), F.lit(SLOTS * SLOTS - 1)).cast("long")
+    hashed = found.withColumns({"whole": whole, "s1": F.floor(place / SLOTS).cast("int"), "s2": (place % SLOTS).cast("int")})
+    base = {r["k"]: (float(r["w"]), float(r["e"])) for r in hashed.groupBy("k").agg(F.sum(F.col("n_tokens") * F.col("whole")).alias("w"), F.sum(F.col("n_tokens") * F.col("rate")).alias("e")).collect()}
+    # a source with soft members beside it asks for what its rates say, else for its share of the whole
+    alone = -1 not in base or base[-1][1] < 1
+    need = {k: max(0.0, (share[k] * total if alone and k >= 0 else e) - w) for k, (w, e) in base.items()}
+    pick = lambda values, none=-1: F.coalesce(F.create_map(*[F.lit(x) for k, v in values.items() for x in (int(k), int(v))])[F.col("k")], F.lit(none)) if values else F.lit(none)
     extra = F.lit(False)
     for _ in range(FILLS):
-        fits = ~extra & (F.col("n_tokens") <= pick({k: int(v) for k, v in need.items()}))
+        fits = ~extra & (F.col("whole") < F.col("cap")) & (F.col("n_tokens") <= pick(need))
         edge1, edge2, left = {}, {}, {}
         first = hashed.where(fits).groupBy("k", "s1").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values(["k", "s1"])
         for k, g in first.groupby("k"):
@@ -163,21 +269,32 @@ def mixture(documents: DataFrame, targets: DataFrame, *, ident: str, text: str,
             left[int(k)] -= cum[i - 1] if i else 0.0
         extra = extra | (fits & ((F.col("s1") < pick(edge1)) | ((F.col("s1") == pick(edge1)) & (F.col("s2") < pick(edge2)))))
         need = {k: left.get(k, need[k]) for k in need}
-    fulls = F.get(F.array(*[F.lit(int(w)) for w in whole]), F.col("k"))
-    hard = hashed.select(ident, source, F.get(labels, F.col("k")).alias("domain"), "n_tokens", (fulls + extra.cast("int")).alias("copies"))
-    out = hard
-    if soft_docs is not None:
-        best, r = soft_rate(dual)
-        chance = F.pmod(F.xxhash64(F.lit(7), ident), F.lit(1_000_003)) / 1_000_003
-        softly = soft_docs.select(ident, F.get(labels, best.cast("int")).alias("domain"), "n_tokens", (F.floor(r) + (chance < r - F.floor(r)).cast("int")).cast("int").alias("copies"))
-        out = hard.unionByName(softly.join(told.select(ident, source), ident).select(hard.columns))
-    return out.where("copies > 0")
+    copies = (F.col("whole") + extra.cast("long")).cast("int")
+    return hashed.select(F.col("i").alias(ident), "source", F.get(labels, F.col("domain")).alias("domain"), "n_tokens", copies.alias("copies"), "p").where("copies > 0")
+
+
+def mixture(documents: DataFrame, targets: DataFrame, *, ident: str, text: str, source: str, total_tokens: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """ident, source (as given), domain (the named source, else the likeliest), n_tokens, copies: documents of the mixture, copies >= 1.
+
+    targets: source, target_share (not negative; taken relative to their sum), max_repeats; of repeated sources the largest
+    values hold. total_tokens: size of the mixture; by default the largest at which every source with documents can meet its share within
+    its cap. A source without documents gets what soft members give it. A document appears at most max_repeats times, one of unknown
+    source (null, or without target) at most as often as its likeliest domain allows. Documents without tokens are left out, so are rows without
+    ident; ident must be unique. No documents or no targets give an empty result. Other columns are ignored."""
+    return memberships(documents, targets, ident=ident, text=text, source=source, total_tokens=total_tokens, vocabulary=vocabulary).drop("p")
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """domain, target_share, documents, tokens (of all copies), actual_share, most_copies, for every source of the targets."""
-    by = mixed.groupBy("domain").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    total = by.agg(F.sum("tokens").alias("all_tokens"))
-    rows = targets.select(F.col("source").alias("domain"), "target_share").join(by, "domain", "left").crossJoin(F.broadcast(total))  # one row
-    n = F.coalesce("tokens", F.lit(0))
-    return rows.select("domain", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), n.alias("tokens"), F.coalesce(n / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+    """domain, target_share, documents, tokens (of all copies), actual_share, expected_share (by the memberships p), most_copies, for every
+    source of the targets. mixed: the result of memberships()."""
+    n = F.col("n_tokens") * F.col("copies")
+    by = mixed.groupBy("domain").agg(F.count("*").alias("documents"), F.sum(n).alias("tokens"), F.max("copies").alias("most_copies"))
+    names = F.array_sort(F.collect_set("source"))
+    order = targets.where("source IS NOT NULL").agg(names.alias("names"))  # one row
+    softly = mixed.select(F.posexplode(F.transform("p", lambda q: q * n)).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("expected"))
+    soft = softly.crossJoin(F.broadcast(order)).select(F.get("names", F.col("k")).alias("domain"), "expected")
+    total = by.agg(F.sum("tokens").alias("all_tokens"))  # one row
+    rows = targets.select(F.col("source").alias("domain"), "target_share").join(by, "domain", "left").join(soft, "domain", "left").crossJoin(F.broadcast(total))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    share = lambda c: F.coalesce(F.col(c) / F.col("all_tokens"), F.lit(0.0))
+    return rows.select("domain", "target_share", zero(F.col("documents")).alias("documents"), zero(F.col("tokens")).alias("tokens"), share("tokens").alias("actual_share"), share("expected").alias("expected_share"), zero(F.col("most_copies")).alias("most_copies"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.llm.asof import nearest_recordings
 from oddsloom.llm.matching import match
-from oddsloom.llm.mixing import mixture, share_report
+from oddsloom.llm.mixing import memberships, mixture, share_report
 from oddsloom.llm.names import link_names, linked_pairs
 from oddsloom.llm.packing import fill_report, pack
 from oddsloom.llm.quality import not_prose, quality
@@ -47,6 +47,11 @@ def name_links(spark: SparkSession, d: str) -> DataFrame:
     return link_names(names.withColumnRenamed("sport", "domain"), people=["tennis"])
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with the centre of its cluster: the links without their expansion into pairs."""
+    return name_links(spark, d).select(F.col("domain").alias("sport"), "name", "side", "centre")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_pairs(name_links(spark, d)).withColumnRenamed("domain", "sport")
 
@@ -72,12 +77,13 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mixture with their numbers of copies."""
-    documents = with_tokens(table(spark, d, "documents"), ident="doc_id", text="text", keep=["source", "text"])
-    return mixture(documents, table(spark, d, "mix_targets"), ident="doc_id", text="text", source="source", tokens="n_tokens")
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), ident="doc_id", text="text", source="source")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return share_report(p8_mixture(spark, d), table(spark, d, "mix_targets"))
+    """Of every source its target, its actual share of the tokens and the share expected by the memberships."""
+    targets = table(spark, d, "mix_targets")
+    return share_report(memberships(table(spark, d, "documents"), targets, ident="doc_id", text="text", source="source"), targets)
 
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +96,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,37 +1,65 @@
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from oddsloom.llm.mixing import mixture, posteriors, share_report
-from oddsloom.llm.packing import fill_report, pack, sweeps
+from oddsloom.llm.mixing import encoded, memberships, mixture, posteriors, share_report
+from oddsloom.llm.packing import DOC, GAP, between, fill_report, pack, sweep
 from oddsloom.llm.tokens import encoding, with_tokens
 
 
-def best_fit(sizes, capacity):
-    """One document at a time, largest first, into the fullest container that has room."""
-    room = []
-    for s in sorted(sizes, reverse=True):
-        fit = [i for i, r in enumerate(room) if r >= s]
-        if fit:
-            room[min(fit, key=lambda i: room[i])] -= s
-        else:
-            room.append(capacity - s)
-    return Counter(room)
+@pytest.mark.parametrize("seed", range(25))
+def test_a_gap_takes_the_largest_documents_below_it(seed):
+    rng = random.Random(seed)
+    rows = sorted((rng.randrange(1, 60), rng.choice([DOC, GAP])) for _ in range(rng.randrange(1, 200)))
+    to, room, left, bare = sweep(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    free = set()
+    for at, (v, k) in enumerate(rows):
+        if k == DOC:
+            free.add(at)
+            continue
+        took = []
+        while free and rows[max(free)][0] <= v:
+            took.append(max(free))
+            v -= rows[took[-1]][0]
+            free.discard(took[-1])
+        assert [i for i in np.flatnonzero(to == at)[::-1]] == took and room[at] == v and (at in bare) == (not took)
+    assert left == sorted(free, reverse=True)
 
 
 @pytest.mark.parametrize("seed", range(25))
-def test_sweeps_are_best_fit(seed):
+def test_leftovers_meet_between_ranges(seed):
+    """Every document goes to one gap above its range, and no gap is overfilled even if all documents were as large as the largest."""
     rng = random.Random(seed)
-    capacity = rng.choice([10, 64, 2048])
-    sizes = [min(capacity, 1 + int(rng.expovariate(4 / capacity))) for _ in range(rng.randrange(1, 400))]
-    used = Counter()
-    for size, _, n, start, each, before in sweeps(Counter(sizes), capacity):
-        for k in range(n):
-            assert used[start + k] == before
-            used[start + k] += size * each
-    assert Counter(capacity - u for u in used.values()) == best_fit(sizes, capacity)
+    ranges, size = [], 1
+    for pid in range(rng.randrange(1, 12)):
+        low, size = size, size + rng.randrange(1, 30)
+        ranges.append((pid, rng.randrange(0, 9), size - 1, rng.randrange(0, 5), low))
+    by = {r[0]: r for r in ranges}
+    given, used = defaultdict(set), defaultdict(int)
+    for docs, start, n, gap, each in between(ranges):
+        for r in range(start, start + n):
+            assert r not in given[docs] and r < by[docs][1]
+            given[docs].add(r)
+            g = gap + (r - start) // each
+            assert docs < g >> 32 and g % 2**32 < by[g >> 32][3]
+            used[g] += by[docs][2]
+    assert all(u <= by[g >> 32][4] for g, u in used.items())
+    # a range whose documents are all below a range of gaps has none left while such a gap stayed bare
+    for pid, _, _, gaps, _ in ranges:
+        if any(pid * 2**32 + g not in used for g in range(gaps)):
+            assert all(len(given[j]) == by[j][1] for j in range(pid) if by[j][1])
+
+
+@pytest.mark.parametrize("rows_per_range", [200_000, 40])
+def test_packing_leaves_little_room(spark, rows_per_range):
+    rng = random.Random(5)
+    sizes = [min(2048, 1 + int(rng.expovariate(1 / 300))) for _ in range(900)]
+    packed = pack(spark.createDataFrame(list(enumerate(sizes)), "doc int, n int"), ident="doc", size="n", rows_per_range=rows_per_range)
+    rep = fill_report(packed).first()
+    assert rep.tokens == sum(sizes) and rep.fullest <= 2048 and rep.containers <= rep.least_containers + 3
 
 
 def test_packing_is_whole_and_without_overlap(spark):
@@ -72,37 +100,51 @@ def corpus(spark, unknown=0.0):
     rows = []
     for i in range(3000):
         s = rng.choice("aaaaaabbc")
-        rows.append((i, None if rng.random() < unknown else s, " ".join(rng.choice(words[s].split()) for _ in range(12)), rng.randrange(5, 60), s))
-    return spark.createDataFrame(rows, "i long, source string, text string, n int, really string").repartition(4)
+        rows.append((i, None if rng.random() < unknown else s, " ".join(rng.choice(words[s].split()) for _ in range(rng.randrange(5, 60))), s, 1))
+    return spark.createDataFrame(rows, "i long, source string, text string, really string, copies int").repartition(4)
 
 
 TARGETS = [("a", 0.3, 1), ("b", 0.4, 3), ("c", 0.3, 4), ("none", 0.0, 1)]
+ON = {"ident": "i", "text": "text", "source": "source"}
 
 
 def test_shares_caps_and_report(spark):
     df, targets = corpus(spark), spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats long")
-    m = mixture(df, targets, ident="i", text="text", source="source", tokens="n")
+    m = memberships(df, targets, **ON)
     rep = {r.domain: r for r in share_report(m, targets).collect()}
     for s, share, cap in TARGETS:
         assert abs(rep[s].actual_share - share) < 0.002 and rep[s].most_copies <= cap
+        assert abs(rep[s].expected_share - share) < 0.02
     out = m.collect()
     assert len({r.i for r in out}) == len(out) and all(r.copies >= 1 for r in out)
-    small = mixture(df, targets, ident="i", text="text", source="source", tokens="n", total_tokens=5000.0)
+    small = mixture(df, targets, **ON, total_tokens=5000.0)
     total = small.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0]
     assert abs(total - 5000) < 60
 
 
-def test_unknown_sources_take_part_softly(spark):
+def test_every_document_has_a_posterior_and_expected_totals_meet_the_targets(spark):
     df, targets = corpus(spark, 0.2), spark.createDataFrame(TARGETS[:3], "source string, target_share double, max_repeats long")
-    p = posteriors(df, ["a", "b", "c"], ident="i", text="text", source="source").join(df, "i").collect()
-    assert sum("abc"[max(range(3), key=lambda k: r.p[k])] == r.really for r in p) > 0.97 * len(p)
-    m = mixture(df, targets, ident="i", text="text", source="source", tokens="n")
-    assert m.where("source IS NULL").count() > 0
-    rep = {r.domain: r.actual_share for r in share_report(m, targets).collect()}
-    assert all(abs(rep[s] - share) < 0.04 for s, share, _ in TARGETS[:3])
+    p = posteriors(encoded(df, **ON), ["a", "b", "c"]).join(df.select("i", "really"), "i").collect()
+    assert len(p) == 3000 and all(abs(sum(r.p) - 1) < 1e-9 for r in p)
+    unknown = [r for r in p if r.source is None]
+    assert sum("abc"[max(range(3), key=lambda k: r.p[k])] == r.really for r in unknown) > 0.97 * len(unknown)
+    m = memberships(df, targets, **ON, total_tokens=30_000.0)
+    rep = {r.domain: r for r in share_report(m, targets).collect()}
+    assert all(abs(rep[s].actual_share - share) < 0.02 and abs(rep[s].expected_share - share) < 0.02 for s, share, _ in TARGETS[:3])
+
+
+def test_a_source_without_documents_is_met_by_soft_members(spark):
+    rows = [(i, "a" if i % 2 else None, "goal match keeper") for i in range(400)] + [(400 + i, "b", "price stake odds") for i in range(400)]
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 2)], "source string, target_share double, max_repeats long")
+    m = memberships(spark.createDataFrame(rows, "i long, source string, text string"), targets, **ON, total_tokens=2_000.0)
+    rep = {r.domain: r for r in share_report(m, targets).collect()}
+    assert m.where("source IS NULL").count() > 0 and abs(rep["a"].expected_share - 0.7) < 0.02
 
 
 def test_mixing_nothing(spark):
-    empty = spark.createDataFrame([], "i long, source string, text string, n int")
+    empty = spark.createDataFrame([], "i long, source string, text string")
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats long")
-    assert mixture(empty, targets, ident="i", text="text", source="source", tokens="n").count() == 0
+    assert mixture(empty, targets, **ON).count() == 0
+    some = spark.createDataFrame([(1, "a", "x y"), (2, None, None), (None, "b", "z")], "i long, source string, text string")
+    assert mixture(some, targets.limit(0), **ON).count() == 0
+    assert [r.i for r in mixture(some, targets, **ON).collect()] == [1]

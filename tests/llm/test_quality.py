@@ -32,7 +32,10 @@ def test_prose_is_told_from_the_rest(spark):
         for c, side in SIDES.items():
             low, high = (sum(f(m[c], r[c]) for m in mates) / len(mates) for f in (lambda x, y: x <= y, lambda x, y: x >= y))
             total -= math.log(low if side == "low" else high if side == "high" else min(1.0, 2 * min(low, high)))
-        assert math.isclose(r.score, total, abs_tol=1e-9)
+        assert math.isclose(r.tail_sum, total, abs_tol=1e-9)
+    assert all(r.spoken in COMMON or groups[r.doc] == "en" for r in all_)
+    # the score decides: with another one, other documents come out
+    assert {r.doc for r in not_prose(scored.withColumn("score", -scored["score"])).collect()} == {i for i, t, *_ in rows if t in PROSE}
 
 
 def test_nothing(spark):
