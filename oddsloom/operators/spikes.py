@@ -3,21 +3,25 @@
 Each series follows a local-level model in log price whose variances belong to its source. A reading whose standardised
 innovation is beyond the threshold is withheld from the filter; if the series is back within a few readings the withheld
 ones were a spike, otherwise the level has moved and the filter starts anew there. Where the variance of the innovations
-vanishes for far longer than is usual for the source, the price is stuck. Readings that cannot be prices are flagged
-outright.
+vanishes for far longer than is usual for the source, the price is stuck: that variance is nil over a stretch if and only if its readings
+that are not withheld are equal, so the test is the length of the run of equal ones. Readings that cannot be prices are flagged outright.
 
-The readings are sorted by series and time over range shards, so one hot series spans many shards; each shard also gets
-the last and the first few readings of its neighbours. The filter runs in lock-step over all series of a shard."""
+The readings are sorted by series and time over range shards, so one hot series spans many shards. The filter runs in lock-step over all
+series of a shard. What a shard has to know of the others is of fixed size: the last few readings before it and the first few after it, if
+they belong to its own first and last series, from which the filter's state follows (it forgets a start in far fewer readings), and
+the value and length of the runs at the shards' edges, which are added up over any number of shards, so that a run is
+measured exactly however long it is."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.plans.materialize import table as stored
 from oddsloom.plans.ranges import per_shard, shards
 
 #: Width of the bins, in ln(size of a move), of the per-source histograms; the statistics are exact up to this width.
@@ -32,8 +36,8 @@ class SpikeParams:
     of a spike within which the series counts as returned; back_far: the same where that return is itself far from the old
     level, so that the level moved meanwhile. noise: measurement noise as a share of the source's usual move.
     stuck_tail: chance, by the source's own habit of repeating a price, below which a still stretch is stuck, and
-    least_stuck the readings it must have in any case. window: readings of context across a shard's edge; it must exceed
-    the longest stuck stretch that has to be told from a usual one."""
+    least_stuck the readings it must have in any case. window, after: readings known of the shards before and after; the filter's
+    state forgets its start by the factor 1 - gain a reading, which is about noise squared."""
 
     threshold: float = 6.3
     longest: int = 3
@@ -42,7 +46,8 @@ class SpikeParams:
     noise: float = 0.1
     stuck_tail: float = 1e-7
     least_stuck: int = 8
-    window: int = 400
+    window: int = 64
+    after: int = 8
 
 
 def _lockstep(x: np.ndarray, sigma: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: SpikeParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,29 +98,87 @@ def _lockstep(x: np.ndarray, sigma: np.ndarray, starts: np.ndarray, ends: np.nda
     return flags, level, other
 
 
-def filter_shard(pdf: pd.DataFrame, sigma: dict, least: dict, p: SpikeParams) -> np.ndarray:
-    """Flags of the rows of a sorted shard (context rows included): columns k (series), src, t, v, probe (0 reading, 1 newest price)."""
-    n = len(pdf)
-    v = pdf["v"].to_numpy(np.float64)
+@dataclass
+class _Edge:
+    """Readings of one series (times and values) that lie in other shards."""
+
+    t: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    v: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+
+def _readings(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Impossible rows; rows that are usable; those of them that are readings of a series; values."""
+    v, null = pdf["v"].to_numpy(np.float64), pdf["null"].to_numpy(bool)
     with np.errstate(invalid="ignore"):
-        impossible = ~(pdf["null"].to_numpy(bool)) & ~(np.isfinite(v) & (v > 1))
-    usable = ~pdf["null"].to_numpy(bool) & ~impossible
-    flag = impossible.copy()
-    probe = pdf["probe"].to_numpy() == 1
-    rows = np.flatnonzero(usable & ~probe)
-    key = pdf["k"].to_numpy()
+        impossible = ~null & ~(np.isfinite(v) & (v > 1))
+    usable = ~null & ~impossible
+    return impossible, usable, np.flatnonzero(usable & (pdf["probe"].to_numpy() == 0)), v
+
+
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before."""
+    if not len(columns[0]):
+        return np.zeros(0, dtype=bool)
+    out = np.zeros(len(columns[0]) - 1, dtype=bool)
+    for c in columns:
+        out |= c[1:] != c[:-1]
+    return np.append(True, out)
+
+
+def edge_readings(pdf: pd.DataFrame, p: SpikeParams) -> pd.DataFrame:
+    """One row: the shard's first and last series, its first readings of the former and last of the latter, repeats left out."""
+    rows, v = _readings(pdf)[2:]
+    key, t = pdf["k"].to_numpy(), pdf["t"].to_numpy()
+    rows = rows[_fresh(key[rows], t[rows], v[rows])]
+    head = rows[: np.searchsorted(key[rows], key[0], side="right")][: p.after]
+    tail = rows[np.searchsorted(key[rows], key[-1], side="left") :][-p.window :]
+    return pd.DataFrame({"pid": [pdf["_pid"].iloc[0]], "first_k": [key[0]], "last_k": [key[-1]], "ht": [t[head]], "hv": [v[head]], "tt": [t[tail]], "tv": [v[tail]]})
+
+
+def neighbours(meta: pd.DataFrame, p: SpikeParams) -> dict[int, tuple[_Edge, _Edge]]:
+    """By shard what is known before its first series and after its last one."""
+    known = list(meta.sort_values("pid").itertuples())
+    out = {}
+    for pos, own in enumerate(known):
+        sides = []
+        for step, want, near, far, t, v, most in ((-1, own.first_k, "last_k", "first_k", "tt", "tv", p.window), (1, own.last_k, "first_k", "last_k", "ht", "hv", p.after)):
+            times, values, j = [], [], pos + step
+            while 0 <= j < len(known) and getattr(known[j], near) == want and sum(map(len, times)) < most:
+                times.insert(0 if step < 0 else len(times), np.asarray(getattr(known[j], t), dtype=np.int64))
+                values.insert(0 if step < 0 else len(values), np.asarray(getattr(known[j], v), dtype=np.float64))
+                if getattr(known[j], far) != want:
+                    break
+                j += step
+            cut = slice(-most, None) if step < 0 else slice(0, most)
+            sides.append(_Edge(np.concatenate(times)[cut], np.concatenate(values)[cut]) if times else _Edge())
+        if len(sides[0].t) or len(sides[1].t):
+            out[int(own.pid)] = sides[0], sides[1]
+    return out
+
+
+def filter_shard(pdf: pd.DataFrame, edges: tuple[_Edge, _Edge], sigma: dict, least: dict, p: SpikeParams) -> pd.DataFrame:
+    """Rows (kind, tab, row_id, wait, k, v, n) of a sorted shard. kind 'flag': a row that is implausible. 'wait': a row of a run at the
+    shard's edge that is implausible if the whole run, named by wait, has n readings. 'run': the runs at the shard's edges with
+    their value v and number n of readings; H the first, T the last (H, too, if there is only one)."""
+    impossible, usable, rows, v = _readings(pdf)
+    before, after = edges
+    key, t = pdf["k"].to_numpy(), pdf["t"].to_numpy()
     src = pdf["src"].fillna("").to_numpy()
     sig_of = pd.Series(src).map(sigma).to_numpy(np.float64)
     least_of = pd.Series(src).map(least).to_numpy(np.float64)
-    levels: dict = {}
-    if len(rows):
-        k, t, val = key[rows], pdf["t"].to_numpy()[rows], v[rows]
-        fresh = np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (val[1:] != val[:-1]))
-        step_of = np.cumsum(fresh) - 1
-        first = rows[fresh]
-        k, x = key[first], np.log(v[first])
-        new = np.append(True, k[1:] != k[:-1])
-        starts = np.flatnonzero(new)
+    flag, wait = impossible.copy(), np.full(len(pdf), "", dtype=object)
+    runs: list[tuple] = []
+    nb, na = len(before.t), len(after.t)
+    if len(rows) or nb or na:
+        k = np.concatenate([np.full(nb, key[0]), key[rows], np.full(na, key[-1])])
+        val = np.concatenate([before.v, v[rows], after.v])
+        sg = np.concatenate([np.full(nb, sig_of[0]), sig_of[rows], np.full(na, sig_of[-1])])
+        fresh = _fresh(k, np.concatenate([before.t, t[rows], after.t]), val)
+        step_of = (np.cumsum(fresh) - 1)[nb : nb + len(rows)]
+        first = np.flatnonzero(fresh)
+        k, val, sg, mine = k[first], val[first], sg[first], (first >= nb) & (first < nb + len(rows))
+        x = np.log(val)
+        starts = np.flatnonzero(_fresh(k))
         ends = np.append(starts[1:], len(k))
         # long series run as blocks that overlap by the window
         b_start, b_end, b_from, b_to = [], [], [], []
@@ -124,33 +187,71 @@ def filter_shard(pdf: pd.DataFrame, sigma: dict, least: dict, p: SpikeParams) ->
         for s, e in zip(starts[long], ends[long]):
             cut = np.arange(s, e, BLOCK)
             to = np.append(cut[1:], e)
-            b_start.append(np.maximum(cut - 64, s)), b_end.append(np.minimum(to + 16, e)), b_from.append(cut), b_to.append(to)
+            b_start.append(np.maximum(cut - p.window, s)), b_end.append(np.minimum(to + p.after, e)), b_from.append(cut), b_to.append(to)
         bs, be, bf, bt = (np.concatenate(y) for y in (b_start, b_end, b_from, b_to))
-        sg = sig_of[first]
         # blocks overlap, so each runs on its own copy
         lengths = be - bs
-        flat = np.repeat(bs - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         at = np.cumsum(lengths) - lengths
+        flat = np.repeat(bs - at, lengths) + np.arange(lengths.sum())
         spiky, level, other = _lockstep(x[flat], sg[flat], at, at + lengths, p)
         own = (flat >= np.repeat(bf, lengths)) & (flat < np.repeat(bt, lengths))
-        steps = np.zeros(len(x), dtype=bool)
-        steps[flat[own]] = spiky[own]
-        last = be == np.append(starts[1:], len(k))[np.searchsorted(starts, bs, side="right") - 1]
-        for lane in np.flatnonzero(last):
-            levels[k[bs[lane]]] = (level[lane], other[lane])
+        spikes = np.zeros(len(x), dtype=bool)
+        spikes[flat[own]] = spiky[own]
+        # newest prices against the end of their series
+        probes = np.flatnonzero(usable & (pdf["probe"].to_numpy() == 1))
+        last = np.flatnonzero(be == ends[np.searchsorted(starts, bs, side="right") - 1])
+        last = last[np.argsort(bs[last])]
+        of = np.searchsorted(k[bs[last]], key[probes])
+        there = (of < len(last)) & (k[bs[last]][np.minimum(of, len(last) - 1)] == key[probes])
+        probes, of = probes[there], last[of[there]]
+        now = np.log(v[probes])
+        gap = np.fmin(np.abs(now - level[of]), np.abs(now - other[of]))
+        flag[probes] = gap > p.threshold * sig_of[probes] * np.sqrt(1 + 2 * p.noise**2)
         # vanished variance: runs of equal prices among the readings that are not spikes
-        kept = np.flatnonzero(~steps)
-        kk, xx = k[kept], v[first][kept]
-        fresh2 = np.append(True, (kk[1:] != kk[:-1]) | (xx[1:] != xx[:-1]))
-        run = np.cumsum(fresh2) - 1
-        count = np.bincount(run)
-        steps[kept] |= count[run] >= least_of[first][kept]
-        flag[rows] |= steps[step_of]
-    for i in np.flatnonzero(usable & probe):
-        if (lv := levels.get(key[i])) is not None:
-            gap = [abs(np.log(v[i]) - y) for y in lv if y == y]
-            flag[i] = min(gap) > p.threshold * sig_of[i] * np.sqrt(1 + 2 * p.noise**2)
-    return flag
+        flag[rows] |= spikes[step_of]
+        kept = np.flatnonzero(~spikes & mine)
+        waits = np.full(len(x), "", dtype=object)
+        if nb:
+            waits[~mine] = "R"  # repeats of a reading in the shard before
+        if len(kept):
+            run = np.cumsum(_fresh(k[kept], val[kept])) - 1
+            count = np.bincount(run)
+            long_enough = np.zeros(len(x))
+            long_enough[kept] = count[run]
+            flag[rows] |= (long_enough[step_of] >= least_of[rows]) & ~spikes[step_of] & mine[step_of]
+            if na and k[kept[-1]] == key[-1]:
+                waits[kept[run == run[-1]]] = "T" if run[-1] else "H"
+            if nb and k[kept[0]] == key[0]:
+                waits[kept[run == 0]] = "H"
+            runs = [("H", k[kept[0]], val[kept[0]], count[0])] + ([("T", k[kept[-1]], val[kept[-1]], count[-1])] if run[-1] else [])
+        wait[rows] = np.where(spikes[step_of], "", waits[step_of])
+    flags, waiting = np.flatnonzero(flag), np.flatnonzero(~flag & (wait != "") & np.isfinite(least_of))
+    tab, ids = pdf["tab"].to_numpy(), pdf["id"].to_numpy()
+    return pd.DataFrame({
+        "kind": ["flag"] * len(flags) + ["wait"] * len(waiting) + ["run"] * len(runs), "pid": pdf["_pid"].iloc[0],
+        "tab": [*tab[flags], *tab[waiting], *[None] * len(runs)], "row_id": pd.array([*ids[flags], *ids[waiting], *[None] * len(runs)], dtype="Int64"),
+        "wait": [*[None] * len(flags), *wait[waiting], *[r[0] for r in runs]], "k": pd.array([*[None] * len(flags), *key[waiting], *[r[1] for r in runs]], dtype="Int64"),
+        "v": [*[None] * (len(flags) + len(waiting)), *[r[2] for r in runs]], "n": [*[None] * len(flags), *least_of[waiting], *[float(r[3]) for r in runs]],
+    }).astype({"v": "float64", "n": "float64"})
+
+
+def whole_runs(runs: list[tuple[int, str, int, float, float]]) -> list[tuple[int, str, int, float]]:
+    """Runs at the shards' edges (pid, H or T, series, value, readings) to (pid, H, T or R, series, readings of the whole run); R is the run
+    that ends before the shard."""
+    totals: list[list] = []
+    named: list[tuple[int, str, int]] = []
+    seen = None
+    for pid, mark, k, v, n in sorted(runs, key=lambda r: (r[0], r[1])):
+        other = pid != seen  # within a shard, first and last run are two
+        if other and totals:
+            named.append((pid, "R", len(totals) - 1))
+        seen = pid
+        if other and totals and totals[-1][:2] == [k, v]:
+            totals[-1][2] += n
+        else:
+            totals.append([k, v, n])
+        named.append((pid, mark, len(totals) - 1))
+    return [(pid, mark, totals[i][0], totals[i][2]) for pid, mark, i in named]
 
 
 def implausible(readings: DataFrame, *, params: SpikeParams = SpikeParams(), rows: int | None = None) -> DataFrame:
@@ -162,74 +263,44 @@ def implausible(readings: DataFrame, *, params: SpikeParams = SpikeParams(), row
     A null value never counts and interrupts nothing; a reading without time sorts first; one without source is judged as
     the source ''. Repeated deliveries (same series, time and value) are one step and share their flag. A spike needs
     readings on both sides; a far reading at either end of a series is not one. A series of which there are no readings
-    flags only impossible probes. An empty table gives an empty result."""
+    flags only impossible probes. A source that has never moved a price has no habit by which one could be stuck. An empty table gives
+    an empty result."""
     work = readings.select(
         F.col("series").alias("k"), F.col("source").alias("src"), F.coalesce("t", F.lit(-(2**62))).alias("t"),
         F.col("v").isNull().alias("null"), F.coalesce("v", F.lit(0.0)).alias("v"), "probe", F.col("row_id").alias("id"), "tab",
     )
     sorted_ = shards(work, ["k", "probe", "t", "v", "id"], rows=rows)
-    w = params.window
-    columns = "k long, src string, t long, null boolean, v double, probe int, id long, tab string, _pid int"
-
-    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Context for the neighbours: rows of the first and the last series that are near the edge. Bounded by 2 * window a shard."""
-        k = pdf["k"].to_numpy()
-        head = pdf.iloc[: min(w, int(np.searchsorted(k, k[0], side="right")))]
-        tail = pdf.iloc[max(len(k) - w, int(np.searchsorted(k, k[-1], side="left"))) :]
-        return pd.concat([head.assign(side=0, whole=k[0] == k[-1] and len(k) <= w), tail.assign(side=1, whole=k[0] == k[-1] and len(k) <= w)])
-
-    near = per_shard(sorted_, edges, columns + ", side int, whole boolean").toPandas()
-    tails, heads = ({int(i): g.drop(columns=["side", "whole"]) for i, g in near[near["side"] == s].groupby("_pid")} for s in (1, 0))
-    whole = {int(i) for i, g in near.groupby("_pid") if g["whole"].iloc[0]}
-    order = sorted(heads)
-    before: dict[int, pd.DataFrame] = {}
-    after: dict[int, pd.DataFrame] = {}
-    for pos, i in enumerate(order):
-        want, parts, j = heads[i]["k"].iloc[0], [], pos - 1
-        while j >= 0 and tails[order[j]]["k"].iloc[-1] == want and sum(map(len, parts)) < w:
-            parts.insert(0, tails[order[j]])
-            if order[j] not in whole:
-                break
-            j -= 1
-        if parts:
-            before[i] = pd.concat(parts).tail(w)
-        want, parts, j = tails[i]["k"].iloc[-1], [], pos + 1
-        while j < len(order) and heads[order[j]]["k"].iloc[0] == want and sum(map(len, parts)) < w:
-            parts.append(heads[order[j]])
-            if order[j] not in whole:
-                break
-            j += 1
-        if parts:
-            after[i] = pd.concat(parts).head(w)
-    context = readings.sparkSession.sparkContext.broadcast((before, after))
-
-    def with_context(pdf: pd.DataFrame) -> tuple[pd.DataFrame, int]:
-        lead, trail = (c.get(int(pdf["_pid"].iloc[0])) for c in context.value)
-        return pd.concat([x for x in (lead, pdf, trail) if x is not None], ignore_index=True), 0 if lead is None else len(lead)
+    meta = per_shard(sorted_, lambda pdf: edge_readings(pdf, params), "pid int, first_k long, last_k long, ht array<long>, hv array<double>, tt array<long>, tv array<double>").toPandas()
+    context = readings.sparkSession.sparkContext.broadcast(neighbours(meta, params))  # at most window + after readings a shard
+    nothing = _Edge(), _Edge()
 
     def moves(pdf: pd.DataFrame) -> pd.DataFrame:
         """Histogram of the sizes of moves by source, each move counted where its later reading lies."""
-        full, lead = with_context(pdf)
-        v = full["v"].to_numpy()
-        with np.errstate(invalid="ignore"):
-            ok = ~full["null"].to_numpy() & np.isfinite(v) & (v > 1) & (full["probe"].to_numpy() == 0)
-        at = np.flatnonzero(ok)
-        k, t, x = full["k"].to_numpy()[at], full["t"].to_numpy()[at], np.log(v[at])
-        pair = (k[1:] == k[:-1]) & ~((t[1:] == t[:-1]) & (x[1:] == x[:-1])) & (at[1:] >= lead) & (at[1:] < lead + len(pdf))
+        rows, v = _readings(pdf)[2:]
+        before = context.value.get(int(pdf["_pid"].iloc[0]), nothing)[0]
+        lead = min(1, len(before.t))
+        k, t = (np.append(b, pdf[c].to_numpy()[rows]) for b, c in ((np.full(lead, pdf["k"].iloc[0]), "k"), (before.t[-1:], "t")))
+        x = np.log(np.append(before.v[-1:], v[rows]))
+        src = np.append(np.full(lead, "", dtype=object), pdf["src"].fillna("").to_numpy()[rows])
+        pair = (k[1:] == k[:-1]) & ~((t[1:] == t[:-1]) & (x[1:] == x[:-1]))
         size = np.abs(np.diff(x))[pair]
         with np.errstate(divide="ignore"):
             bins = np.where(size > 0, np.floor(np.log(size) / BIN), -10_000).astype(int)
-        return pd.DataFrame({"src": full["src"].fillna("").to_numpy()[at][1:][pair], "b": bins, "n": 1}).groupby(["src", "b"], as_index=False)["n"].sum()
+        return pd.DataFrame({"src": src[1:][pair], "b": bins, "n": 1}).groupby(["src", "b"], as_index=False)["n"].sum()
 
     hist = per_shard(sorted_, moves, "src string, b int, n long").groupBy("src", "b").agg(F.sum("n").alias("n")).toPandas()
     sigma, least = source_habits(hist, params)
 
     def flagged(pdf: pd.DataFrame) -> pd.DataFrame:
-        full, lead = with_context(pdf)
-        own = filter_shard(full, sigma, least, params)[lead : lead + len(pdf)]
-        return pdf.loc[own, ["tab", "id"]].rename(columns={"id": "row_id"})
+        return filter_shard(pdf, context.value.get(int(pdf["_pid"].iloc[0]), nothing), sigma, least, params)
 
-    return per_shard(sorted_, flagged, "tab string, row_id long")
+    told = stored(per_shard(sorted_, flagged, "kind string, pid int, tab string, row_id long, wait string, k long, v double, n double"))
+    runs = [tuple(r) for r in told.where("kind = 'run'").select("pid", "wait", "k", "v", "n").collect()]  # two rows a shard
+    out = told.where("kind = 'flag'").select("tab", "row_id")
+    if not runs:
+        return out
+    whole = readings.sparkSession.createDataFrame(whole_runs(runs), "pid int, wait string, k long, whole double")
+    return out.unionByName(told.where("kind = 'wait'").join(whole, ["pid", "wait", "k"]).where("whole >= n").select("tab", "row_id"))
 
 
 class _Default(dict):
@@ -251,8 +322,8 @@ def source_habits(hist: pd.DataFrame, p: SpikeParams) -> tuple[dict, dict]:
             i = int(np.searchsorted(c, half))
             share = (half - (c[i - 1] if i else 0)) / moved["n"].iloc[i]
             sigma[source] = float(np.exp((moved["b"].iloc[i] + share) * BIN) / 0.6745)
-        stay = min(max(still / total if total else 0.0, 1e-9), 0.958)
-        least[source] = max(p.least_stuck, 1 + np.log(p.stuck_tail) / np.log(stay))
+        stay = max(still / total if total else 0.0, 1e-9)
+        least[source] = max(p.least_stuck, 1 + np.log(p.stuck_tail) / np.log(stay)) if stay < 1 else float("inf")
     sigma.setdefault(None, 0.02)
     least.setdefault(None, float(p.least_stuck))
     for source in least:

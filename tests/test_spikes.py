@@ -88,3 +88,30 @@ def test_empty_tables_unknown_sources_and_extra_columns(spark):
     rows = [("ticks", i, 1, None, None if i == 3 else i, 2.0 + i / 100, 0, "x", 5) for i in range(10)]
     df = spark.createDataFrame(rows, SCHEMA + ", k string, _pid int")
     assert implausible(df, params=SpikeParams()).count() == 0
+
+
+def test_a_source_that_mostly_stands_still_is_judged_by_its_own_habit(spark):
+    """It repeats its price 99 times in 100, so runs of hundreds of readings are usual; only one of thousands, over many shards, is stuck."""
+    rng = random.Random(8)
+    rows, x = [], math.log(20.0)
+    for i in range(24_000):
+        if rng.random() < 0.01 and not 9_000 <= i < 13_000:
+            x += 0.01 * rng.choice([-1, -0.5, 0.5, 1])
+        rows.append(["ticks", i, 1, "still", i * 1000, math.exp(x), 0])
+    start = max(i for i in range(9_001) if i == 0 or rows[i][5] != rows[i - 1][5])
+    end = min(i for i in range(13_000, 24_000) if rows[i][5] != rows[i - 1][5])
+    assert flagged(spark, rows, rows=24_000 * 1_000_000 // 1_500) == {("ticks", i) for i in range(start, end)}
+
+
+def test_a_run_is_measured_over_shards_and_repeats_share_its_flag(spark):
+    rows = series(random.Random(9), 1, "quiet", 400, 0.01, 0)
+    for i in range(100, 300):
+        rows[i][5] = rows[100][5]
+    again = [["ticks", 1000 + i, *rows[i][2:]] for i in range(95, 305)]
+    want = {("ticks", i) for i in range(100, 300)} | {("ticks", 1000 + i) for i in range(100, 300)}
+    for per in (7, 50, 1000):
+        assert flagged(spark, rows + again, rows=610 * 1_000_000 // per) == want
+
+
+def test_a_source_that_never_moves_is_not_stuck(spark):
+    assert flagged(spark, [["ticks", i, 1, "dead", i, 2.0, 0] for i in range(500)]) == set()
