@@ -7,11 +7,17 @@ up accordingly; a row carries its own id, its parent's id and, where natural key
 
 The same content may come in several shapes. An element counts as repeated if any document of its feed repeats it; in others
 a lone object is a list of one. Objects whose names are all digits, and lists of [key, object], are lists of keyed elements.
-A text that holds a JSON object or list stands for that. A byte order mark is dropped."""
+A text that holds a JSON object or list stands for that. A byte order mark is dropped.
+
+Documents are walked with a stack of their own, so their depth is bounded by memory alone. Paths are spelled out for DEEP levels; below,
+an element of the name of one above it is that element, and rows are numbered instead of spelling out their place."""
 
 from __future__ import annotations
 
 import json
+import json.decoder
+import json.scanner
+import sys
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,6 +28,26 @@ from pyspark.sql import functions as F
 #: More distinct paths than this in one feed are no schema (names that are data); it is an error, nothing is dropped.
 MAX_PATHS = 100_000
 ROOT = "$"
+#: Levels down to which paths and row ids are spelled out.
+DEEP = 64
+#: Nested brackets that the fast reader surely reads.
+PLAIN_DEPTH = 900
+
+
+def read(text: str):
+    """The JSON value of a text, however deeply nested."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        slow = json.JSONDecoder()
+        slow.parse_object, slow.parse_array = json.decoder.JSONObject, json.decoder.JSONArray
+        slow.scan_once = json.scanner.py_make_scanner(slow)
+        usual = sys.getrecursionlimit()
+        sys.setrecursionlimit(usual + 4 * (text.count("[") + text.count("{") + PLAIN_DEPTH))
+        try:
+            return slow.decode(text)
+        finally:
+            sys.setrecursionlimit(usual)
 
 
 def load(text: str | None):
@@ -29,17 +55,17 @@ def load(text: str | None):
     if text is None:
         return None
     try:
-        return unwrap(json.loads(text.lstrip("﻿")))
-    except (ValueError, RecursionError):
+        return unwrap(read(text.lstrip("\ufeff")))
+    except ValueError:
         return None
 
 
 def unwrap(value):
     """Text that holds an object or a list becomes that; anything else stays."""
-    while isinstance(value, str) and value.lstrip("﻿ \t\r\n")[:1] in ("{", "["):
+    while isinstance(value, str) and value.lstrip("\ufeff \t\r\n")[:1] in ("{", "["):
         try:
-            value = json.loads(value.lstrip("﻿"))
-        except (ValueError, RecursionError):
+            value = read(value.lstrip("\ufeff"))
+        except ValueError:
             break
     return value
 
@@ -71,22 +97,30 @@ def elements(value) -> list[tuple[str, int, object]] | None:
     return None
 
 
-def paths(value, path: str, seen: Counter) -> None:
+def child(path: str, name: str) -> str:
+    """The path of an element: below DEEP levels that of the nearest element of its name above it, if there is one."""
+    if path.count(".") >= DEEP:
+        if path.endswith("." + name):
+            return path
+        if (at := path.rfind(f".{name}.")) >= 0:
+            return path[: at + 1 + len(name)]
+    return f"{path}.{name}"
+
+
+def paths(doc, root: str, seen: Counter) -> None:
     """Counts (path, kind) over one document; kinds: many, object, scalar, null."""
-    value = unwrap(value)
-    if (many := elements(value)) is not None:
-        seen[path, "many"] += 1
-        for _, _, x in many:
-            if elements(x) is not None:
-                paths(x, path + ".[]", seen)
-            else:
-                paths(x, path, seen)
-    elif isinstance(value, dict):
-        seen[path, "object"] += 1
-        for k, x in value.items():
-            paths(x, f"{path}.{k}", seen)
-    else:
-        seen[path, "null" if value is None else "scalar"] += 1
+    open_ = [(doc, root)]
+    while open_:
+        value, path = open_.pop()
+        value = unwrap(value)
+        if (many := elements(value)) is not None:
+            seen[path, "many"] += 1
+            open_ += [(x, child(path, "[]") if elements(x) is not None else path) for _, _, x in many]
+        elif isinstance(value, dict):
+            seen[path, "object"] += 1
+            open_ += [(x, child(path, k)) for k, x in value.items()]
+        else:
+            seen[path, "null" if value is None else "scalar"] += 1
 
 
 @dataclass
@@ -145,49 +179,58 @@ def plan_tables(graph: list[tuple[str, str, int]], declared: list[str] = ()) ->
     return plan
 
 
-def cut(doc, plan: Plan, keys: dict[str, str]) -> list[tuple]:
-    """Rows (tab, row_id, parent_id, ordinal, parent_key, columns) of one document."""
-    rows: list[tuple] = []
-
-    def inline(value, path: str, prefix: str, columns: dict, below: list) -> None:
-        value = unwrap(value)
-        for k, x in value.items():
-            p, x = f"{path}.{k}", unwrap(x)
+def inlined(value: dict, path: str, plan: Plan, columns: dict) -> list[tuple[str, object]]:
+    """Puts the scalars of an object and of the objects inlined in it into columns; returns the elements that have tables of their own."""
+    below = []
+    open_ = [(value, path, "")]
+    while open_:
+        value, path, prefix = open_.pop()
+        inside = []
+        for k, x in unwrap(value).items():
+            p, x = child(path, k), unwrap(x)
             if p in plan.tables:
                 below.append((p, x))
             elif isinstance(x, dict):
-                inline(x, p, f"{prefix}{k}.", columns, below)
+                inside.append((x, p, f"{prefix}{k}."))
             else:
                 columns[prefix + k] = plain(x) if not isinstance(x, list) else json.dumps(x)
+        open_ += inside[::-1]
+    return below
 
-    def row(value, path: str, rid: str, parent: str | None, key: str | None, ordinal: int, parent_key: str | None) -> None:
+
+def cut(doc, plan: Plan, keys: dict[str, str]) -> list[tuple]:
+    """Rows (tab, row_id, parent_id, ordinal, parent_key, columns) of one document."""
+    rows: list[tuple] = []
+    whole = elements(doc)
+    # value, path, row id, parent, key, ordinal, parent's key, depth
+    open_ = [(e, ROOT, f"/{i}", None, k, i, None, 0) for k, i, e in whole] if whole is not None else [(doc, ROOT, "/0", None, None, 0, None, 0)]
+    open_.reverse()
+    while open_:
+        value, path, rid, parent, key, ordinal, parent_key, depth = open_.pop()
         columns: dict = {}
         below: list = []
         if key is not None:
             columns["@key"] = key
-        if isinstance(value, dict) and path + ".[]" in plan.tables:
-            below.append((path + ".[]", value))
+        box = child(path, "[]")
+        if box in plan.tables and box != path if isinstance(value, dict) else elements(value) is not None:
+            below.append((box, value))
         elif isinstance(value, dict):
-            inline(value, path, "", columns, below)
-        elif elements(value) is not None:
-            below.append((path + ".[]", value))
+            below = inlined(value, path, plan, columns)
         elif value is not None:
             columns["@value"] = plain(value)
         rows.append((plan.same.get(path, path), rid, parent, ordinal, parent_key, columns))
         own = columns.get(keys[path]) if path in keys else parent_key
         if "+" + path in keys and own is not None:
             own = None if parent_key is None else f"{parent_key}/{own}"
+        inside = []
         for p, x in below:
             if x is None:
                 continue
             for k, i, e in elements(x) if elements(x) is not None else [("0", 0, x)]:
-                row(e, p, f"{rid}/{p.rpartition('.')[2]}/{i}", rid, k, i, own)
-
-    if (many := elements(doc)) is not None:
-        for k, i, e in many:
-            row(e, ROOT, f"/{i}", None, k, i, None)
-    else:
-        row(doc, ROOT, "/0", None, None, 0, None)
+                # the open elements and the rows so far make the number unique
+                at = f"{rid}/{p.rpartition('.')[2]}/{i}" if depth < DEEP else f"~{len(rows)}.{len(inside)}"
+                inside.append((e, p, at, rid, k, i, own, depth + 1))
+        open_ += inside[::-1]
     return rows
 
 

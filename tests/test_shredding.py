@@ -62,3 +62,20 @@ def test_bad_bodies_keyed_elements_and_nothing(spark):
 def test_declared_repeats_hold_for_lone_objects(spark):
     rows = shredded(spark, [{"id": 1, "games": {"g": 9}}], repeated={"f": ["$.games"]}, keys={"f": {"$": "id"}})
     assert [(r.parent_key, r.g) for r in flat(rows, "f", "$.games", ["g"]).collect()] == [("1", "9")]
+
+
+def test_depth_is_no_limit(spark):
+    """Recursive objects, nested lists and names that differ on every level, thousands of levels down; none is lost."""
+    def nest(n, wrap):
+        text = '{"v": 0}'
+        for i in range(n):
+            text = wrap(i, text)
+        return text
+
+    docs = [nest(5_000, lambda i, t: f'{{"id": {i}, "next": {t}}}'), nest(20_000, lambda i, t: f"[{t}]"), nest(1_500, lambda i, t: f'{{"k{i}": {t}}}')]
+    rows = shredded(spark, docs).select("pid", "row_id", "parent_id", "columns").collect()
+    ids = {(r.pid, r.row_id) for r in rows}
+    assert len(ids) == len(rows) and all((r.pid, r.parent_id) in ids for r in rows if r.parent_id)
+    of = lambda pid: [r.columns for r in rows if r.pid == pid]
+    assert sum(k == "id" or k.endswith(".id") for c in of(0) for k in c) == 5_000
+    assert all(any(k == "v" or k.endswith(".v") for c in of(pid) for k in c) for pid in range(3))
