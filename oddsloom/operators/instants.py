@@ -58,11 +58,17 @@ def offset_intervals(zone: str) -> list[tuple[int, int, int]]:
     return [*out, (start + off, last + off, off)]
 
 
-def zone_table(df: DataFrame, zone: str) -> DataFrame:
+#: There are a few hundred zones in the world; more names than this are no zones, and an error.
+MOST_ZONES = 2_000
+
+
+def zone_table(zones: DataFrame, zone: str) -> DataFrame:
     """(zone, year, spans): the offset intervals of each zone that touch a year. At most one row a zone and year, so its
     size is bounded by the number of zones in the world."""
-    spark = df.sparkSession
-    names = [r[0] for r in df.select(zone).where(F.col(zone).isNotNull()).distinct().limit(2_000).collect()]
+    spark = zones.sparkSession
+    names = [r[0] for r in zones.select(zone).where(F.col(zone).isNotNull()).distinct().limit(MOST_ZONES + 1).collect()]
+    if len(names) > MOST_ZONES:
+        raise ValueError(f"more than {MOST_ZONES} names of zones")
     rows = []
     for name in names:
         try:
@@ -79,12 +85,13 @@ def _try_int(c: Column) -> Column:
     return c.try_cast("int")
 
 
-def with_instants(df: DataFrame, *, text: str, zone: str, day_first: str) -> DataFrame:
+def with_instants(df: DataFrame, *, text: str, zone: str, day_first: str, zones: DataFrame | None = None) -> DataFrame:
     """Adds utc_ms (long) and time_status to each row: 'epoch' (a count), 'zoned' (named its zone), 'unique', 'ambiguous',
     'skipped' (wall times), or null with a null utc_ms where the text names no instant: null, empty, a placeholder, not a
     date, a time alone, a date alone, or wall time without a known zone. day_first says how all-digit dates that do not begin with the year are
     written (null: month first). Fractions beyond milliseconds are cut. Two-digit years are of this century.
-    Columns named utc_ms or time_status are replaced.
+    Columns named utc_ms or time_status are replaced. zones: a table whose column of that name holds every zone of df, if there is one
+    smaller than df.
     A count is seconds, milli-, micro-, nanoseconds since 1970 or 100 ns since year 1 by its size; below 1e8 it is a placeholder."""
     # the row is set aside, so that none of its names can clash with those used here
     kept = [c for c in df.columns if c not in ("utc_ms", "time_status")]
@@ -120,7 +127,7 @@ def with_instants(df: DataFrame, *, text: str, zone: str, day_first: str) -> Dat
     df = df.withColumns({"_y": year, "_mo": month, "_d": day, "_h": hour, "_mi": _try_int(c(4)), "_s": second.cast("decimal(8,6)"), "_ms": millis, "_off": F.coalesce(minutes, F.try_element_at(names, z)), "_named": F.coalesce(F.length(z) > 0, F.lit(False)), "_year": year, "_epoch": epoch})
     df = df.withColumn("_l", local)
     # the table is bounded by the number of zones and years
-    df = df.join(F.broadcast(zone_table(df, "_zone")), ["_zone", "_year"], "left")
+    df = df.join(F.broadcast(zone_table(df if zones is None else zones.select(F.col(zone).alias("_zone")), "_zone")), ["_zone", "_year"], "left")
     holding = F.filter("_spans", lambda s: (s["s"] <= F.col("_l")) & (F.col("_l") < s["e"]))
     earlier = F.filter("_spans", lambda s: s["e"] <= F.col("_l"))
     wall = F.when(F.size(holding) >= 1, F.array_max(F.transform(holding, lambda s: s["o"]))).when(F.size(earlier) >= 1, F.element_at(F.array_sort(earlier, lambda a, b: (a["e"] - b["e"]).cast("int")), -1)["o"])

@@ -83,7 +83,7 @@ def kickoff_instants(spark: SparkSession, d: str) -> DataFrame:
     )
     books = table(spark, d, "books")
     said = lookup(odds.unionByName(inside.where("item IS NOT NULL")), books.select("book", "home_zone", "day_first"), ["book"], salt_from="row_id")
-    return with_instants(said, text="said", zone="home_zone", day_first="day_first")
+    return with_instants(said, text="said", zone="home_zone", day_first="day_first", zones=books)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
