@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from oddsloom.plans.materialize import shared_dir
+from oddsloom.plans.materialize import run_dir
 
 
 def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -85,7 +85,7 @@ def without_repeats(events: DataFrame, keys: list[str], *, at: str, late: str) -
 
 def each_batch(stream: DataFrame, f: Callable[[DataFrame, int], None]):
     """Runs all that is there through f(batch, epoch), to a checkpointed end."""
-    place = f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = f"{run_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.foreachBatch(f).option("checkpointLocation", place).trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -93,7 +93,7 @@ def each_batch(stream: DataFrame, f: Callable[[DataFrame, int], None]):
 def start(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs all that is there into a Parquet table in the shared folder and returns the table."""
     spark = stream.sparkSession
-    place = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
