@@ -130,7 +130,7 @@ def prepared(records: DataFrame, people: list[str]) -> DataFrame:
 def candidates(r: DataFrame) -> DataFrame:
     """(id_a, id_b, src_a, src_b): pairs of prepared records of two sources, id_a < id_b, that share a band and a mark and are within REACH.
 
-    Buckets are a band's hash, mark and day; hot ones (a cup's name on a full day) are spread over tasks."""
+    Cells are a band's hash, mark and day; hot ones (a cup's name on a full day) are spread over tasks."""
     common = common_words(r.select("domain", F.explode(F.array("hk", "ak")).alias("key")).distinct())
     shared = r.sparkSession.sparkContext.broadcast(common)
     bands = Bands(*bands_for(TUNE_AT, RECALL))
@@ -144,11 +144,12 @@ def candidates(r: DataFrame) -> DataFrame:
     sig = r.select("id", "source", "domain", "mark", "hk", "ak", "at").mapInPandas(signed, f"id {kind}, source string, domain string, mark string, at double, band int, h long")
     sig = stored(sig.select("id", "source", "at", F.xxhash64("domain", "mark", "band", "h").alias("bucket"), F.xxhash64("domain", "mark").alias("kind")))
     block = lambda c: F.floor(c / BLOCK)
-    side = lambda x: [F.col("id").alias(f"id_{x}"), F.col("source").alias(f"src_{x}"), F.col("at").alias(f"at_{x}"), F.col("kind").alias(f"kind_{x}"), "bucket"]
-    left = sig.select(*side("a"), block(F.col("at")).alias("day"))
-    right = sig.select(*side("b"), F.explode(F.array_distinct(F.array(block(F.col("at") - REACH), block(F.col("at")), block(F.col("at") + REACH)))).alias("day"))
+    side = lambda x: [F.col("id").alias(f"id_{x}"), F.col("source").alias(f"src_{x}"), F.col("at").alias(f"at_{x}"), F.col("kind").alias(f"kind_{x}")]
+    cell = lambda day: F.xxhash64("bucket", day).alias("cell")
+    left = sig.select(*side("a"), cell(block(F.col("at"))))
+    right = sig.select(*side("b"), F.explode(F.array_distinct(F.array(block(F.col("at") - REACH), block(F.col("at")), block(F.col("at") + REACH)))).alias("day"), "bucket").withColumn("cell", cell(F.col("day"))).drop("bucket", "day")
     near = (F.col("id_a") < F.col("id_b")) & (F.col("src_a") != F.col("src_b")) & (F.col("kind_a") == F.col("kind_b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= REACH)
-    return meet(left, right, ["bucket", "day"], "id_a").where(near).select("id_a", "id_b", "src_a", "src_b").distinct()
+    return meet(left, right, ["cell"], "id_a").where(near).select("id_a", "id_b", "src_a", "src_b").distinct()
 
 
 def match(records: DataFrame, *, people: list[str]) -> DataFrame:

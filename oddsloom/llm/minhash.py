@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.plans.joins import BROADCAST_ROWS
+from oddsloom.plans.materialize import table as stored
+
 Q = 3
 MOST_HASHES = 256
 #: Buckets with more rows than this are spread over several tasks.
@@ -76,7 +79,10 @@ class Bands:
 def meet(left: DataFrame, right: DataFrame, on: list[str], split: str) -> DataFrame:
     """Inner join of two tables of bucket rows. A bucket with more than HOT rows on the left is cut by a hash of the left's column
     `split` into parts, each of which meets the whole bucket of the right in a task of its own. Equal columns of the sides besides `on` are not allowed."""
-    hot = left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(*on, F.ceil(F.col("_n") / HOT).cast("int").alias("_parts"))
+    hot = stored(left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(*on, F.ceil(F.col("_n") / HOT).cast("int").alias("_parts")))
+    if (n := hot.count()) == 0:
+        return left.join(right, on)
+    hot = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
     cut = left.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(split), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")).drop("_parts")
     full = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return cut.join(full, [*on, "_part"]).drop("_part")
