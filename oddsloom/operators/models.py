@@ -231,10 +231,24 @@ def model_values(posted: DataFrame, sheet: DataFrame, key: list[str]) -> DataFra
     return j.where(F.col("ev") >= least).select(*key, "market", "posted", F.col("odds").alias("fair"), "ev", "robust")
 
 
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(40)
+
+
 def _normal_cdf(x: np.ndarray) -> np.ndarray:
-    from math import erf
+    """By integrating the density from 0; beyond 9 the rest is below what a double resolves."""
+    x = np.clip(np.asarray(x, dtype=float), -9.0, 9.0)
+    t = x[..., None] / 2 * (_NODES + 1)
+    return 0.5 + x / 2 * (np.exp(-t * t / 2) * _WEIGHTS).sum(-1) / np.sqrt(2 * np.pi)
 
-    return np.vectorize(lambda v: 0.5 * (1 + erf(v / 2**0.5)), otypes=[float])(x)
+
+def margin_of(win: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """The expected margin at which the home side wins with the given chance."""
+    lo, hi = np.full_like(win, -9.0), np.full_like(win, 9.0)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        low = _normal_cdf(mid) < win
+        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+    return sigma * (lo + hi) / 2
 
 
 def bivariate_cdf(a: np.ndarray, b: np.ndarray, rho: float) -> np.ndarray:
@@ -270,21 +284,29 @@ def sigma_of(league: pd.Series) -> np.ndarray:
     return out
 
 
-def half_full_sheet(events: DataFrame, key: list[str]) -> DataFrame:
-    """key, outcome, prob for events with mu (expected margin of home), mu1 (of the half, or null) and league."""
+def half_full_sheet(events: DataFrame, key: list[str], *, combo: str | None = None, win: str | None = None) -> DataFrame:
+    """key, outcome, prob for events with mu (expected margin of home), mu1 (of the half, or null) and league.
+
+    combo: column with the posted prices by outcome; without one that ends in X there are six outcomes, else (or without the column) nine.
+    win: column with the chance of home that stands in for an unknown mu. Events with neither are left out."""
     kinds = dict(events.dtypes)
+    nine = F.lit(True) if combo is None else F.exists(F.map_keys(combo), lambda k: k.endswith("/X"))
+    work = events.select(*key, "mu", "mu1", "league", (F.lit(None).cast("double") if win is None else F.col(win)).alias("_win"), F.coalesce(nine, F.lit(True)).alias("_nine"))
 
     def run(batches):
         for b in batches:
-            mu = b["mu"].to_numpy(float)
-            mu1 = b["mu1"].to_numpy(float)
-            got = half_full_fair(mu, np.where(np.isnan(mu1), mu / 2, mu1), sigma_of(b["league"]))
-            out = pd.DataFrame({"outcome": np.tile(list(got), len(b)), "prob": np.column_stack(list(got.values())).ravel()})
-            for k in key:
-                out[k] = np.repeat(b[k].to_numpy(), len(got))
-            yield out[[*key, "outcome", "prob"]]
-
-    return events.where("mu IS NOT NULL").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", outcome string, prob double")
+            sigma = sigma_of(b["league"])
+            mu, mu1, win = (b[c].to_numpy(float) for c in ("mu", "mu1", "_win"))
+            mu = np.where(np.isnan(mu), margin_of(np.nan_to_num(win, nan=0.5), sigma), mu)
+            mu1 = np.where(np.isnan(mu1), mu / 2, mu1)
+            for wide in (True, False):
+                own = b["_nine"].to_numpy(bool) == wide
+                if own.any():
+                    got = half_full_fair(mu[own], mu1[own], sigma[own], nine=wide)
+                    out = b.loc[own, key].iloc[np.repeat(np.arange(own.sum()), len(got))]
+                    yield out.assign(outcome=np.tile(list(got), own.sum()), prob=np.column_stack(list(got.values())).ravel())
+
+    return work.where("mu IS NOT NULL OR _win IS NOT NULL").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", outcome string, prob double")
 
 
 def _least_squares(f, x: np.ndarray, rounds: int = 60) -> np.ndarray:

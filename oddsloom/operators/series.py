@@ -47,6 +47,17 @@ def step_series(ticks: DataFrame, since: str) -> DataFrame:
     return inside.unionByName(seed)
 
 
+def nearest_market(wanted: DataFrame, markets: DataFrame, on: list[str], null_safe: list[str] = (), tolerance: float = 0.26) -> DataFrame:
+    """wanted (on, null_safe, line) with the market_id of the same market whose line is nearest, within the tolerance, and the gap; ties go to the
+    smaller id. A line of null asks for a market without line. Lines are met in buckets of the tolerance's width, so the join is on equal keys."""
+    cell = lambda c: F.coalesce(F.floor(c / tolerance), F.lit(-(10**9)))
+    safe = {c: F.coalesce(F.col(c), F.lit("~")) for c in null_safe}
+    left = wanted.select("*", *[e.alias(f"_{c}") for c, e in safe.items()], F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.when(F.col("line").isNull(), cell(F.col("line"))).otherwise(cell(F.col("line")) + k)))).alias("_cell"))
+    right = markets.select(*on, *[e.alias(f"_{c}") for c, e in safe.items()], "market_id", F.col("line").alias("_line"), cell(F.col("line")).alias("_cell"))
+    j = left.join(right, [*on, *[f"_{c}" for c in null_safe], "_cell"]).withColumn("gap", F.coalesce(F.abs(F.col("line") - F.col("_line")), F.lit(0.0))).where(F.col("gap") <= tolerance + 1e-9)
+    return j.groupBy(*wanted.columns).agg(F.min_by(F.struct("market_id", "gap"), F.struct("gap", "market_id")).alias("x")).select(*wanted.columns, "x.*")
+
+
 def sessions(ticks: DataFrame, hours: int, *, slice_hours: int = 24) -> DataFrame:
     """market_id, start, last, n of each market's sessions: readings less than `hours` apart.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsloom.plans.materialize import checkpoint
@@ -85,3 +85,20 @@ def ranks(df: DataFrame, group: str, value: str, ident: str, *, rows: int | None
 
     kinds = dict(df.dtypes)
     return per_shard(sorted_, ranked, f"{group} string, {value} double, {ident} {kinds[ident]}, lower long, upto long, nth long, total long")
+
+
+def running_total(df: DataFrame, order: list[str], value: str, *, rows: int | None = None) -> DataFrame:
+    """df with running: the sum of value over all rows up to each, in the order of the columns (null values count as 0). A row a shard goes
+    through the driver."""
+    sorted_ = shards(df, list(order), rows=rows)
+    v = F.coalesce(F.col(value), F.lit(0.0))
+    sums = sorted_.groupBy("_pid").agg(F.sum(v).alias("n")).orderBy("_pid").collect()
+    before, total = [], 0.0
+    for r in sums:
+        before.append((r["_pid"], total))
+        total += r["n"]
+    if not before:
+        return sorted_.drop("_pid").withColumn("running", F.lit(0.0))
+    lead = df.sparkSession.createDataFrame(before, "_pid int, _before double")
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return sorted_.join(F.broadcast(lead), "_pid").withColumn("running", F.sum(v).over(w) + F.col("_before")).drop("_pid", "_before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from oddsloom.operators import consistency as co
 from oddsloom.operators import identities as idn
 from oddsloom.operators import ledger as le
+from oddsloom.operators.board import with_sides
 from oddsloom.queries_board import _BOARD, _SIDES, _board, _shin, _v
 from oddsloom.sources.tables import table
 
@@ -40,16 +41,20 @@ _S = f"board AS ({_BOARD}), s AS (SELECT * FROM ({_SIDES.replace('FROM odds', 'F
 
 
 def _cross(market: str, side: str, other: str, name: str) -> str:
-    return f"""{name}_r AS (SELECT source, sport, event, period, line, arg_min({_shin(side, other)}, odds_id) AS p FROM s WHERE market_type = '{market}' AND line IS NOT NULL AND {side} IS NOT NULL AND {other} IS NOT NULL GROUP BY ALL),
+    return f"""{name}_s AS (SELECT *, row_number() OVER (PARTITION BY source, sport, event, period ORDER BY n DESC, i) AS k FROM (
+  SELECT source, sport, event, period, section, count(*) AS n, min(odds_id) AS i FROM s WHERE market_type = '{market}' AND sport IN ('basketball', 'soccer') GROUP BY ALL)),
+{name}_r AS (SELECT s.source, s.sport, s.event, s.period, s.line, arg_min({_shin(side, other)}, s.odds_id) AS p FROM s JOIN {name}_s m ON m.k = 1 AND m.source = s.source AND m.sport = s.sport AND m.event = s.event
+  AND m.period = s.period AND m.section IS NOT DISTINCT FROM s.section WHERE s.market_type = '{market}' AND s.line IS NOT NULL AND {side} IS NOT NULL AND {other} IS NOT NULL GROUP BY ALL),
 {name}_w AS (SELECT *, lead(line) OVER w AS l2, lead(p) OVER w AS p2 FROM {name}_r WINDOW w AS (PARTITION BY source, sport, event, period ORDER BY line)),
-{name} AS (SELECT source, sport, event, period, arg_min(CASE WHEN p = 0.5 THEN line ELSE line + (0.5 - p) * (l2 - line) / (p2 - p) END, line) AS {name} FROM {name}_w WHERE p = 0.5 OR (p - 0.5) * (p2 - 0.5) < 0 GROUP BY ALL)"""
+{name} AS (SELECT source, sport, event, period, arg_min(line + (0.5 - p) * (l2 - line) / (p2 - p), line) AS {name} FROM {name}_w WHERE (p - 0.5) * (p2 - 0.5) <= 0 AND p2 <> p GROUP BY ALL)"""
 
 
-_VIEW = f"""{_S}, ml2 AS (SELECT source, sport, event, period, arg_min({_shin('h', 'a')}, odds_id) AS ml2 FROM s WHERE market_type = 'moneyline' AND NOT three_way AND h IS NOT NULL AND a IS NOT NULL GROUP BY ALL),
-pick AS (SELECT source, sport, event, period, arg_min({_shin('h', 'a')}, odds_id) AS pick FROM s WHERE market_type = 'spread' AND line = 0 AND h IS NOT NULL AND a IS NOT NULL GROUP BY ALL),
+_VIEW = f"""{_S}, ml2 AS (SELECT source, sport, event, period, arg_min({_shin('h', 'a')}, odds_id) AS ml2 FROM s WHERE sport IN ('basketball', 'soccer') AND market_type = 'moneyline' AND NOT three_way AND h IS NOT NULL AND a IS NOT NULL GROUP BY ALL),
+pick AS (SELECT source, sport, event, period, arg_min({_shin('h', 'a')}, odds_id) AS pick FROM s WHERE sport IN ('basketball', 'soccer') AND market_type = 'spread' AND line = 0 AND h IS NOT NULL AND a IS NOT NULL GROUP BY ALL),
 {_cross('spread', 'h', 'a', 'spread_center')}, {_cross('total', 'o', 'u', 'total_center')},
 v AS (SELECT * FROM ml2 FULL JOIN pick USING (source, sport, event, period) FULL JOIN spread_center USING (source, sport, event, period) FULL JOIN total_center USING (source, sport, event, period)),
 f AS (SELECT v.*, x.ml2 AS f2 FROM v JOIN v x ON v.source = x.source AND v.sport = x.sport AND v.event = x.event AND x.period = 'FT' WHERE v.period <> 'FT')"""
+_NONE = "NULL::VARCHAR AS outcome"
 
 
 @_query(f"WITH {_VIEW} SELECT source, sport, event, period, round(ml2, 6) AS ml2, round(pick, 6) AS pick, round(spread_center, 5) AS spread_center, round(total_center, 5) AS total_center FROM v")
@@ -58,27 +63,26 @@ def period_view(spark, d):
     return v.select("source", "sport", "event", "period", *[F.round(c, n).alias(c) for c, n in (("ml2", 6), ("pick", 6), ("spread_center", 5), ("total_center", 5))])
 
 
-@_query(f"WITH {_VIEW} SELECT source, sport, event, 'ml_vs_spread' AS kind, period AS periods, round(abs(ml2 - pick)*100, 4) AS severity FROM v WHERE abs(ml2 - pick)*100 >= 5")
+@_query(f"WITH {_VIEW} SELECT source, sport, event, 'ml_vs_spread' AS kind, period AS periods, NULL::VARCHAR AS outcome, round(abs(ml2 - pick)*100, 4) AS severity FROM v WHERE abs(ml2 - pick)*100 >= 5")
 def ml_vs_spread(spark, d):
     return _flags(co.moneyline_against_spread(co.period_view(_board(spark, d))))
 
 
-@_query(f"WITH {_VIEW} SELECT source, sport, event, 'favourite_flip' AS kind, 'FT/' || period AS periods, round(abs(f2 - ml2)*100, 4) AS severity FROM f WHERE (f2 - 0.5)*(ml2 - 0.5) < 0 AND abs(f2 - 0.5) >= 0.06 AND abs(ml2 - 0.5) >= 0.06")
+@_query(f"WITH {_VIEW} SELECT source, sport, event, 'favourite_flip' AS kind, period || ' vs FT' AS periods, NULL::VARCHAR AS outcome, round((abs(f2 - 0.5) + abs(ml2 - 0.5))*100, 4) AS severity FROM f WHERE (f2 - 0.5)*(ml2 - 0.5) < 0 AND abs(f2 - 0.5) >= 0.06 AND abs(ml2 - 0.5) >= 0.06")
 def favourite_flip(spark, d):
     return _flags(co.favourite_flip(co.period_view(_board(spark, d))))
 
 
-@_query(f"WITH {_VIEW} SELECT source, sport, event, 'quarter_extreme' AS kind, period AS periods, round((abs(ml2 - 0.5) - abs(f2 - 0.5))*100, 4) AS severity FROM f WHERE period LIKE 'Q%' AND (abs(ml2 - 0.5) - abs(f2 - 0.5))*100 >= 6")
+@_query(f"WITH {_VIEW} SELECT source, sport, event, 'quarter_ml_extreme' AS kind, period || ' vs FT' AS periods, NULL::VARCHAR AS outcome, round((abs(ml2 - 0.5) - abs(f2 - 0.5))*100, 4) AS severity FROM f WHERE period LIKE 'Q%' AND (abs(ml2 - 0.5) - abs(f2 - 0.5))*100 >= 6")
 def quarter_extreme(spark, d):
     return _flags(co.quarter_extreme(co.period_view(_board(spark, d))))
 
 
 def _sum_sql() -> str:
     rows = []
-    for whole, sums in co.SUMS.items():
-        for parts in sums:
-            gap = f"abs({' + '.join(parts)} - {whole})"
-            rows.append(f"SELECT source, sport, event, 'total_additivity' AS kind, '{whole}={'+'.join(parts)}' AS periods, round({gap}, 4) AS severity FROM w WHERE {gap} >= 5")
+    for whole, parts in (("FT", ("H1", "H2")), ("H1", ("Q1", "Q2")), ("H2", ("Q3", "Q4")), ("FT", ("Q1", "Q2", "Q3", "Q4"))):
+        gap = f"abs({' + '.join(parts)} - {whole})"
+        rows.append(f"SELECT source, sport, event, 'total_additivity' AS kind, '{'+'.join(parts)} vs {whole}' AS periods, NULL::VARCHAR AS outcome, round({gap}, 4) AS severity FROM w WHERE {gap} >= 5")
     wide = ", ".join(f"max(CASE WHEN period = '{p}' THEN total_center END) AS {p}" for p in ("FT", "H1", "H2", "Q1", "Q2", "Q3", "Q4"))
     return f"WITH {_VIEW}, w AS (SELECT source, sport, event, {wide} FROM v GROUP BY ALL) " + " UNION ALL ".join(rows)
 
@@ -94,23 +98,63 @@ def consistency_flags(spark, d):
 
 
 @_query(f"""WITH {_S}, h1 AS (SELECT source, sport, event, arg_min({{'h': h, 'a': a}}, odds_id) AS h1 FROM s WHERE market_type = 'moneyline' AND period = 'H1' AND three_way GROUP BY ALL), ft AS (SELECT source, sport, event, arg_min({{'h': h, 'a': a}}, odds_id) AS ft FROM s WHERE market_type = 'moneyline' AND period = 'FT' AND three_way GROUP BY ALL),
-c AS (SELECT source, sport, event, arg_min(selections, odds_id) AS c FROM s WHERE market_type = 'htft' GROUP BY ALL),
+c AS (SELECT source, sport, event, arg_min(selections, odds_id) AS c FROM s WHERE market_type = 'htft' AND period = 'FT' GROUP BY ALL),
 r AS (SELECT source, sport, event, '1/1' AS outcome, {_v("c['1/1']")} AS posted, h1.h AS h, ft.h AS f FROM c JOIN h1 USING (source, sport, event) JOIN ft USING (source, sport, event) UNION ALL SELECT source, sport, event, '2/2', {_v("c['2/2']")}, h1.a, ft.a FROM c JOIN h1 USING (source, sport, event) JOIN ft USING (source, sport, event)),
 k AS (SELECT *, (greatest(h, f)/posted - 1)*100 AS short, (posted/greatest(h*(1 + (f - 1)/2), h, f) - 1)*100 AS long FROM r WHERE h IS NOT NULL AND f IS NOT NULL AND posted IS NOT NULL)
-SELECT source, sport, event, 'half_full_combo' AS kind, outcome AS periods, round(CASE WHEN short >= 2 THEN short ELSE long END, 4) AS severity FROM k WHERE short >= 2 OR long >= 2""")
+SELECT source, sport, event, 'htft_combo' AS kind, 'H1+FT' AS periods, outcome, round(CASE WHEN short >= 2 THEN short ELSE long END, 4) AS severity FROM k WHERE posted BETWEEN 1.15 AND 4.5 AND (short >= 2 OR long >= 2)""")
 def half_full_combo(spark, d):
     return _flags(co.half_full_combos(_board(spark, d)))
 
 
-@_query(f"""WITH {_S}, p AS (SELECT *, (1/h)/(1/h + 1/a) AS p FROM s WHERE market_type = 'moneyline'), m2 AS (SELECT source, sport, event, arg_min(p, odds_id) AS m2 FROM p WHERE p IS NOT NULL AND period = 'FT' AND NOT three_way GROUP BY ALL), m3 AS (SELECT source, sport, event, arg_min(p, odds_id) AS m3 FROM p WHERE p IS NOT NULL AND period = 'FT' AND three_way GROUP BY ALL),
-ht AS (SELECT source, sport, event, arg_min(p, odds_id) AS ht FROM p WHERE p IS NOT NULL AND period = 'H1' GROUP BY ALL), c0 AS (SELECT source, sport, event, arg_min(selections, odds_id) AS c FROM s WHERE market_type = 'htft' GROUP BY ALL),
+@_query(f"""WITH {_S}, p AS (SELECT *, (1/h)/(1/h + 1/a) AS p FROM s WHERE sport = 'basketball' AND market_type = 'moneyline'), m2 AS (SELECT source, sport, event, arg_min(p, odds_id) AS m2 FROM p WHERE p IS NOT NULL AND period = 'FT' AND NOT three_way GROUP BY ALL), m3 AS (SELECT source, sport, event, arg_min(p, odds_id) AS m3 FROM p WHERE p IS NOT NULL AND period = 'FT' AND three_way GROUP BY ALL),
+ht AS (SELECT source, sport, event, arg_min(p, odds_id) AS ht FROM p WHERE p IS NOT NULL AND period = 'H1' GROUP BY ALL), c0 AS (SELECT source, sport, event, arg_min(selections, odds_id) AS c FROM s WHERE sport = 'basketball' AND market_type = 'htft' AND period = 'FT' GROUP BY ALL),
 c1 AS (SELECT source, sport, event, {' + '.join(f"coalesce(1/{_v(f'c[$${k}$$]')}, 0)" for k in ('1/1', 'X/1', '2/1'))} AS x, {' + '.join(f"coalesce(1/{_v(f'c[$${k}$$]')}, 0)" for k in ('1/2', 'X/2', '2/2'))} AS y FROM c0), c AS (SELECT source, sport, event, CASE WHEN x > 0 AND y > 0 THEN x/(x + y) END AS cp FROM c1),
 j AS (SELECT *, list_filter([m2, m3, ht, cp], lambda z: z IS NOT NULL) AS l FROM m2 FULL JOIN m3 USING (source, sport, event) FULL JOIN ht USING (source, sport, event) FULL JOIN c USING (source, sport, event)), k AS (SELECT *, list_min(l) AS lo, list_max(l) AS hi FROM j WHERE len(l) >= 2)
-SELECT source, sport, event, 'favourite_disagreement' AS kind, 'all' AS periods, round((hi - lo)*100, 4) AS severity FROM k WHERE lo < 0.5 AND hi > 0.5 OR (hi - lo)*100 >= 10""")
+SELECT source, sport, event, 'basketball_fav' AS kind, '2W/3W/HT' AS periods, NULL::VARCHAR AS outcome, round((hi - lo)*100, 4) AS severity FROM k WHERE lo < 0.5 AND hi > 0.5 OR (hi - lo)*100 >= 10""")
 def favourite_disagreement(spark, d):
     return _flags(co.favourite_disagreement(_board(spark, d)))
 
 
+_TOP = "contains(lower(coalesce(league, '')), " + ") OR contains(lower(coalesce(league, '')), ".join(
+    f"'{w}'" for w in ("world cup", "champions league", "europa", "conference", "uefa", "premier league", "la liga", "serie a", "bundesliga", "ligue 1", "nations league", "copa america", "euro 20")
+) + ")"
+
+
+@_query(f"""WITH {_S}, c AS (SELECT source, sport, event, arg_min(selections, odds_id) AS c FROM s WHERE sport = 'soccer' AND market_type = 'htft' AND period = 'FT' GROUP BY ALL),
+ft AS (SELECT source, sport, event, arg_min({{'h': h, 'a': a}}, odds_id) AS f FROM s WHERE sport = 'soccer' AND market_type = 'moneyline' AND period = 'FT' GROUP BY ALL),
+h1 AS (SELECT source, sport, event, arg_min({{'h': h, 'a': a}}, odds_id) AS g FROM s WHERE sport = 'soccer' AND market_type = 'moneyline' AND period = 'H1' GROUP BY ALL),
+j AS (SELECT c.source, c.sport, c.event, c.c, f, g, CASE WHEN f.h < 1.30 THEN 'home' WHEN f.a < 1.30 THEN 'away' WHEN f.h IS NULL AND f.a IS NOT NULL THEN 'home' WHEN f.a IS NULL AND f.h IS NOT NULL THEN 'away' END AS side FROM c JOIN ft USING (source, sport, event) LEFT JOIN h1 USING (source, sport, event)),
+k AS (SELECT source, sport, event, side, CASE side WHEN 'home' THEN f.h ELSE f.a END AS ft, CASE side WHEN 'home' THEN g.h ELSE g.a END AS h1, CASE side WHEN 'home' THEN {_v("c['1/1']")} ELSE {_v("c['2/2']")} END AS posted FROM j WHERE side IS NOT NULL),
+r AS (SELECT *, CASE WHEN posted >= 1.2 * h1 THEN posted / h1 WHEN posted >= 1.35 * ft THEN posted / ft END AS ratio FROM k)
+SELECT source, sport, event, 'soccer_htft' AS kind, 'HT/FT' AS periods, CASE side WHEN 'home' THEN '1/1' ELSE '2/2' END AS outcome, round((round(ratio, 2) - 1)*100, 4) AS severity FROM r WHERE ratio IS NOT NULL""")
+def favourite_combo(spark, d):
+    return _flags(co.favourite_combo(_board(spark, d)))
+
+
+@_query(f"""WITH {_S}, m AS (SELECT source, sport, event, arg_min({{'h': h, 'a': a}}, odds_id) AS x FROM s WHERE market_type = 'moneyline' AND period = 'FT' GROUP BY ALL), l AS (SELECT source, sport, event, arg_min(league, odds_id) AS league FROM board GROUP BY ALL)
+SELECT source, sport, event, CASE WHEN x.h < 1.30 THEN 'home' WHEN x.a < 1.30 THEN 'away' WHEN x.h IS NULL AND x.a IS NOT NULL THEN 'home' WHEN x.a IS NULL AND x.h IS NOT NULL THEN 'away' END AS favourite, ({_TOP}) AS top,
+NOT ({_TOP}) AND CASE WHEN sport = 'soccer' THEN coalesce(x.h < 1.5, false) OR coalesce(x.a < 1.5, false) OR (x.h IS NULL) <> (x.a IS NULL)
+ELSE coalesce(x.h < 1.30, false) OR coalesce(x.a < 1.30, false) OR (x.h IS NULL) <> (x.a IS NULL) END AS worth FROM m JOIN l USING (source, sport, event)""")
+def opening_gate(spark, d):
+    """Which listings a sweep looks into, and their heavy favourites."""
+    b = _board(spark, d)
+    ml = with_sides(b).where("submarket IS NULL AND market_type = 'moneyline' AND period = 'FT'").groupBy(*co.EVENT).agg(F.min_by(F.struct("h", "a"), "odds_id").alias("x")).join(co.leagues_of(b), co.EVENT)
+    h, a = F.col("x.h"), F.col("x.a")
+    return ml.select(*co.EVENT, co.favourite_side(h, a).alias("favourite"), co.top_league(F.col("league")).alias("top"), co.worth_opening(F.col("sport"), h, a, F.col("league")).alias("worth"))
+
+
+@_query()
+def sweep_flags(spark, d):
+    return _flags(co.sweep_flags(_board(spark, d)))
+
+
+@_query()
+def half_full_against_model(spark, d):
+    """Basketball's half/full prices against the model of both margins."""
+    b = _board(spark, d)
+    return _flags(co.half_full_against_model(b, co.period_view(b), co.leagues_of(b)))
+
+
 _T = "regexp_replace(printf('%.2f', abs(line)), '\\.?0+$', '')"
 _PL, _AW = f"(CASE WHEN line < 0 THEN '-' ELSE '' END || {_T})", f"(CASE WHEN line > 0 THEN '-' ELSE '' END || {_T})"
 _SHEET = f"""{_S}, b AS (SELECT * FROM s WHERE sport = 'soccer' AND team_side IS NULL), rows AS (
@@ -126,39 +170,72 @@ def posted_sheet(spark, d):
     return idn.posted_sheet(_board(spark, d))
 
 
-_PARTS = ", ".join(f"('{n}', '{w}', '{p}', {len(ps)})" for n, w, ps in idn.PARTITIONS for p in ps)
+def _full_sheet(spark, d):
+    """The posted sheet with the markets that no source lists, made of the listed ones: double chances and no-draw bets from the three-way prices
+    and quarter lines from their neighbours, each off by up to six percent by a figure of the event. It gives the identities rows to judge."""
+    sheet = idn.posted_sheet(_board(spark, d))
+    wide = sheet.where(F.col("key").startswith("ft_1x2:")).groupBy(*idn.EVENT).agg(*[F.max(F.when(F.col("key") == f"ft_1x2:{x}", F.col("posted"))).alias(n) for x, n in (("1", "h"), ("X", "x"), ("2", "a"))]).where("h IS NOT NULL AND x IS NOT NULL AND a IS NOT NULL")
+    h, x, a = (1 / F.col(c) for c in "hxa")
+    off = 1 + ((F.length("event") * 7 + F.ascii(F.substring("event", -1, 1))) % 13 - 6) / 100
+    row = lambda key, p: F.struct(F.lit(key).alias("key"), (off / p).alias("posted"))
+    more = wide.select(*idn.EVENT, F.explode(F.array(row("dc:1X", h + x), row("dc:12", h + a), row("dc:X2", x + a), row("dnb:1", h / (h + a)), row("dnb:2", a / (h + a)), row("ah:home_-0.25", (h / (h + a) + h) / 2))).alias("r")).select(*idn.EVENT, "r.*").where("posted > 1")
+    return sheet.unionByName(more.join(sheet.select(*idn.EVENT, "key"), [*idn.EVENT, "key"], "left_anti"))
+
+
+_FULL = f"""{_SHEET.replace("sheet AS (", "listed AS (")}, w AS (SELECT source, event, max(CASE WHEN key = 'ft_1x2:1' THEN 1/posted END) AS h, max(CASE WHEN key = 'ft_1x2:X' THEN 1/posted END) AS x, max(CASE WHEN key = 'ft_1x2:2' THEN 1/posted END) AS a FROM listed GROUP BY ALL),
+o AS (SELECT *, 1 + ((length(event)*7 + ascii(right(event, 1))) % 13 - 6) / 100.0::DOUBLE AS k FROM w WHERE h IS NOT NULL AND x IS NOT NULL AND a IS NOT NULL),
+made AS (SELECT source, event, 'dc:1X' AS key, k/(h + x) AS posted FROM o UNION ALL SELECT source, event, 'dc:12', k/(h + a) FROM o UNION ALL SELECT source, event, 'dc:X2', k/(x + a) FROM o UNION ALL SELECT source, event, 'dnb:1', k/(h/(h + a)) FROM o
+  UNION ALL SELECT source, event, 'dnb:2', k/(a/(h + a)) FROM o UNION ALL SELECT source, event, 'ah:home_-0.25', k/((h/(h + a) + h)/2) FROM o),
+sheet AS (SELECT * FROM listed UNION ALL SELECT * FROM made WHERE posted > 1 AND NOT EXISTS (SELECT 1 FROM listed l WHERE l.source = made.source AND l.event = made.event AND l.key = made.key))"""
+
 
+_LISTED = [
+    ("HT/FT to FT 1", "ft_1x2:1", "htft:1/1 htft:X/1 htft:2/1"), ("HT/FT to FT X", "ft_1x2:X", "htft:1/X htft:X/X htft:2/X"), ("HT/FT to FT 2", "ft_1x2:2", "htft:1/2 htft:X/2 htft:2/2"),
+    ("HT/FT to HT 1", "ht_1x2:1", "htft:1/1 htft:1/X htft:1/2"), ("HT/FT to HT X", "ht_1x2:X", "htft:X/1 htft:X/X htft:X/2"), ("HT/FT to HT 2", "ht_1x2:2", "htft:2/1 htft:2/X htft:2/2"),
+    ("DC 1X", "dc:1X", "ft_1x2:1 ft_1x2:X"), ("DC 12", "dc:12", "ft_1x2:1 ft_1x2:2"), ("DC X2", "dc:X2", "ft_1x2:X ft_1x2:2"),
+    ("Under 0.5", "ft_total:under_0.5", "exact:0"), ("Under 1.5", "ft_total:under_1.5", "exact:0 exact:1"), ("Under 2.5", "ft_total:under_2.5", "exact:0 exact:1 exact:2"), ("Under 3.5", "ft_total:under_3.5", "exact:0 exact:1 exact:2 exact:3"),
+    ("Multigoal 0-1", "multigoal:0-1", "exact:0 exact:1"), ("Multigoal 1-2", "multigoal:1-2", "exact:1 exact:2"), ("Multigoal 2-3", "multigoal:2-3", "exact:2 exact:3"),
+    ("Scores to Under 0.5", "ft_total:under_0.5", "cs:0-0"), ("Scores to Under 1.5", "ft_total:under_1.5", "cs:0-0 cs:0-1 cs:1-0"), ("Scores to Under 2.5", "ft_total:under_2.5", "cs:0-0 cs:0-1 cs:1-0 cs:0-2 cs:1-1 cs:2-0"),
+]
+_PARTS = ", ".join(f"('{n}', '{w}', '{p}', {len(ps.split())})" for n, w, ps in _LISTED for p in ps.split())
 
-@_query(f"""WITH {_SHEET}, dim(name, whole, key, size) AS (VALUES {_PARTS}), g AS (SELECT source, event, name, whole, size, count(*) AS n, sum(1/posted) AS total, arg_max(key, (posted, key)) AS suspect FROM sheet JOIN dim USING (key) GROUP BY ALL HAVING count(*) = size)
+
+@_query(f"""WITH {_FULL}, dim(name, whole, key, size) AS (VALUES {_PARTS}), g AS (SELECT source, event, name, whole, size, count(*) AS n, sum(1/posted) AS total, arg_max(key, (posted, key)) AS suspect FROM sheet JOIN dim USING (key) GROUP BY ALL HAVING count(*) = size)
 SELECT g.source, g.event, name, g.whole, round((1/s.posted - total)*100, 4) AS excess, suspect FROM g JOIN sheet s ON s.source = g.source AND s.event = g.event AND s.key = g.whole WHERE (1/s.posted - total)*100 > 0.5""")
 def identities_partition(spark, d):
-    return idn.partitions(idn.posted_sheet(_board(spark, d))).withColumn("excess", F.round("excess", 4))
+    return idn.partitions(_full_sheet(spark, d)).withColumn("excess", F.round("excess", 4))
 
 
-_EQ = ", ".join(f"('{a}', '{b}')" for a, b in idn.EQUIVALENCES)
+_EQ = "('ah:home_0', 'dnb:1'), ('ah:away_0', 'dnb:2'), ('ah:home_-0.5', 'ft_1x2:1'), ('ah:away_-0.5', 'ft_1x2:2'), ('ah:home_0.5', 'dc:1X'), ('ah:away_0.5', 'dc:X2')"
 
 
-@_query(f"""WITH {_SHEET}, dim(key, other) AS (VALUES {_EQ}) SELECT a.source, a.event, a.key, b.key AS other, round(abs(1/a.posted - 1/b.posted)*100, 4) AS gap, CASE WHEN a.posted > b.posted THEN a.key ELSE b.key END AS back
+@_query(f"""WITH {_FULL}, dim(key, other) AS (VALUES {_EQ}) SELECT a.source, a.event, a.key, b.key AS other, round(abs(1/a.posted - 1/b.posted)*100, 4) AS gap, CASE WHEN a.posted > b.posted THEN a.key ELSE b.key END AS back
 FROM sheet a JOIN dim USING (key) JOIN sheet b ON a.source = b.source AND a.event = b.event AND b.key = dim.other WHERE abs(1/a.posted - 1/b.posted)*100 > 0.5""")
 def identities_equivalence(spark, d):
-    return idn.equivalences(idn.posted_sheet(_board(spark, d))).withColumn("gap", F.round("gap", 4))
+    return idn.equivalences(_full_sheet(spark, d)).withColumn("gap", F.round("gap", 4))
 
 
-_QU = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in idn.QUARTERS)
+_QU = "('ah:home_-0.25', 'ah:home_0', 'ah:home_-0.5'), ('ah:home_0.25', 'ah:home_0', 'ah:home_0.5'), ('ah:home_-0.75', 'ah:home_-0.5', 'ah:home_-1'), ('ah:home_0.75', 'ah:home_0.5', 'ah:home_1')"
 
 
-@_query(f"""WITH {_SHEET}, dim(key, lo, hi) AS (VALUES {_QU}) SELECT a.source, a.event, a.key, round(abs(1/a.posted - (1/b.posted + 1/c.posted)/2)*100, 4) AS gap FROM sheet a JOIN dim USING (key)
+@_query(f"""WITH {_FULL}, dim(key, lo, hi) AS (VALUES {_QU}) SELECT a.source, a.event, a.key, round(abs(1/a.posted - (1/b.posted + 1/c.posted)/2)*100, 4) AS gap FROM sheet a JOIN dim USING (key)
 JOIN sheet b ON a.source = b.source AND a.event = b.event AND b.key = dim.lo JOIN sheet c ON a.source = c.source AND a.event = c.event AND c.key = dim.hi WHERE abs(1/a.posted - (1/b.posted + 1/c.posted)/2)*100 > 0.5""")
 def identities_quarter_lines(spark, d):
-    return idn.quarter_lines(idn.posted_sheet(_board(spark, d))).withColumn("gap", F.round("gap", 4))
+    return idn.quarter_lines(_full_sheet(spark, d)).withColumn("gap", F.round("gap", 4))
 
 
-_CO = ", ".join(f"('{a}', '{b}')" for a, b in idn.COVERS)
+_CO = "('ah:home_0', 'dnb:2'), ('ah:away_0', 'dnb:1'), ('ah:home_-0.5', 'dc:X2')"
 
 
-@_query(f"""WITH {_SHEET}, dim(key, other) AS (VALUES {_CO}) SELECT a.source, a.event, a.key, b.key AS other, round((1/(1/a.posted + 1/b.posted) - 1)*100, 4) AS gain FROM sheet a JOIN dim USING (key) JOIN sheet b ON a.source = b.source AND a.event = b.event AND b.key = dim.other WHERE (1/(1/a.posted + 1/b.posted) - 1)*100 > 0""")
+@_query(f"""WITH {_FULL}, dim(key, other) AS (VALUES {_CO}) SELECT a.source, a.event, a.key, b.key AS other, round((1/(1/a.posted + 1/b.posted) - 1)*100, 4) AS gain FROM sheet a JOIN dim USING (key) JOIN sheet b ON a.source = b.source AND a.event = b.event AND b.key = dim.other WHERE (1/(1/a.posted + 1/b.posted) - 1)*100 > 0""")
 def identities_arbs(spark, d):
-    return idn.covers(idn.posted_sheet(_board(spark, d))).withColumn("gain", F.round("gain", 4))
+    return idn.covers(_full_sheet(spark, d)).withColumn("gain", F.round("gain", 4))
+
+
+@_query()
+def identity_flags(spark, d):
+    """All identities on the posted sheets, none of whose keys is made up."""
+    return idn.identity_flags(idn.posted_sheet(_board(spark, d))).withColumn("severity", F.round("severity", 4))
 
 
 @_query("SELECT bet_id, status, round(CASE status WHEN 'won' THEN stake*odds_taken WHEN 'lost' THEN 0 WHEN 'pushed' THEN stake WHEN 'push' THEN stake WHEN 'void' THEN stake WHEN 'cashout' THEN payout WHEN 'cashed_out' THEN payout END, 4) AS due FROM bets")
