@@ -7,15 +7,18 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
+from oddsloom.plans.joins import lookup
+
 #: Words that do not tell clubs apart.
 DROPPED = frozenset("fc bc bk sk sc ac kk nk club clubs basketball basket basquet baloncesto pallacanestro csk".split())
 #: Parts of league names that mark simulated competitions.
 SIMULATED = ["srl", "simulated", "cyber", "esoccer", "e-soccer", "esports", "e-sports", "ebasket", "e-basket", "volta", "setka", "liga pro", "battle", "8 minutes", "2x6", "2х6", "ea sports", "reality league", "efootball", "e-football"]
+#: Patterns that mark sides of the young and of women.
 YOUTH = r"(?i)\bu[- ]?(1[6-9]|2[0-3])\b"
 WOMEN = r"(?i)(\b(women|womens|woman|ladies|female|feminine|feminin|femminile|frauen|damen|dames|femenino|femenina|mujeres|senhoras)\b|\(w\))"
 WOMEN_SUFFIX = r"(?i)\s(w|wom)\.?\s*$"
@@ -33,10 +36,19 @@ def romanised(text: str) -> str:
     return text.translate(_TABLE)
 
 
+def unaccented(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+
+
+#: Letters with accents of the Latin scripts and the letters under them, in the same order.
+ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x250)) if len(unaccented(c)) == 1 and unaccented(c) != c)
+PLAIN = unaccented(ACCENTED)
+
+
 @lru_cache(500_000)
 def normal(name: str) -> str:
     """Lower-case ASCII words without accents and without the words that tell nothing; may be empty."""
-    flat = "".join(c for c in unicodedata.normalize("NFD", romanised(name)) if unicodedata.category(c) != "Mn")
+    flat = unaccented(romanised(name))
     return " ".join(w for w in re.sub(r"[^a-z0-9 ]", " ", flat.lower()).split() if w not in DROPPED)
 
 
@@ -92,6 +104,24 @@ def contradict(a: str, b: str) -> bool:
     return bool(x and y) and all(part(*sorted((p, q), key=len)) < 70 for p in x for q in y)
 
 
+def initialism(a: str, b: str) -> bool:
+    """One is a word of two to four letters, the other several words that it abbreviates: by all first letters, or with words of up to three
+    letters kept whole."""
+    for short, long in ((a.split(), b.split()), (b.split(), a.split())):
+        if len(short) == 1 and len(long) > 1 and 2 <= len(short[0]) <= 4 and short[0].isalpha():
+            if short[0] in ("".join(w[0] for w in long), "".join(w if len(w) <= 3 else w[0] for w in long)):
+                return True
+    return False
+
+
+def with_aliases(names: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
+    """names with the column `name` replaced by its alias where there is one. aliases: alias, canonical; compared without case and outer
+    blanks; of repeated aliases the canonical name that sorts first. Null names stay."""
+    known = aliases.where("alias IS NOT NULL AND canonical IS NOT NULL").groupBy(F.lower(F.trim("alias")).alias("_alias")).agg(F.min("canonical").alias("_canonical"))
+    out = lookup(names.withColumn("_alias", F.lower(F.trim(name))), known, ["_alias"], salt_from=name)
+    return out.withColumn(name, F.coalesce("_canonical", name)).drop("_alias", "_canonical")
+
+
 @pandas_udf(StringType())
 def normal_team(names: pd.Series) -> pd.Series:
     return names.map(lambda n: None if n is None else normal(n))
@@ -112,9 +142,11 @@ def youth(c: Column) -> Column:
 
 
 def women(*cs: Column) -> Column:
+    """Whether one of the texts has a mark of women's competitions, accents aside."""
     out = F.lit(False)
     for c in cs:
-        out = out | F.coalesce(c.rlike(WOMEN), F.lit(False))
+        flat = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), "[\u0300-\u036f]", "")
+        out = out | F.coalesce(flat.rlike(WOMEN), F.lit(False))
     return out
 
 
@@ -128,3 +160,10 @@ def simulated(league: Column) -> Column:
     for word in SIMULATED:
         out = out | F.coalesce(low.contains(word), F.lit(False))
     return out
+
+
+def label_sides(label: Column) -> tuple[Column, Column]:
+    """Home and away of a label, split at a dash or 'vs' between blanks; null where that does not give two parts."""
+    parts = F.split(F.trim(label), r"\s+(?:[-–—]|[vV][sS]?\.?)\s+")
+    two = F.size(parts) == 2
+    return F.when(two, parts[0]), F.when(two, parts[1])

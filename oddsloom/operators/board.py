@@ -44,17 +44,33 @@ def same_spec(a: str, b: str) -> Column:
     return out
 
 
+def flip_quotes(rows: DataFrame, flipped: str) -> DataFrame:
+    """Rows seen with the sides changed where the column is true: prices of home and away, the sign of a spread's line, the team of a team total."""
+    at = lambda k: F.try_element_at("selections", F.lit(k))
+    swap = F.create_map(F.lit("home"), F.lit("away"), F.lit("away"), F.lit("home"))
+    turned = F.map_filter(F.map_zip_with(F.transform_keys("selections", lambda k, _: F.coalesce(F.try_element_at(swap, k), k)), "selections", lambda k, v, _: v), lambda _, v: v.isNotNull())
+    yes = F.coalesce(F.col(flipped), F.lit(False))
+    out = {"selections": F.when(yes & (at("home").isNotNull() | at("away").isNotNull()), turned).otherwise(F.col("selections"))}
+    out["line"] = F.when(yes & (F.col("market_type") == "spread"), -F.col("line")).otherwise(F.col("line"))
+    out["team_side"] = F.when(yes, F.coalesce(F.try_element_at(swap, F.col("team_side")), F.col("team_side"))).otherwise(F.col("team_side"))
+    return rows.withColumns(out)
+
+
 def closest_line(soft: DataFrame, ref: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each soft row the reference row of the matched event with the same specification and the nearest line within tolerance
-    (moneylines need none); ties keep the smaller id. pairs: source, event (of soft), ref_event.
+    (moneylines need none); ties keep the smaller id. pairs: source, event (of soft), ref_event and, if events are matched with their sides
+    changed, flipped; the reference's row is then seen with its sides changed, too. If pairs have a sport, events are of that sport.
 
     The join is on event, specification and hundredths of the line, the reference side put into its own and both neighbouring
     hundredths, so a tolerance is an equi-join."""
     cents = lambda c: F.coalesce(F.round(c * 100).cast("long"), F.lit(-(10**9)))
     text = lambda c: F.coalesce(F.col(c), F.lit("~"))
-    left = soft.join(pairs, ["source", "event"]).withColumns({"_c": cents(F.col("line")), **{f"_{c}": text(c) for c in SPEC}})
-    right = ref.select(F.col("event").alias("ref_event"), F.col("odds_id").alias("ref_id"), F.col("line").alias("ref_line"), F.col("selections").alias("ref_selections"), *[text(c).alias(f"_{c}") for c in SPEC], F.explode(F.array(cents(F.col("line")) - 1, cents(F.col("line")), cents(F.col("line")) + 1)).alias("_c"))
-    near = left.join(right, ["ref_event", "_c", *[f"_{c}" for c in SPEC]]).withColumn("gap", F.coalesce(F.abs(F.col("line") - F.col("ref_line")), F.lit(0.0)))
+    on = ["source", "event"] + (["sport"] if "sport" in pairs.columns else [])
+    pairs = pairs if "flipped" in pairs.columns else pairs.withColumn("flipped", F.lit(False))
+    left = soft.join(pairs, on).withColumns({"_c": cents(F.col("line")), **{f"_{c}": text(c) for c in SPEC}})
+    right = ref.withColumnRenamed("event", "ref_event").join(pairs.select("ref_event", "flipped", *on[2:]).distinct(), ["ref_event", *on[2:]])
+    right = flip_quotes(right, "flipped").select("ref_event", "flipped", *on[2:], F.col("odds_id").alias("ref_id"), F.col("line").alias("ref_line"), F.col("selections").alias("ref_selections"), *[text(c).alias(f"_{c}") for c in SPEC], F.explode(F.array(cents(F.col("line")) - 1, cents(F.col("line")), cents(F.col("line")) + 1)).alias("_c"))
+    near = left.join(right, ["ref_event", "flipped", *on[2:], "_c", *[f"_{c}" for c in SPEC]]).withColumn("gap", F.coalesce(F.abs(F.col("line") - F.col("ref_line")), F.lit(0.0)))
     near = near.where((F.col("gap") <= LINE_TOLERANCE + 1e-9) & F.col("line").isNull().eqNullSafe(F.col("ref_line").isNull()))
     w = Window.partitionBy("odds_id").orderBy("gap", "ref_id")
     return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_c", *[f"_{c}" for c in SPEC])

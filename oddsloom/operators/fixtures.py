@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ _ADD = _RNG.integers(0, 2**31 - 1, 2 * BANDS).astype(np.uint64)
 _MIX = _RNG.integers(1, 2**62, (BANDS, 2)).astype(np.uint64) | np.uint64(1)
 
 
+@lru_cache(100_000)
 def name_bands(norm: str) -> np.ndarray:
     """64-bit hashes of the MinHash bands of a name's padded 3-grams by word, each with the number of its band in it."""
     h = np.fromiter({zlib.crc32(f"##{w}##"[i : i + 3].encode()) for w in norm.split() for i in range(len(w) + 2)}, dtype=np.uint64)
@@ -37,18 +39,19 @@ def side_bands(fixtures: DataFrame, ident: str, home: str, away: str) -> DataFra
 
     def run(batches):
         for b in batches:
-            out = [pd.DataFrame({"sport": s, ident: i, "h": name_bands(n)}) for s, i, x, y in zip(b["sport"], b[ident], b[home], b[away]) for n in {x, y} if n]
-            if out:
-                yield pd.concat(out)
+            rows = [(s, i, n) for s, i, x, y in zip(b["sport"], b[ident], b[home], b[away]) for n in {x, y} if n]
+            if rows:
+                yield pd.DataFrame({"sport": np.repeat([r[0] for r in rows], BANDS), ident: np.repeat([r[1] for r in rows], BANDS), "h": np.concatenate([name_bands(r[2]) for r in rows])})
 
     kind = dict(fixtures.dtypes)[ident]
     return fixtures.select("sport", ident, home, away).mapInPandas(run, f"sport string, {ident} {kind}, h long").distinct()
 
 
-def prepared(events: DataFrame) -> DataFrame:
-    """id, sport, home, away, league, start (seconds or null) with normalised names and the marks of youth and women."""
-    distinct = events.select("sport", F.explode(F.array("home", "away")).alias("name")).where("name IS NOT NULL").distinct()
-    norm = stored(distinct.withColumn("norm", F.when(F.col("sport") == "tennis", tx.normal_player_name("name")).otherwise(tx.normal_team("name"))))
+def prepared(events: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """id, sport, home, away, league, start (seconds or null) with normalised names and the marks of youth and women. aliases: alias, canonical."""
+    distinct = events.select("sport", F.explode(F.array("home", "away")).alias("name")).where("name IS NOT NULL").distinct().withColumn("_said", F.col("name"))
+    called = distinct if aliases is None else tx.with_aliases(distinct, aliases, "_said")
+    norm = stored(called.select("sport", "name", F.when(F.col("sport") == "tennis", tx.normal_player_name("_said")).otherwise(tx.normal_team("_said")).alias("norm")))
     out = events
     for side in ("home", "away"):
         out = out.join(norm.select("sport", F.col("name").alias(side), F.col("norm").alias(f"n_{side}")), ["sport", side], "left")
@@ -56,7 +59,24 @@ def prepared(events: DataFrame) -> DataFrame:
     return out.withColumns({"w": w, "y_home": tx.youth(F.col("home")), "y_away": tx.youth(F.col("away"))})
 
 
-def scored_pairs(soft: DataFrame, ref: DataFrame, by: tuple = ()) -> DataFrame:
+@lru_cache(500_000)
+def likeness(ah: str, aa: str, bh: str, ba: str) -> tuple[float, float, bool, bool]:
+    """(mean, weaker side, flipped, clash) of two fixtures by their normalised names. A weak side beside a strong one is lifted to MEDIUM if one
+    name is the other's initialism. A clash is looked for only where it decides."""
+    h, w = tx.token_set(ah, bh), tx.token_set(aa, ba)
+    if h >= STRONG and w < MEDIUM and tx.initialism(aa, ba):
+        w = MEDIUM
+    elif w >= STRONG and h < MEDIUM and tx.initialism(ah, bh):
+        h = MEDIUM
+    hs, ws = tx.token_set(ah, ba), tx.token_set(aa, bh)
+    flip = (hs + ws) / 2 >= FLIP_MEAN and (hs + ws) / 2 >= (h + w) / 2 + FLIP_BY and min(hs, ws) >= FLIP_SIDE
+    one, two = (hs, ws) if flip else (h, w)
+    mean = (one + two) / 2
+    pair = (ah, ba, aa, bh) if flip else (ah, bh, aa, ba)
+    return mean, min(one, two), flip, MEDIUM <= mean < CONTRADICTION and (tx.contradict(*pair[:2]) or tx.contradict(*pair[2:]))
+
+
+def scored_pairs(soft: DataFrame, ref: DataFrame, by: tuple = (), aliases: DataFrame | None = None) -> DataFrame:
     """Pairs of one sport whose kickoffs are compatible, with mean, low (the weaker side), flipped, gap and the reject reason, or null
     where the pair is acceptable. by: further columns of soft that are kept.
 
@@ -64,7 +84,8 @@ def scored_pairs(soft: DataFrame, ref: DataFrame, by: tuple = ()) -> DataFrame:
     kickoff is compatible with any: such pairs are joined on MinHash bands of either side's name with either side's, so no cross
     product arises; they need the strong tier."""
     window = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WINDOWS.items() for x in kv]), F.col("sport")), F.lit(WINDOW))
-    p, q = prepared(soft).withColumn("win", window), prepared(ref).withColumn("win", window)
+    p, q = prepared(soft, aliases).withColumn("win", window), prepared(ref, aliases).withColumn("win", window)
+    p, q = stored(p), stored(q)
     names = ["id", "home", "away", "n_home", "n_away", "start", "w", "y_home", "y_away"]
     a = p.select("sport", "win", *by, *[F.col(c).alias(f"a_{c}") for c in names])
     b = q.select("sport", *[F.col(c).alias(f"b_{c}") for c in names], F.col("win").alias("_win"))
@@ -80,18 +101,13 @@ def scored_pairs(soft: DataFrame, ref: DataFrame, by: tuple = ()) -> DataFrame:
 
     def score(batches):
         for x in batches:
-            rows = []
-            for ah, aa, bh, ba in zip(x["a_n_home"].fillna(""), x["a_n_away"].fillna(""), x["b_n_home"].fillna(""), x["b_n_away"].fillna("")):
-                h, w, hs, ws = tx.token_set(ah, bh), tx.token_set(aa, ba), tx.token_set(ah, ba), tx.token_set(aa, bh)
-                flip = (hs + ws) / 2 >= FLIP_MEAN and (hs + ws) / 2 >= (h + w) / 2 + FLIP_BY and min(hs, ws) >= FLIP_SIDE
-                pair = (ah, ba, aa, bh) if flip else (ah, bh, aa, ba)
-                one, two = (hs, ws) if flip else (h, w)
-                rows.append(((one + two) / 2, min(one, two), flip, tx.contradict(*pair[:2]) or tx.contradict(*pair[2:])))
+            rows = [likeness(*n) for n in zip(*(x[c].fillna("") for c in ("a_n_home", "a_n_away", "b_n_home", "b_n_away")))]
             s = pd.DataFrame(rows, columns=["mean", "low", "flipped", "clash"], index=x.index)
             yield pd.concat([x[keep], s], axis=1)
 
     keep = ["sport", "win", *by, "a_id", "b_id", "a_start", "b_start", "a_w", "b_w", "a_y_home", "a_y_away", "b_y_home", "b_y_away"]
-    s = pairs.mapInPandas(score, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", mean double, low double, flipped boolean, clash boolean")
+    # the join's partitions are few where the input is small, and scoring is dear
+    s = pairs.repartition(F.xxhash64("a_id", "b_id")).mapInPandas(score, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", mean double, low double, flipped boolean, clash boolean")
     gap = F.abs(F.col("a_start") - F.col("b_start"))
     same_youth = F.when(F.col("flipped"), (F.col("a_y_home") == F.col("b_y_away")) & (F.col("a_y_away") == F.col("b_y_home"))).otherwise((F.col("a_y_home") == F.col("b_y_home")) & (F.col("a_y_away") == F.col("b_y_away")))
     reason = (
@@ -115,12 +131,16 @@ def one_to_one(pairs: DataFrame, by: tuple = ()) -> DataFrame:
             return taken
 
 
-def match_fixtures(soft: DataFrame, ref: DataFrame, by: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """(matches, unmatched): matches a_id, b_id, mean, flipped, gap; of every other soft row with a candidate its best one and the
-    reason why it was not taken ('taken' if the candidate went elsewhere).
+def match_fixtures(soft: DataFrame, ref: DataFrame, by: tuple = (), aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(matches, unmatched): matches a_id, b_id, mean, flipped, gap; of every other soft row its best candidate, of those left over if there is
+    one, and the reason why it was not taken ('taken' if the candidate went elsewhere, 'no_candidate' if there is none).
 
     soft, ref: id, sport, home, away, league, start. by: columns of soft, not null, such as its book, within which the matching is one-to-one. Empty tables give empty results; null names never match."""
-    pairs = stored(scored_pairs(soft, ref, by))
+    pairs = stored(scored_pairs(soft, ref, by, aliases))
     matched = stored(one_to_one(pairs.where("reason IS NULL").drop("reason"), by))
-    rest = pairs.join(matched.select("a_id"), "a_id", "left_anti").groupBy("a_id").agg(F.max_by(F.struct("b_id", "mean", "reason"), F.struct("mean", -F.col("b_id"))).alias("x"))
-    return matched.select("a_id", "b_id", "mean", "flipped", "gap"), rest.select("a_id", "x.b_id", "x.mean", F.coalesce("x.reason", F.lit("taken")).alias("reason"))
+    gone = matched.select(*by, "b_id", F.lit(True).alias("_gone"))
+    open_ = pairs.join(matched.select("a_id"), "a_id", "left_anti").join(gone, [*by, "b_id"], "left")
+    best = open_.groupBy("a_id").agg(F.max_by(F.struct("b_id", "mean", "reason"), F.struct(F.col("_gone").isNull(), F.col("mean"), -F.col("b_id"))).alias("x")).select("a_id", "x.*", F.lit(True).alias("_some"))
+    rest = soft.select(F.col("id").alias("a_id")).join(matched.select("a_id"), "a_id", "left_anti").join(best, "a_id", "left")
+    reason = F.when(F.col("_some").isNull(), "no_candidate").otherwise(F.coalesce("reason", F.lit("taken")))
+    return matched.select("a_id", "b_id", "mean", "flipped", "gap"), rest.select("a_id", "b_id", "mean", reason.alias("reason"))

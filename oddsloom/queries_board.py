@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions import odds as fo
 from oddsloom.operators import board as bo
+from oddsloom.operators import fixtures as fx
 from oddsloom.operators import flags as fl
 from oddsloom.operators import series as se
 from oddsloom.sources.tables import table
@@ -67,17 +68,28 @@ def _board(spark: SparkSession, d: str) -> DataFrame:
     return bo.newest_board(table(spark, d, "odds"))
 
 
-def _matched(spark: SparkSession, d: str) -> DataFrame:
-    """Soft and reference listings with the same sport, kickoff and spelling of the home side."""
+def _same_names(spark: SparkSession, d: str) -> DataFrame:
+    """Soft and reference listings with the same sport, kickoff and spelling of the home side: what SQL can say of the matching. The queries
+    on these pairs (..._same_name) hold the operators against SQL; those without the suffix take all resolved pairs."""
     e = table(spark, d, "book_events").where("start_time IS NOT NULL").select("book", "sport", "source_event_id", "start_time", F.lower("home").alias("k"))
     soft = e.where(F.col("book") != REFERENCE).select(F.col("book").alias("source"), F.col("source_event_id").alias("event"), "sport", "start_time", "k")
     ref = e.where(F.col("book") == REFERENCE).select(F.col("source_event_id").alias("ref_event"), "sport", "start_time", "k")
     return soft.join(ref, ["sport", "start_time", "k"]).groupBy("source", "event").agg(F.min("ref_event").alias("ref_event"))
 
 
-def _joined(spark: SparkSession, d: str) -> DataFrame:
+def resolved(spark: SparkSession, d: str) -> DataFrame:
+    """(source, sport, event, ref_event, flipped, score, gap_seconds): every soft source's events matched with the reference's by the fuzzy matcher."""
+    e = table(spark, d, "book_events")
+    rows = e.select(F.col("event_id").alias("id"), "book", "sport", "home", "away", "league", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', start_time)").alias("start"))
+    found = fx.match_fixtures(rows.where(F.col("book") != REFERENCE), rows.where(F.col("book") == REFERENCE), ("book",))[0]
+    a = e.select(F.col("event_id").alias("a_id"), F.col("book").alias("source"), "sport", F.col("source_event_id").alias("event"))
+    b = e.select(F.col("event_id").alias("b_id"), F.col("source_event_id").alias("ref_event"))
+    return found.join(a, "a_id").join(b, "b_id").select("source", "sport", "event", "ref_event", "flipped", F.col("mean").alias("score"), F.col("gap").alias("gap_seconds"))
+
+
+def _joined(spark: SparkSession, d: str, pairs=_same_names) -> DataFrame:
     b = _board(spark, d)
-    return bo.closest_line(b.where(F.col("source") != REFERENCE), b.where(F.col("source") == REFERENCE), _matched(spark, d))
+    return bo.closest_line(b.where(F.col("source") != REFERENCE), b.where(F.col("source") == REFERENCE), pairs(spark, d))
 
 
 _JOINED = f"""
@@ -151,7 +163,7 @@ def devig_power_three_way(spark, d):
 
 
 @_query(f"WITH {_JOINED} SELECT odds_id, ref_id, source, event, round(gap, 6) AS gap FROM joined")
-def closest_line_join(spark, d):
+def closest_line_join_same_name(spark, d):
     return _joined(spark, d).select("odds_id", "ref_id", "source", "event", F.round("gap", 6).alias("gap"))
 
 
@@ -168,23 +180,16 @@ fair AS (
 
 
 @_query(f"WITH {_JOINED}, {_FAIR} SELECT odds_id, ref_id, source, sport, event, side, price, round(p, 6) AS p, round((price*p - 1)*100, 5) AS edge, round(greatest(0, (p*price - 1)/(price - 1)*0.25*1000), 4) AS stake FROM side WHERE (price*p - 1)*100 >= 1")
-def ev_edges_two_way(spark, d):
+def ev_edges_two_way_same_name(spark, d):
     j = _joined(spark, d).where(~F.map_contains_key("ref_selections", F.lit("draw")))
     e = bo.value_edges(j)
     return e.select("odds_id", "ref_id", "source", "sport", "event", "side", "price", F.round("p", 6).alias("p"), F.round("edge", 5).alias("edge"), F.round("stake", 4).alias("stake"))
 
 
-@_query()
-def ev_edges(spark, d):
-    """All markets, three-way ones by the Arrow solver."""
-    e = bo.value_edges(_joined(spark, d))
-    return e.select("odds_id", "ref_id", "source", "sport", "event", "side", "price", F.round("p", 6).alias("p"), F.round("edge", 5).alias("edge"), F.round("stake", 4).alias("stake"))
-
-
 @_query(f"""WITH {_JOINED}, long AS (SELECT odds_id, ref_id, source, event, ref_selections, e.key AS side, e.value AS price FROM (SELECT *, unnest(map_entries(selections)) AS e FROM joined WHERE NOT list_contains(map_keys(selections), 'draw')) WHERE e.value > 1 AND isfinite(e.value)),
 opp AS (SELECT *, {_v("ref_selections[CASE side WHEN 'home' THEN 'away' WHEN 'away' THEN 'home' WHEN 'over' THEN 'under' WHEN 'under' THEN 'over' END]")} AS ref_price FROM long)
 SELECT odds_id, ref_id, source, event, side, price, ref_price, round((1 - (1/price + 1/ref_price))*100, 5) AS margin FROM opp WHERE (1 - (1/price + 1/ref_price))*100 > 0""")
-def arb_edges(spark, d):
+def arb_edges_same_name(spark, d):
     return bo.arb_edges(_joined(spark, d)).withColumn("margin", F.round("margin", 5))
 
 
@@ -242,18 +247,18 @@ best AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY sp
 
 def _grid(spark, d):
     q = bo.long_quotes(_board(spark, d), "source", "sport", "event", *bo.SPEC, "line")
-    q = q.join(_matched(spark, d), ["source", "event"], "left").withColumn("meeting", F.coalesce("ref_event", F.when(F.col("source") == REFERENCE, F.col("event")))).where("meeting IS NOT NULL")
+    q = q.join(_same_names(spark, d), ["source", "event"], "left").withColumn("meeting", F.coalesce("ref_event", F.when(F.col("source") == REFERENCE, F.col("event")))).where("meeting IS NOT NULL")
     return bo.best_prices(q, _KEY)
 
 
 @_query(f"WITH {_GRID} SELECT * FROM best")
-def cross_book_grid(spark, d):
+def cross_book_grid_same_name(spark, d):
     return _grid(spark, d).select(*_KEY, "side", "source", "price", "sources")
 
 
 @_query(f"""WITH {_GRID}, s AS (SELECT sport, meeting, market_type, period, line, submarket, team_side, count(*) AS sides, max((side = 'draw')::INT) AS draw, count(DISTINCT source)::INT AS books, sum(1/price) AS implied FROM best GROUP BY ALL)
 SELECT * EXCLUDE (draw, implied), round(implied, 6) AS implied, round((1 - implied)*100, 5) AS margin FROM s WHERE sides = CASE WHEN draw = 1 THEN 3 ELSE 2 END AND books >= 2 AND implied < 1""")
-def cross_book_arbs(spark, d):
+def cross_book_arbs_same_name(spark, d):
     return bo.cross_source_arbs(_grid(spark, d), _KEY).withColumns({"implied": F.round("implied", 6), "margin": F.round("margin", 5)})
 
 
@@ -447,21 +452,6 @@ def bet_quotes(spark, d):
     return j.select(F.col("odds_id").alias("bet_id"), F.col("ref_id").alias("odds_id"), fo.valid(F.try_element_at("ref_selections", F.col("side"))).alias("now_odds"))
 
 
-@_query(f"""WITH {_JOINED.split(', joined AS')[0]}, a AS ({_W1.replace('WITH board AS (' + _BOARD + '), ', 'WITH ')}), j AS (SELECT a.*, r.odds_id AS ref_id, {_v('r.selections[a.side]')} AS ref_price FROM a JOIN pairs p ON a.source = p.source AND a.event = p.event JOIN board r ON r.source = 'apex' AND r.event = p.ref_event
-AND r.market_type = a.market_type AND r.period IS NOT DISTINCT FROM a.period AND r.submarket IS NOT DISTINCT FROM a.submarket AND r.team_side IS NOT DISTINCT FROM a.team_side AND abs(r.line - a.inflated) <= 0.01 + 1e-9)
-SELECT source, event, market_type, period, side, inflated, min(ref_id) AS ref_id, round(max(pct), 5) AS pct FROM j WHERE ref_price IS NOT NULL GROUP BY ALL""")
-def anomaly_reference(spark, d):
-    """Ladder anomalies of matched events with the reference's row for the inflated line."""
-    board, pairs = _board(spark, d), _matched(spark, d)
-    a = bo.ladder_anomalies(board.join(pairs, ["source", "event"], "left_semi")).join(pairs, ["source", "event"])
-    ref = board.where(F.col("source") == REFERENCE).withColumnsRenamed({"event": "ref_event", "odds_id": "ref_id", "line": "ref_line"})
-    r = bo.long_quotes(ref, "ref_event", "ref_id", *bo.SPEC, "ref_line")
-    text = lambda df: df.withColumns({f"_{c}": F.coalesce(c, F.lit("~")) for c in bo.SPEC})
-    r = text(r).drop(*bo.SPEC).withColumn("_c", F.explode(F.array(*[F.round(F.col("ref_line") * 100).cast("long") + k for k in (-1, 0, 1)])))
-    j = text(a).withColumn("_c", F.round(F.col("inflated") * 100).cast("long")).join(r.drop("price"), ["ref_event", "side", "_c", *[f"_{c}" for c in bo.SPEC]]).where(F.abs(F.col("ref_line") - F.col("inflated")) <= bo.LINE_TOLERANCE + 1e-9)
-    return j.groupBy("source", "event", "market_type", "period", "side", "inflated").agg(F.min("ref_id").alias("ref_id"), F.round(F.max("pct"), 5).alias("pct"))
-
-
 @_query("SELECT source, sport, max(fetched_at) AS newest, count(*) AS rows, sum((fetched_at >= TIMESTAMP '2026-05-01')::INT)::BIGINT AS late_rows FROM odds GROUP BY ALL")
 def latest_cycle(spark, d):
     o = table(spark, d, "odds")
@@ -470,7 +460,7 @@ def latest_cycle(spark, d):
 
 @_query(f"""WITH {_GRID}, k AS (SELECT *, row_number() OVER (PARTITION BY sport ORDER BY price DESC, meeting, market_type, period, line NULLS FIRST, submarket NULLS FIRST, team_side NULLS FIRST, side) AS place FROM best WHERE sources >= 2)
 SELECT sport, place, meeting, market_type, period, line, side, source, price FROM k WHERE place <= 20""")
-def longest_prices(spark, d):
+def longest_prices_same_name(spark, d):
     """The twenty longest prices of every sport that two sources quote: a top-k report."""
     from pyspark.sql import Window
 
