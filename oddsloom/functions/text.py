@@ -122,6 +122,11 @@ def with_aliases(names: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce("_canonical", name)).drop("_alias", "_canonical")
 
 
+@pandas_udf(StringType())
+def romanised_text(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: None if n is None else romanised(n))
+
+
 @pandas_udf(StringType())
 def normal_team(names: pd.Series) -> pd.Series:
     return names.map(lambda n: None if n is None else normal(n))

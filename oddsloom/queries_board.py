@@ -157,7 +157,16 @@ def devig_shin_model(spark, d):
     return _three(spark, d, fo.shin_model)
 
 
-@_query()
+_POWER3 = f"""
+WITH RECURSIVE t AS (SELECT DISTINCT 1.0::DOUBLE/h AS p, 1.0::DOUBLE/d AS q, 1.0::DOUBLE/a AS r FROM ({_SIDES}) WHERE three_way AND h IS NOT NULL AND d IS NOT NULL AND a IS NOT NULL),
+it AS (
+  SELECT p, q, r, 0.001::DOUBLE AS lo, 1024.0::DOUBLE AS hi, 0 AS i FROM t
+  UNION ALL SELECT p, q, r, CASE WHEN f > 1 THEN z ELSE lo END, CASE WHEN f > 1 THEN hi ELSE z END, i + 1 FROM (SELECT *, pow(p, z) + pow(q, z) + pow(r, z) AS f FROM (SELECT *, (lo + hi) / 2 AS z FROM it WHERE i < 120))
+), last AS (SELECT *, (lo + hi) / 2 AS z FROM it WHERE i = 120), fair AS (SELECT p, q, r, pow(p, z) AS u, pow(q, z) AS v, pow(r, z) AS w FROM last)
+SELECT odds_id, round(f.u/(f.u+f.v+f.w), 6) AS p_home, round(f.v/(f.u+f.v+f.w), 6) AS p_draw, round(f.w/(f.u+f.v+f.w), 6) AS p_away FROM ({_SIDES}) o JOIN fair f ON 1.0::DOUBLE/o.h = f.p AND 1.0::DOUBLE/o.d = f.q AND 1.0::DOUBLE/o.a = f.r WHERE three_way"""
+
+
+@_query(_POWER3)
 def devig_power_three_way(spark, d):
     return _three(spark, d, fo.power_three_way)
 
@@ -322,7 +331,13 @@ _POINTS = f"""o AS (SELECT source, raw_event_id, period, fetched_at AS ts, arg_m
 pts AS (SELECT source, raw_event_id, period, ts, 'home' AS side, {_shin('h', 'a')} AS fair FROM o UNION ALL SELECT source, raw_event_id, period, ts, 'away', {_shin('a', 'h')} FROM o)"""
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_POINTS}, w AS (SELECT source, raw_event_id, period, ts, fair AS h, 1 - fair AS a, row_number() OVER (PARTITION BY source, raw_event_id, period ORDER BY ts) AS n FROM pts WHERE side = 'home'),
+g AS (SELECT w.*, x.fair AS aw FROM w JOIN pts x ON x.source = w.source AND x.raw_event_id = w.raw_event_id AND x.period = w.period AND x.ts = w.ts AND x.side = 'away'),
+it AS (SELECT source, raw_event_id, period, n, ts, h, aw, h AS ah, aw AS aa, ts AS since, NULL::DOUBLE AS ph, NULL::DOUBLE AS pa, NULL::TIMESTAMP AS t0 FROM g WHERE n = 1
+  UNION ALL SELECT g.source, g.raw_event_id, g.period, g.n, g.ts, g.h, g.aw, CASE WHEN g.h - ah >= 0.02 OR g.aw - aa >= 0.02 THEN g.h ELSE ah END, CASE WHEN g.h - ah >= 0.02 OR g.aw - aa >= 0.02 THEN g.aw ELSE aa END,
+    CASE WHEN g.h - ah >= 0.02 OR g.aw - aa >= 0.02 THEN g.ts ELSE since END, ah, aa, since FROM it JOIN g ON g.source = it.source AND g.raw_event_id = it.raw_event_id AND g.period = it.period AND g.n = it.n + 1)
+SELECT source, raw_event_id, period, ts, 'home' AS side, round(ph, 6) AS was, round(h, 6) AS now, date_diff('microsecond', t0, ts) // 1000000 AS window_sec FROM it WHERE h - ph >= 0.02
+UNION ALL SELECT source, raw_event_id, period, ts, 'away', round(pa, 6), round(aw, 6), date_diff('microsecond', t0, ts) // 1000000 FROM it WHERE aw - pa >= 0.02""")
 def steam_moves(spark, d):
     return se.steam_moves(_points(spark, d), ["source", "raw_event_id", "period"]).withColumns({"was": F.round("was", 6), "now": F.round("now", 6)})
 
@@ -409,6 +424,13 @@ def sweep_summary(spark, d):
     return table(spark, d, "odds").rollup("sport", "market_type", "period").agg(F.count("*").alias("rows"))
 
 
+@_query("""SELECT time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS start, market_id, count(*) AS n, round(avg(odds), 6) AS mean FROM ticks, range(4) r(k) WHERE odds > 1 AND isfinite(odds) GROUP BY ALL""")
+def sliding_windows(spark, d):
+    """Hourly windows every quarter of an hour."""
+    t = table(spark, d, "ticks").where("odds > 1 AND NOT isnan(odds) AND odds < double('infinity')")
+    return t.groupBy(F.window("ts", "1 hour", "15 minutes").alias("w"), "market_id").agg(F.count("*").alias("n"), F.round(F.avg("odds"), 6).alias("mean")).select(F.col("w.start").alias("start"), "market_id", "n", "mean")
+
+
 @_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, market_id, count(*) AS n, round(avg(odds), 6) AS mean, min(odds) AS lo, max(odds) AS hi FROM ticks WHERE odds > 1 AND isfinite(odds) GROUP BY ALL")
 def tumbling_windows(spark, d):
     t = table(spark, d, "ticks").where("odds > 1 AND NOT isnan(odds) AND odds < double('infinity')")

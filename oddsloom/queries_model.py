@@ -14,7 +14,10 @@ from oddsloom.operators.board import with_sides
 from oddsloom.operators.shredding import flat
 from oddsloom.queries_board import _board
 from oddsloom.queries_core import payload_tables
+from oddsloom.plans.materialize import table as stored
+from oddsloom.sources import feeds as fd
 from oddsloom.sources import sinks
+from oddsloom.sources import titles as ti
 from oddsloom.sources.tables import table
 from oddsloom.streaming import quotes as sq
 
@@ -123,14 +126,53 @@ def simulated_leagues(spark, d):
     return table(spark, d, "unmatched_events").select("unmatched_id", tx.simulated(F.col("cb_league")).alias("simulated"))
 
 
-_ASCII = "home IS NOT NULL AND regexp_full_match(home, '[ -~]*')"
+_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in [*tx.LETTERS.items(), *((k.upper(), v) for k, v in tx.LETTERS.items() if k.upper() != k)]) + "}"
 
 
-@_query(f"""WITH n AS (SELECT DISTINCT home FROM odds WHERE sport <> 'tennis' AND {_ASCII}), w AS (SELECT home, list_filter(string_split_regex(trim(regexp_replace(lower(home), '[^a-z0-9 ]', ' ', 'g')), ' +'), lambda t: t <> '' AND NOT list_contains([{', '.join(repr(x) for x in sorted(tx.DROPPED))}], t)) AS l FROM n)
-SELECT home, array_to_string(l, ' ') AS norm FROM w""")
+@_query(f"""WITH n AS (SELECT DISTINCT name FROM (SELECT home AS name FROM odds WHERE sport <> 'tennis' UNION ALL SELECT away FROM odds WHERE sport <> 'tennis') WHERE name IS NOT NULL),
+r AS (SELECT name, array_to_string(list_transform(regexp_extract_all(name, '(?s).'), lambda c: coalesce({_MAP}[c], c)), '') AS t FROM n),
+w AS (SELECT name, list_filter(string_split_regex(trim(regexp_replace(lower(strip_accents(t)), '[^a-z0-9 ]', ' ', 'g')), ' +'), lambda t: t <> '' AND NOT list_contains(['fc', 'bc', 'bk', 'sk', 'sc', 'ac', 'kk', 'nk', 'club', 'clubs', 'basketball', 'basket', 'basquet', 'baloncesto', 'pallacanestro', 'csk'], t)) AS l FROM r)
+SELECT name, array_to_string(l, ' ') AS norm FROM w""")
 def normalized_names(spark, d):
-    n = table(spark, d, "odds").where("sport <> 'tennis' AND home IS NOT NULL").where(F.col("home").rlike("^[ -~]*$")).select("home").distinct()
-    return n.withColumn("norm", tx.normal_team("home"))
+    """Every spelling of a team, whatever its script."""
+    n = table(spark, d, "odds").where("sport <> 'tennis'").select(F.explode(F.array("home", "away")).alias("name")).where("name IS NOT NULL").distinct()
+    return n.withColumn("norm", tx.normal_team("name"))
+
+
+@_query()
+def normalized_players(spark, d):
+    n = table(spark, d, "odds").where("sport = 'tennis'").select(F.explode(F.array("home", "away")).alias("name")).where("name IS NOT NULL").distinct()
+    return n.withColumn("norm", tx.normal_player_name("name"))
+
+
+_TITLES = {
+    ("moneyline", "FT"): "Winner (incl. overtime)", ("total", "FT"): "Total  Points (including overtime)", ("spread", "FT"): "Asian Handicap (incl. overtime)", ("moneyline", "H1"): "1st half - Draw no bet", ("total", "H1"): "1st Half - Total*", ("spread", "H1"): "1st. half - Handicap",
+    ("moneyline", "H2"): "2nd half - draw no bet (OT)", ("total", "H2"): "2nd half - Total", ("spread", "H2"): "2nd half - handicap (incl. overtime)", ("moneyline", "Q1"): "1st quarter - draw no bet", ("total", "Q1"): "1st quarter - total points", ("spread", "Q1"): "1st quarter - handicap",
+}
+
+
+@_query("SELECT market_id, CASE WHEN market_type IN ('moneyline', 'total', 'spread') AND period IN ('FT', 'H1', 'H2', 'Q1') THEN market_type || ' ' || period || CASE WHEN market_type = 'total' AND period = 'H2' THEN ' 1' ELSE ' 0' END END AS class FROM markets")
+def title_classes(spark, d):
+    """Markets by the titles under which a two-way sport lists them, read back into market, period and rank."""
+    t = F.create_map(*[F.lit(x) for (m, p), title in _TITLES.items() for x in (f"{m} {p}", title)])
+    m = table(spark, d, "markets").select("market_id", F.try_element_at(t, F.concat_ws(" ", "market_type", "period")).alias("title"))
+    c = ti.strict_class(F.col("title"), F.lit("basketball"))
+    return m.select("market_id", F.when(c.isNotNull(), F.concat_ws(" ", c["market_type"], c["period"], c["rank"].cast("string"))).alias("class"))
+
+
+@_query()
+def board_feed_rows(spark, d):
+    """Canonical rows of the board feed: its flat tables and the code tables."""
+    rows = stored(payload_tables(spark, d))
+    games = flat(rows, "basketball_board", "$.data.eventGames", ["gameId", "gameType", "argument"])
+    outs = flat(rows, "basketball_board", "$.data.eventGames.outcomes", ["outcomeName", "outcomeOdds"])
+    events = flat(rows, "basketball_board", "$.data", ["eventId", "eventName", "category3Name", "category2Name", "remoteId"])
+    home, away = fd.split_fixture(F.col("eventName"))
+    ev = events.select("payload_id", F.col("row_id").alias("event_row"), tx.romanised_text(home).alias("home"), tx.romanised_text(away).alias("away"), F.coalesce("category3Name", "category2Name").alias("league"), F.col("eventId").alias("raw_event_id"), F.col("remoteId").alias("sr_match_id"))
+    g = games.select("payload_id", F.col("row_id").alias("game_row"), F.col("parent_id").alias("event_row"), F.col("gameType").try_cast("int").alias("game_type"), F.col("argument").try_cast("double").alias("argument"))
+    o = outs.select("payload_id", F.col("parent_id").alias("game_row"), F.col("outcomeName").alias("outcome"), F.col("outcomeOdds").try_cast("double").alias("price"))
+    j = ev.join(g, ["payload_id", "event_row"]).join(o, ["payload_id", "game_row"]).withColumns({"sport": F.lit("basketball"), "start_time": F.lit(None).cast("timestamp_ntz"), "game_id": F.concat_ws("|", F.col("payload_id").cast("string"), "game_row")})
+    return fd.feed_c(j, source="board")
 
 
 @_query("""SELECT tick_id, market_id, selection, odds FROM (SELECT *, lag(odds) OVER w AS p, row_number() OVER w AS n FROM ticks WINDOW w AS (PARTITION BY market_id, selection ORDER BY ts, tick_id)) WHERE n = 1 OR odds IS DISTINCT FROM p""")

@@ -72,10 +72,21 @@ def cell_prices(cells: DataFrame) -> DataFrame:
     return cells.where(t.rlike(form)).withColumns({"side": side, "line": F.when(label == "2", -line).otherwise(line), "price": F.when(price > 1, price)}).where("price IS NOT NULL")
 
 
+def paired_cells(cells: DataFrame, *keep: str) -> DataFrame:
+    """(keep, section, line, selections): of cell_prices() the lines of each section that have both sides (or all, of results with a draw and of
+    half/full combos, of which six are enough). Of repeated cells the first by seq."""
+    first = cells.groupBy(*keep, "section", "line", "side").agg(F.min_by("price", "seq").alias("price"))
+    rows = first.groupBy(*keep, "section", "line").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("side", "price")))).alias("selections"))
+    has = lambda *k: F.forall(F.array(*map(F.lit, k)), lambda x: F.map_contains_key("selections", x))
+    return rows.where(has("home", "away") | has("over", "under") | (has("1/1", "2/2") & (F.size("selections") >= 6)))
+
+
 def hidden_fields(html: Column) -> Column:
-    """Map of the names and values of a page's hidden inputs (double-quoted, type before name before value)."""
+    """Map of the names and values of a page's hidden inputs (double-quoted, type before name before value); of repeated names the last value holds."""
     form = r'<input[^>]*type="hidden"[^>]*name="([^"]*)"[^>]*value="([^"]*)"'
-    return F.map_from_arrays(F.array_distinct(F.regexp_extract_all(html, F.lit(form), 1)), F.slice(F.regexp_extract_all(html, F.lit(form), 2), 1, F.size(F.array_distinct(F.regexp_extract_all(html, F.lit(form), 1)))))
+    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(form), 1).alias("k"), F.regexp_extract_all(html, F.lit(form), 2).alias("v"))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
 
 
 def delta_parts(text: str) -> list[tuple[str, str, str]]:

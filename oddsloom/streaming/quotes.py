@@ -1,6 +1,8 @@
 """Structured Streaming forms of the history operators. Each is a DataFrame in, a DataFrame out; start() runs one into a table.
 
-State is keyed and small: the last value of a series, a market's anchor. Late rows are bounded by a watermark on the event time."""
+State is keyed and small: the last value of a series, a market's anchor, and the time of either. A row older than what its key has reported is left
+out, since what came after it is out already; with a watermark, rows behind it are left out, too, and with `forget` a key's state is dropped when
+the watermark is that far beyond its last row (the key's next row then counts as its first)."""
 
 from __future__ import annotations
 
@@ -22,49 +24,78 @@ def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: i
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def change_only(ticks: DataFrame, keys: list[str], *, at: str, value: str, ident: str) -> DataFrame:
-    """Rows whose value differs from the last one of their key, across micro-batches; inside one, rows go by time and id."""
+def _marked(rows: DataFrame, at: str, late: str | None, forget: int | None) -> tuple[DataFrame, str]:
+    if forget is not None and late is None:
+        raise ValueError("state can be dropped only by a watermark: give late, too")
+    return rows.withWatermark(at, late) if late else rows, GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.EventTimeTimeout
+
+
+def _keep_until(state: GroupState, last: pd.Timestamp, forget: int | None) -> None:
+    if forget is not None:
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + forget * 1000)
+
+
+def change_only(ticks: DataFrame, keys: list[str], *, at: str, value: str, ident: str, late: str | None = None, forget: int | None = None) -> DataFrame:
+    """Rows whose value differs from the last one of their key, across micro-batches; inside one, rows go by time and id. late: the
+    watermark's delay; forget: seconds after which a silent key's state is dropped."""
     kinds = dict(ticks.dtypes)
     columns = [*keys, at, value, ident]
+    ticks, timeout = _marked(ticks.select(*columns), at, late, forget)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, old, since = (state.get if state.exists else (False, None, None))
         pdf = pd.concat(list(pdfs)).sort_values([at, ident])
+        if held:
+            pdf = pdf[pdf[at] >= pd.Timestamp(since)]
+        if not len(pdf):
+            _keep_until(state, pd.Timestamp(since), forget)
+            return
         v = pdf[value].astype("float64")
         before = v.shift()
-        held, old = (state.get if state.exists else (False, None))
         changed = ~((v == before) | (v.isna() & before.isna()))
-        first = not held or not (v.iloc[0] == old or (pd.isna(v.iloc[0]) and pd.isna(old)))
-        changed.iloc[0] = first
+        changed.iloc[0] = not held or not (v.iloc[0] == old or (pd.isna(v.iloc[0]) and pd.isna(old)))
         last = v.iloc[-1]
-        state.update((True, None if pd.isna(last) else float(last)))
+        state.update((True, None if pd.isna(last) else float(last), pdf[at].iloc[-1].isoformat()))
+        _keep_until(state, pdf[at].iloc[-1], forget)
         yield pdf.loc[changed, columns]
 
     out = ", ".join(f"{c} {kinds[c]}" for c in columns)
-    return ticks.select(*columns).groupBy(*keys).applyInPandasWithState(step, out, "held boolean, last double", "append", GroupStateTimeout.NoTimeout)
+    return ticks.groupBy(*keys).applyInPandasWithState(step, out, "held boolean, last double, since string", "append", timeout)
 
 
-def steam(points: DataFrame, keys: list[str], *, at: str, side: str, fair: str, least: float = 0.02) -> DataFrame:
-    """The fold of operators.series.steam_moves with its anchor kept as state across micro-batches (JSON of side to chance)."""
+def steam(points: DataFrame, keys: list[str], *, at: str, side: str, fair: str, least: float = 0.02, late: str | None = None, forget: int | None = None) -> DataFrame:
+    """The fold of operators.series.steam_moves with its anchor kept as state across micro-batches (JSON of side to chance). late, forget: as above."""
     kinds = dict(points.dtypes)
+    points, timeout = _marked(points, at, late, forget)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import json
 
-        anchor, since = (json.loads(state.get[0]), pd.Timestamp(state.get[1])) if state.exists else ({}, None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        anchor, since, newest = (json.loads(state.get[0]), pd.Timestamp(state.get[1]), pd.Timestamp(state.get[2])) if state.exists else ({}, None, None)
+        rows = pd.concat(list(pdfs)).sort_values([at, side])
+        rows = rows if newest is None else rows[rows[at] > newest]
         out = []
-        for t, now in pd.concat(list(pdfs)).sort_values([at, side]).groupby(at, sort=True):
+        for t, now in rows.groupby(at, sort=True):
             current = {s: float(p) for s, p in zip(now[side], now[fair])}
             risen = [(*key, t, s, anchor[s], p, int((t - since).total_seconds())) for s, p in current.items() if s in anchor and p - anchor[s] >= least]
             out += risen
+            newest = t
             if risen or since is None:
                 anchor, since = {**anchor, **current}, t
             else:
                 anchor = {**current, **anchor}
-        state.update((json.dumps(anchor), since.isoformat()))
+        state.update((json.dumps(anchor), since.isoformat(), newest.isoformat()))
+        _keep_until(state, newest, forget)
         yield pd.DataFrame(out, columns=[*keys, at, side, "was", "now", "window_sec"])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {at} {kinds[at]}, {side} string, was double, now double, window_sec long"
-    return points.groupBy(*keys).applyInPandasWithState(step, schema, "anchor string, since string", "append", GroupStateTimeout.NoTimeout)
+    return points.groupBy(*keys).applyInPandasWithState(step, schema, "anchor string, since string, newest string", "append", timeout)
 
 
 def tumbling(ticks: DataFrame, keys: list[str], *, at: str, value: str, width: str, late: str) -> DataFrame:
@@ -78,6 +109,12 @@ def sessions(ticks: DataFrame, keys: list[str], *, at: str, gap: str, late: str)
     return w.agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def sliding(ticks: DataFrame, keys: list[str], *, at: str, value: str, width: str, slide: str, late: str) -> DataFrame:
+    """tumbling() over windows that overlap: a row counts in each that holds it."""
+    w = ticks.withWatermark(at, late).groupBy(F.window(at, width, slide).alias("w"), *keys)
+    return w.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi")).select(F.col("w.start").alias("start"), *keys, "n", "mean", "lo", "hi")
+
+
 def without_repeats(events: DataFrame, keys: list[str], *, at: str, late: str) -> DataFrame:
     """Each key once within the watermark's delay."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
