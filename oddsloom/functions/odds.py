@@ -113,3 +113,28 @@ def line_text(line: Column) -> Column:
     """A line with its sign and without trailing zeros: +1.5, -2, 0."""
     plain = F.regexp_replace(F.format_string("%.2f", F.abs(line)), r"\.?0+$", "")
     return F.when(line > 0, F.concat(F.lit("+"), plain)).when(line < 0, F.concat(F.lit("-"), plain)).otherwise(F.when(line.isNotNull(), F.lit("0")))
+
+
+def devig_three_way(a: Column, b: Column, c: Column, method: str = "auto") -> Column:
+    """Fair chances of three sides by 'shin', 'power' or 'proportional'; 'auto' is shin, as for every market of three sides or more."""
+    if method == "proportional":
+        return F.array(proportional(a, b, c), proportional(b, a, c), proportional(c, a, b))
+    return {"auto": shin_model, "shin": shin_model, "power": power_three_way}[method](a, b, c)
+
+
+@pandas_udf(ArrayType(DoubleType()))
+def power_two_way(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(power(np.column_stack([a, b]).astype(float)).tolist())
+
+
+def devig_two_way(a: Column, b: Column, method: str = "auto") -> Column:
+    """The same of two sides; 'auto' is power."""
+    if method == "proportional":
+        return F.array(proportional(a, b), proportional(b, a))
+    if method == "shin":
+        return F.array(shin_two_way(a, b), shin_two_way(b, a))
+    return {"auto": power_two_way, "power": power_two_way}[method](a, b)
+
+
+def clamped(value: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(value, F.lit(low)), F.lit(high))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddsloom.operators.series import with_previous
+
 
 def carry_first_seen(now: DataFrame, before: DataFrame, key: list[str], at: str) -> DataFrame:
     """now with first_seen: that of the previous scan for keys it held, else the scan's time `at`. An absence resets it. Null keys equal null."""
@@ -28,13 +30,12 @@ def replace_slice(before: DataFrame, fresh: DataFrame, on: list[str]) -> DataFra
 
 def log_on_change(events: DataFrame, key: list[str], state: list[str], at: str, ident: str, every_hours: int = 24) -> DataFrame:
     """Rows whose state differs from the previous row of their key, and those later than `every_hours` after the previous row."""
-    w = Window.partitionBy(*key).orderBy(at, ident)
+    out = with_previous(events, key, at, ident, [*state, at])
     changed = F.lit(False)
-    out = events.withColumns({f"_{s}": F.lag(s).over(w) for s in state}).withColumns({"_at": F.lag(at).over(w), "_n": F.row_number().over(w)})
     for s in state:
         changed = changed | ~F.col(s).eqNullSafe(F.col(f"_{s}"))
-    late = F.col(at) > F.col("_at") + F.expr(f"INTERVAL {every_hours} HOURS")
-    return out.where((F.col("_n") == 1) | changed | F.coalesce(late, F.lit(False))).drop("_at", "_n", *[f"_{s}" for s in state])
+    late = F.col(at) > F.col(f"_{at}") + F.expr(f"INTERVAL {every_hours} HOURS")
+    return out.where(F.col("_first") | changed | F.coalesce(late, F.lit(False))).drop("_first", f"_{at}", *[f"_{s}" for s in state])
 
 
 def needs_expansion(now: DataFrame, before: DataFrame, key: str, payload: str) -> DataFrame:
@@ -53,3 +54,22 @@ def compare_captures(first: DataFrame, second: DataFrame, again: DataFrame, key:
     same = F.col("a").eqNullSafe(F.col("b")) & F.col("in_a").eqNullSafe(F.col("in_b"))
     drift = ~(F.col("a").eqNullSafe(F.col("c")) & F.col("in_a").eqNullSafe(F.col("in_c")))
     return j.select(*key, F.when(same, "exact").when(drift, "drift").otherwise("structural").alias("verdict"))
+
+
+def alerts(edges: DataFrame, seen: DataFrame, key: list[str], *, threshold: float = 15.0, rise: float = 5.0, muted: list[str] = (), first: bool = False) -> DataFrame:
+    """Edges worth an alert: at the threshold or above, not weak, no muted source, and new against `seen` (key, edge) or risen by `rise` points since.
+    The first look only takes note: it alerts of nothing. Null keys equal null."""
+    strong = edges.where((F.col("edge") >= threshold) & (F.col("confidence") != "weak") & ~F.col("source").isin(*muted) if muted else (F.col("edge") >= threshold) & (F.col("confidence") != "weak"))
+    old = seen.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max("edge").alias("_edge"))
+    cond = F.lit(True)
+    for k in key:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    j = strong.join(old, cond, "left").where(F.col("_edge").isNull() | (F.col("edge") - F.col("_edge") >= rise))
+    return (j.limit(0) if first else j).drop("_edge", *[f"_{k}" for k in key])
+
+
+def ranked(edges: DataFrame, by: list[str] = ()) -> DataFrame:
+    """edges without weak ones and with place: strong before medium, then the larger edge; places count within `by`."""
+    tier = F.when(F.col("confidence") == "strong", 0).otherwise(1)
+    w = Window.partitionBy(*by).orderBy(tier, F.col("edge").desc(), "odds_id", "side")
+    return edges.where("confidence <> 'weak'").withColumn("place", F.row_number().over(w))

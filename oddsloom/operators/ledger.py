@@ -64,3 +64,9 @@ def combined(legs: DataFrame, key: list[str]) -> DataFrame:
     shuffle), won (all are) and lost (any is)."""
     price = F.when(F.col("status").isin("pushed", "push", "void"), F.lit(1.0)).otherwise(F.col("odds_taken"))
     return legs.groupBy(*key).agg(F.count("*").alias("legs"), F.exp(F.sum(F.ln(price))).alias("combined"), F.bool_and(F.col("status") == "won").alias("won"), F.bool_or(F.col("status") == "lost").alias("lost"))
+
+
+def balance_entries(wanted: DataFrame, balances: DataFrame) -> DataFrame:
+    """'pnl' entries that bring accounts to the balances wanted (id, balance, ts); a difference under half a cent makes none."""
+    j = wanted.select("id", "ts", F.col("balance").alias("_wanted")).join(balances.select("id", "balance"), "id").withColumn("amount", F.round(F.col("_wanted") - F.col("balance"), 2))
+    return j.where("abs(_wanted - balance) >= 0.005").select(F.col("id").alias("account_id"), "ts", F.lit("pnl").alias("kind"), "amount")

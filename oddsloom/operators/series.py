@@ -9,18 +9,31 @@ from pyspark.sql import functions as F
 SERIES = ["market_id", "selection"]
 
 
+def with_previous(rows: DataFrame, keys: list[str], at: str, ident: str, columns: list[str], *, slice_: str = "day") -> DataFrame:
+    """rows with _first, whether the row is the first of its key by `at` and `ident`, and _<c> for each of the columns, its value in the row before.
+
+    A key's rows are windowed in slices of time, so a hot key is spread over as many tasks as it has slices. The last row of every slice,
+    which a map-side combine finds, is carried into the key's next slice as a row of its own. Null keys and times are values like others."""
+    cut = rows.withColumn("_slice", F.date_trunc(slice_, F.col(at)))
+    last = cut.groupBy(*keys, "_slice").agg(F.max_by(F.struct(*columns), F.struct(at, ident)).alias("_x"))
+    carried = last.withColumn("_x", F.lag("_x").over(Window.partitionBy(*keys).orderBy("_slice"))).where("_x IS NOT NULL").select(*keys, "_slice", *[F.col("_x")[c].alias(f"_v_{c}") for c in columns], F.lit(True).alias("_carried"))
+    both = cut.withColumns({**{f"_v_{c}": F.col(c) for c in columns}, "_carried": F.lit(False)}).unionByName(carried, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_slice").orderBy(F.col("_carried").desc(), at, ident)
+    out = both.withColumns({**{f"_{c}": F.lag(f"_v_{c}").over(w) for c in columns}, "_first": F.lag("_carried").over(w).isNull()}).where("NOT _carried")
+    return out.drop("_slice", "_carried", *[f"_v_{c}" for c in columns])
+
+
 def change_ticks(ticks: DataFrame) -> DataFrame:
     """Readings that differ from the one before in their series, null-safe; the first of a series always counts. Order: ts, tick_id."""
-    w = Window.partitionBy(*SERIES).orderBy("ts", "tick_id")
-    return ticks.withColumns({"_p": F.lag("odds").over(w), "_n": F.row_number().over(w)}).where((F.col("_n") == 1) | ~F.col("odds").eqNullSafe(F.col("_p"))).drop("_p", "_n")
+    out = with_previous(ticks, SERIES, "ts", "tick_id", ["odds"])
+    return out.where(F.col("_first") | ~F.col("odds").eqNullSafe(F.col("_odds"))).drop("_odds", "_first")
 
 
 def vanished(ticks: DataFrame) -> DataFrame:
-    """Series whose last reading is a null, with the time of that reading and the last price before it."""
-    w = Window.partitionBy(*SERIES).orderBy(F.col("ts").desc(), F.col("tick_id").desc())
-    last = ticks.withColumn("_n", F.row_number().over(w)).where("_n = 1 AND odds IS NULL").select(*SERIES, F.col("ts").alias("gone_at"))
-    price = ticks.where("odds IS NOT NULL").groupBy(*SERIES).agg(F.max_by("odds", F.struct("ts", "tick_id")).alias("last_odds"))
-    return last.join(price, SERIES, "left")
+    """Series whose last reading is a null, with the time of that reading and the last price before it. Two combinable aggregates, no sort."""
+    order = F.struct("ts", "tick_id")
+    by = ticks.groupBy(*SERIES).agg(F.max_by(F.struct("ts", "odds"), order).alias("l"), F.max_by("odds", F.when(F.col("odds").isNotNull(), order)).alias("last_odds"))
+    return by.where("l.odds IS NULL").select(*SERIES, F.col("l.ts").alias("gone_at"), "last_odds")
 
 
 def disappearances(cycles: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:

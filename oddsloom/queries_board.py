@@ -437,14 +437,6 @@ def tumbling_windows(spark, d):
     return t.groupBy(F.window("ts", "1 hour").alias("w"), "market_id").agg(F.count("*").alias("n"), F.round(F.avg("odds"), 6).alias("mean"), F.min("odds").alias("lo"), F.max("odds").alias("hi")).select(F.col("w.start").alias("start"), "market_id", "n", "mean", "lo", "hi")
 
 
-@_query("""WITH g AS (SELECT market_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ticks WHERE market_id > 1 WINDOW w AS (PARTITION BY market_id ORDER BY ts)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY market_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT market_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY market_id, k""")
-def session_windows(spark, d):
-    """The part without market 1; session_windows_all has every market."""
-    t = table(spark, d, "ticks").where("market_id > 1")
-    return t.groupBy("market_id", F.session_window("ts", "6 hours")).agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("n")).select("market_id", "start", "last", "n")
-
-
 @_query("""WITH g AS (SELECT market_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ticks WINDOW w AS (PARTITION BY market_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY market_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT market_id, min(ts) AS start, max(ts) AS last, count(*)::BIGINT AS n FROM s GROUP BY market_id, k""")
 def session_windows_all(spark, d):

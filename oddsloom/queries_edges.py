@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from oddsloom.functions import odds as fo
 from oddsloom.functions import text as tx
 from oddsloom.operators import board as bo
+from oddsloom.operators import flags as fl
 from oddsloom.operators import grid as gr
 from oddsloom.operators import series as se
 from oddsloom.plans.materialize import table as stored
@@ -77,6 +78,18 @@ def opportunities(spark, d):
     return o.withColumn("place", F.row_number().over(w)).withColumns({"edge": F.round("edge", 5), "ref_price": F.round("ref_price", 6)})
 
 
+@_query()
+def opportunity_alerts(spark, d):
+    """What a second look at the feed alerts of: edges of five percent that are not weak, unseen in the first look (rows of even ids) or grown by a point."""
+    o = stored(gr.opportunities(_joined(spark, d)))
+    return fl.alerts(o, o.where("odds_id % 2 = 0").withColumn("edge", F.col("edge") - 0.5), ["kind", "source", "event", "odds_id", "side"], threshold=5.0, rise=1.0)
+
+
+@_query()
+def opportunities_ranked(spark, d):
+    return fl.ranked(gr.opportunities(_joined(spark, d)), ["sport"])
+
+
 def _quotes(spark, d):
     pairs = resolved(spark, d).select("source", "sport", "event", F.col("ref_event").alias("meeting"), "flipped")
     soft, ref = _both(spark, d)

@@ -281,12 +281,13 @@ def closing_line_value(spark, d):
     return b.select("bet_id", F.round((F.col("pin_fair_at_placement") / F.col("pin_fair_closing") - 1) * 100, 5).alias("clv"), F.round((F.col("odds_taken") / F.col("pin_fair_at_placement") - 1) * 100, 5).alias("edge"))
 
 
-@_query("""WITH m AS (SELECT event_id, book, source_event_id, home FROM book_events WHERE book = 'apex'), a AS (SELECT unmatched_id, best_pin_home AS home, 'x' AS source_event_id FROM unmatched_events)
-SELECT DISTINCT a.unmatched_id AS asked, m.event_id, m.book, m.source_event_id, m.home FROM m JOIN a ON m.home = a.home OR m.source_event_id = a.source_event_id""")
+@_query("""WITH a AS (SELECT bet_id, cb_event_id AS source_event_id, trim(split_part(match_label, ' - ', 1)) AS home FROM bets)
+SELECT DISTINCT a.bet_id AS asked, m.event_id, m.book, m.source_event_id, m.home FROM book_events m JOIN a ON m.home = a.home OR m.source_event_id = a.source_event_id""")
 def marks_by_either_key(spark, d):
-    m = table(spark, d, "book_events").where("book = 'apex'").select("event_id", "book", "source_event_id", "home")
-    a = table(spark, d, "unmatched_events").select("unmatched_id", F.col("best_pin_home").alias("home"), F.lit("x").alias("source_event_id"))
-    return le.either_key(m, a, ("home", "source_event_id"), "unmatched_id")
+    """Listings that agree with a bet in the id of the event or in the name of the home side."""
+    m = table(spark, d, "book_events").select("event_id", "book", "source_event_id", "home")
+    a = table(spark, d, "bets").select("bet_id", F.col("cb_event_id").alias("source_event_id"), F.trim(F.split_part("match_label", F.lit(" - "), F.lit(1))).alias("home"))
+    return le.either_key(m, a, ("home", "source_event_id"), "bet_id")
 
 
 @_query("SELECT book, count(*) AS rows, count(DISTINCT sport) AS sports, max(last_seen) AS freshest FROM book_events GROUP BY ALL")
@@ -307,16 +308,18 @@ def bets_export(spark, d):
     return b.select("bet_id", "placed_at", "book", "odds_taken", "stake", F.round(F.coalesce(F.col("payout") - F.col("stake"), F.lit(0.0)), 2).alias("pnl"))
 
 
-@_query("""SELECT account_id, date_trunc('day', placed_at)::TIMESTAMP AS day, count(*) AS legs, round(product(CASE WHEN status IN ('pushed', 'push', 'void') THEN 1 ELSE odds_taken END), 4) AS combined, bool_and(status = 'won') AS won, bool_or(status = 'lost') AS lost
-FROM bets WHERE account_id IS NOT NULL AND odds_taken > 1 AND book = 'birch' GROUP BY ALL""")
+@_query("""SELECT account_id, date_trunc('day', placed_at)::TIMESTAMP AS day, count(*) AS legs, round(sum(CASE WHEN status IN ('pushed', 'push', 'void') THEN 0 ELSE ln(odds_taken) END), 6) AS log_combined, bool_and(status = 'won') AS won, bool_or(status = 'lost') AS lost
+FROM bets WHERE account_id IS NOT NULL AND odds_taken > 1 GROUP BY ALL""")
 def combined_odds(spark, d):
-    """Bets of one account and day as legs: the product of their prices, returned ones left out."""
-    b = table(spark, d, "bets").where("account_id IS NOT NULL AND odds_taken > 1 AND book = 'birch'")
-    return le.combined(b.withColumn("day", F.to_date("placed_at").cast("timestamp_ntz")), ["account_id", "day"]).withColumn("combined", F.round("combined", 4))
+    """Bets of one account and day as legs, of every book: the product of their prices, returned ones left out, told by its logarithm, as a day's
+    product may have dozens of digits."""
+    b = table(spark, d, "bets").where("account_id IS NOT NULL AND odds_taken > 1")
+    c = le.combined(b.withColumn("day", F.to_date("placed_at").cast("timestamp_ntz")), ["account_id", "day"])
+    return c.withColumn("log_combined", F.round(F.ln("combined") + 0.0, 6)).drop("combined")
 
 
 @_query()
 def combined_odds_all(spark, d):
-    """combined_odds over the bets of every book; that one, held against SQL, has those of birch alone."""
+    """The same with the product itself."""
     b = table(spark, d, "bets").where("account_id IS NOT NULL AND odds_taken > 1")
     return le.combined(b.withColumn("day", F.to_date("placed_at").cast("timestamp_ntz")), ["account_id", "day"])
