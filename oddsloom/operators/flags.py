@@ -73,3 +73,18 @@ def ranked(edges: DataFrame, by: list[str] = ()) -> DataFrame:
     tier = F.when(F.col("confidence") == "strong", 0).otherwise(1)
     w = Window.partitionBy(*by).orderBy(tier, F.col("edge").desc(), "odds_id", "side")
     return edges.where("confidence <> 'weak'").withColumn("place", F.row_number().over(w))
+
+
+def refresh_plan(listing: DataFrame, cache: DataFrame, key: str, payload: str, *, start: str, now: str, horizon_hours: float, fresh_hours: float = 6.0) -> DataFrame:
+    """listing with what to do about each event: 'beyond_horizon' (it starts too late to be looked into), 'expand' (unseen, or changed since), 'failed'
+    (its expansion failed and the listing has not changed since), 'cached' (unchanged and fresh enough) or 'list_fallback' (unchanged but
+    stale). cache: key, hash, loaded_at, failed; of repeated keys the newest. An unknown start is inside the horizon."""
+    at = F.lit(now).cast("timestamp_ntz")
+    hashed = listing.withColumn("hash", F.sha2(F.coalesce(payload, F.lit("")), 256))
+    old = cache.groupBy(key).agg(F.max_by(F.struct("hash", "loaded_at", "failed"), "loaded_at").alias("_c"))
+    j = hashed.join(old, key, "left")
+    far = F.coalesce(F.col(start) > at + F.expr(f"INTERVAL {int(horizon_hours * 3600)} SECONDS"), F.lit(False))
+    fresh = F.coalesce(F.col("_c.loaded_at") >= at - F.expr(f"INTERVAL {int(fresh_hours * 3600)} SECONDS"), F.lit(False))
+    same = F.coalesce(F.col("_c.hash") == F.col("hash"), F.lit(False))
+    plan = F.when(far, "beyond_horizon").when(~same, "expand").when(F.coalesce("_c.failed", F.lit(False)), "failed").when(fresh, "cached").otherwise("list_fallback")
+    return j.withColumn("plan", plan).drop("_c")
