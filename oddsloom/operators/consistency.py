@@ -221,3 +221,41 @@ def sweep_flags(board: DataFrame) -> DataFrame:
     ml = s.groupBy(*EVENT).agg(F.min_by(F.struct("h", "a"), "odds_id").alias("x")).join(leagues_of(board), EVENT)
     open_ = ml.where(worth_opening(F.col("sport"), F.col("x.h"), F.col("x.a"), F.col("league"))).select(*EVENT)
     return favourite_combo(board).unionByName(favourite_disagreement(board)).join(open_, EVENT, "left_semi")
+
+
+#: Parts of market names that speak of less than the whole game, that name its result, and that name its winner with overtime.
+NOT_WHOLE = [
+    "half", "quarter", " set", "period", " map", "1st", "2nd", "3rd", "4th", "5th", "inning", "frame", " leg", "which", "scores", "race", "odd", "even", "exact", "correct", "range", "player", "both teams", "margin", "highest", "method", "first", "last", "to score",
+    "double chance",
+]
+RESULT_WORDS, OVERTIME_WORDS = ["result", "1x2", "main", "regular"], ["ot", "overtime", "incl", "winner", "money", "12"]
+#: Ids of the feed's markets that stay the same.
+RESULT_IDS, WINNER_IDS = [1, 409], [396]
+
+
+def moneyline_markets(outcomes: DataFrame) -> DataFrame:
+    """event, reg_market, reg (map of 1, X, 2 to price), ot_market, ot (map of 1, 2): of every event the three-way result of the regular game and the
+    two-way winner, if it has both. Outcomes in; a market is left out if it has a line or its name speaks of less than the whole game;
+    of several the one with a stable id (of winners first one whose name speaks of overtime), then the one listed first.
+
+    outcomes: event, seq (place of the market), market_id, market, outcome, price, lined, open. Outcomes that are closed or have no valid price do not count."""
+    has = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: c.contains(w))
+    name = F.lower(F.trim("market"))
+    priced = outcomes.where(F.coalesce("open", F.lit(True))).withColumn("price", valid(F.col("price"))).where("price IS NOT NULL")
+    m = priced.groupBy("event", "seq").agg(F.min("market_id").alias("market_id"), F.min("market").alias("market"), F.max(F.coalesce("lined", F.lit(False))).alias("lined"), F.collect_list(F.struct(F.trim("outcome").alias("k"), "price")).alias("o"))
+    m = m.where(~F.col("lined") & ~has(F.concat(F.lit(" "), F.coalesce(name, F.lit("")), F.lit(" ")), NOT_WHOLE)).withColumn("labels", F.array_sort(F.array_distinct(F.transform("o", lambda x: x["k"]))))
+    price = lambda k: F.element_at(F.filter("o", lambda x: x["k"] == k), -1)["price"]
+    three, two = F.array(*map(F.lit, ("1", "2", "X"))), F.array(F.lit("1"), F.lit("2"))
+    pick = lambda rows, order, *sides: rows.groupBy("event").agg(F.min_by(F.struct("market", *[price(k).alias(n) for k, n in sides]), F.struct(*order, "seq")).alias("x"))
+    reg = pick(m.where((F.size(F.array_intersect("labels", three)) == 3) & has(name, RESULT_WORDS)), [~F.coalesce(F.col("market_id").isin(*RESULT_IDS), F.lit(False))], ("1", "h"), ("X", "d"), ("2", "a"))
+    win = pick(m.where(F.col("labels") == two), [~F.coalesce(has(name, OVERTIME_WORDS), F.lit(False)), ~F.coalesce(F.col("market_id").isin(*WINNER_IDS), F.lit(False))], ("1", "h"), ("2", "a"))
+    return reg.select("event", F.col("x").alias("reg")).join(win.select("event", F.col("x").alias("ot")), "event")
+
+
+def overtime_flags(outcomes: DataFrame, *, least: float = OVERTIME_PP) -> DataFrame:
+    """event, kind (overtime_flip if the favourite differs, else overtime_fold), outcome (the side that lost chance), severity (points), reg_market, ot_market."""
+    m = moneyline_markets(outcomes).withColumn("three", shin_three_way("reg.h", "reg.d", "reg.a")).withColumn("two", shin_two_way(F.col("ot.h"), F.col("ot.a")))
+    flip = (F.col("three")[0] > F.col("three")[2]) != (F.col("two") > 1 - F.col("two"))
+    side = lambda n, p, q: F.struct(F.lit(n).alias("outcome"), ((p - q) * 100).alias("severity"))
+    rows = m.select("event", F.when(flip, "overtime_flip").otherwise("overtime_fold").alias("kind"), F.explode(F.array(side("home", F.col("three")[0], F.col("two")), side("away", F.col("three")[2], 1 - F.col("two")))).alias("r"), F.col("reg.market").alias("reg_market"), F.col("ot.market").alias("ot_market"))
+    return rows.select("event", "kind", "r.*", "reg_market", "ot_market").where(F.col("severity") >= least)

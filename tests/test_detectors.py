@@ -135,3 +135,16 @@ def test_late_rows_and_silent_keys_of_a_stream(spark, tmp_path):
     assert ids() == [1, 2, 5]
     # key 2's state is dropped once the watermark is an hour beyond it, so its next row is a first one
     assert ids(late="1 minute", forget=3600) == [1, 2, 5, 7]
+
+
+def test_markets_of_a_feed_are_picked_and_compared(spark):
+    schema = "event string, seq int, market_id int, market string, outcome string, price double, lined boolean, open boolean"
+    market = lambda e, seq, mid, name, prices, lined=False: [(e, seq, mid, name, k, p, lined, True) for k, p in prices.items()]
+    rows = market("e", 1, 7, "2nd Half - Winner (1X2)", {"1": 9.0, "X": 9.0, "2": 1.1}) + market("e", 2, 70, "Match Result", {"1": 5.0, "X": 9.0, "2": 1.2}) + market("e", 3, 409, "1x2", {"1": 2.3, "X": 12.25, "2": 1.6}) + market("e", 4, 5, "Points Spread", {"1": 1.9, "2": 1.9}, True)
+    rows += market("e", 5, 396, "Home/Away", {"1": 1.9, "2": 1.9}) + market("e", 6, 8, "12 (OT)", {"1": 1.6, "2": 2.0}) + market("f", 1, 1, "Result", {"1": 2.0, "X": 3.0, "2": 3.0}) + [("f", 2, 396, "Winner", "1", 1.5, False, True), ("f", 2, 396, "Winner", "2", 2.4, False, False)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.event: (r.reg.asDict(), r.ot.asDict()) for r in co.moneyline_markets(df).collect()}
+    assert got == {"e": ({"market": "1x2", "h": 2.3, "d": 12.25, "a": 1.6}, {"market": "12 (OT)", "h": 1.6, "a": 2.0})}
+    flag = co.overtime_flags(df).collect()
+    assert [(r.event, r.kind, r.outcome) for r in flag] == [("e", "overtime_flip", "away")] and flag[0].severity > 10
+    assert co.overtime_flags(df.limit(0)).count() == 0
