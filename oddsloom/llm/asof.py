@@ -1,6 +1,6 @@
 """Pairing by nearest time: learned indexes over entity-time shards (problem 5).
 
-Recordings are cut into shards by key ranges of (entity, time) taken from a bounded sample; a hot entity simply owns many
+Recordings are cut into shards by key ranges of (entity, time) taken from a sample of a few keys a shard; a hot entity simply owns many
 shards. Per shard a piecewise-linear model predicts the position of a time among the entity's sorted recordings with an
 error of at most EPSILON positions, a local search over that window finds the exact neighbours. A query whose tolerance
 reaches over a shard's edge is also put to the neighbouring shard, so edges overlap; the best of at most three answers wins."""
@@ -16,8 +16,8 @@ from oddsloom.functions.times import micros
 
 EPSILON = 16
 ROWS_PER_SHARD = 200_000
-#: Rows sampled for the shard bounds: at most about this many, by a hash of the id.
-SAMPLE = 100_000
+#: Rows sampled for the shard bounds, by a hash of the id: about this many, or so many a shard where that is more.
+SAMPLE, A_SHARD = 100_000, 4
 
 
 def piecewise_linear(times: np.ndarray, starts: np.ndarray, epsilon: int = EPSILON) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +102,10 @@ def nearest_recordings(recordings: DataFrame, queries: DataFrame, *, entity: str
     rec = recordings.select(F.col(entity).cast("long").alias("e"), micros(recordings, time).alias("t"), F.col(ident).alias("i")).where("e IS NOT NULL AND t IS NOT NULL AND i IS NOT NULL")
     ask = queries.select(F.col(entity).cast("long").alias("e"), F.col(anchor).alias("a"), micros(queries, q_time).alias("t"), F.col(tolerance).cast("long").alias("tol")).where("e IS NOT NULL AND t IS NOT NULL")
     rows = recordings.count()
-    every = max(1, rows // SAMPLE)
+    n = min(max(rows // ROWS_PER_SHARD + 1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), max(1, rows // 1000))
+    every = max(1, rows // max(SAMPLE, A_SHARD * n))
     keys = rec.where(F.pmod(F.xxhash64("i"), F.lit(every)) == 0).select("e", "t").toPandas()
     keys = np.unique(keys["e"].to_numpy(np.float64) + 1j * keys["t"].to_numpy(np.float64))
-    n = min(max(rows // ROWS_PER_SHARD + 1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), max(1, rows // 1000))
     step = max(1, len(keys) // n)
     bounds = spark.sparkContext.broadcast(keys[step::step])
 
