@@ -8,8 +8,6 @@ centres alike (a name without its second word, say) is left alone."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

@@ -143,7 +143,7 @@ def opening_gate(spark, d):
     return ml.select(*co.EVENT, co.favourite_side(h, a).alias("favourite"), co.top_league(F.col("league")).alias("top"), co.worth_opening(F.col("sport"), h, a, F.col("league")).alias("worth"))
 
 
-@_query()
+@_query(f"""SELECT x.* FROM (SELECT * FROM ({_SQL['favourite_combo']}) UNION ALL SELECT * FROM ({_SQL['favourite_disagreement']})) x JOIN ({_SQL['opening_gate']}) g USING (source, sport, event) WHERE g.worth""")
 def sweep_flags(spark, d):
     return _flags(co.sweep_flags(_board(spark, d)))
 
@@ -232,7 +232,11 @@ def identities_arbs(spark, d):
     return idn.covers(_full_sheet(spark, d)).withColumn("gain", F.round("gain", 4))
 
 
-@_query()
+_POSTED = {k: _SQL[f"identities_{k}"].replace(_FULL, _SHEET) for k in ("partition", "equivalence", "quarter_lines", "arbs")}
+
+
+@_query(f"""SELECT source, event, 'partition' AS kind, name, excess AS severity, suspect FROM ({_POSTED['partition']}) UNION ALL SELECT source, event, 'equivalence', key || ' = ' || other, gap, back FROM ({_POSTED['equivalence']})
+UNION ALL SELECT source, event, 'quarter', key, gap, key FROM ({_POSTED['quarter_lines']}) UNION ALL SELECT source, event, 'arb', key || ' + ' || other, gain, key FROM ({_POSTED['arbs']})""")
 def identity_flags(spark, d):
     """All identities on the posted sheets, none of whose keys is made up."""
     return idn.identity_flags(idn.posted_sheet(_board(spark, d))).withColumn("severity", F.round("severity", 4))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddsloom.functions.odds import valid
 from oddsloom.functions import text as tx
 from oddsloom.operators import consistency as co
 from oddsloom.operators import fixtures as fx
@@ -139,7 +138,10 @@ def normalized_names(spark, d):
     return n.withColumn("norm", tx.normal_team("name"))
 
 
-@_query()
+@_query(f"""WITH n AS (SELECT DISTINCT name FROM (SELECT home AS name FROM odds WHERE sport = 'tennis' UNION ALL SELECT away FROM odds WHERE sport = 'tennis') WHERE name IS NOT NULL),
+p AS (SELECT name, unnest(string_split(name, '/')) AS part FROM n), r AS (SELECT name, array_to_string(list_transform(regexp_extract_all(part, '(?s).'), lambda c: coalesce({_MAP}[c], c)), '') AS t FROM p),
+w AS (SELECT name, array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower(strip_accents(t)), '[^a-z0-9 ]', ' ', 'g')), ' +'), lambda t: t <> '' AND NOT list_contains(['fc', 'bc', 'bk', 'sk', 'sc', 'ac', 'kk', 'nk', 'club', 'clubs', 'basketball', 'basket', 'basquet', 'baloncesto', 'pallacanestro', 'csk'], t)), ' ') AS l FROM r)
+SELECT name, string_agg(regexp_replace(regexp_replace(l, '( [a-z0-9])+$', ''), '^([a-z0-9] )+', ''), '/' ORDER BY regexp_replace(regexp_replace(l, '( [a-z0-9])+$', ''), '^([a-z0-9] )+', '')) AS norm FROM w GROUP BY ALL""")
 def normalized_players(spark, d):
     n = table(spark, d, "odds").where("sport = 'tennis'").select(F.explode(F.array("home", "away")).alias("name")).where("name IS NOT NULL").distinct()
     return n.withColumn("norm", tx.normal_player_name("name"))
