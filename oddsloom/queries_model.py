@@ -179,8 +179,8 @@ def board_feed_rows(spark, d):
 
 @_query("""SELECT tick_id, market_id, selection, odds FROM (SELECT *, lag(odds) OVER w AS p, row_number() OVER w AS n FROM ticks WINDOW w AS (PARTITION BY market_id, selection ORDER BY ts, tick_id)) WHERE n = 1 OR odds IS DISTINCT FROM p""")
 def stream_change_ticks(spark, d):
-    """The change-only history by a stream with keyed state."""
-    ticks = sq.read_table(spark, d, "ticks", 1_000_000)
+    """The change-only history by a stream with keyed state, over several micro-batches."""
+    ticks = sq.replay(table(spark, d, "ticks"), "ts")
     out = sq.start(sq.change_only(ticks, ["market_id", "selection"], at="ts", value="odds", ident="tick_id"))
     return out.select("tick_id", "market_id", "selection", "odds")
 
@@ -188,8 +188,8 @@ def stream_change_ticks(spark, d):
 @_query("""WITH g AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, market_id, count(*) AS n, round(avg(odds), 6) AS mean, min(odds) AS lo, max(odds) AS hi FROM ticks WHERE odds > 1 AND isfinite(odds) GROUP BY ALL)
 SELECT start, market_id, n, mean, lo, hi FROM g WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks WHERE odds > 1 AND isfinite(odds)) - INTERVAL 2 HOUR""")
 def stream_tumbling_windows(spark, d):
-    """Hourly windows by a stream; those that the watermark has passed."""
-    ticks = sq.read_table(spark, d, "ticks", 1_000_000).where("odds > 1 AND NOT isnan(odds) AND odds < double('infinity')")
+    """Hourly windows by a stream over several micro-batches; those that the watermark has passed."""
+    ticks = sq.replay(table(spark, d, "ticks"), "ts").where("odds > 1 AND NOT isnan(odds) AND odds < double('infinity')")
     out = sq.start(sq.tumbling(ticks, ["market_id"], at="ts", value="odds", width="1 hour", late="2 hours"))
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "mean": F.round("mean", 6)})
 

@@ -24,6 +24,25 @@ def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: i
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
+ROWS_A_FILE = 5_000_000
+
+
+def replay(df: DataFrame, at: str, parts: int = 4) -> DataFrame:
+    """A table as a stream in the order of its times: cut at quantiles of the time into as many files, one a micro-batch, written one after the
+    other, as a stream takes files by age. Rows without time come first. For tests and for tables of moderate size, as it reads the table once a part; a
+    part has at most about ROWS_A_FILE rows."""
+    spark = df.sparkSession
+    parts = max(parts, df.count() // ROWS_A_FILE)
+    place = f"{run_dir(spark)}/replay-{uuid.uuid4().hex}"
+    typed = df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"})
+    when = F.coalesce(F.unix_micros(F.col(at)), F.lit(-(2**62))).cast("double")
+    bounds = sorted(set(typed.select(when.alias("w")).approxQuantile("w", [i / parts for i in range(1, parts)], 0.01)))
+    for lo, hi in zip([None, *bounds], [*bounds, None]):
+        own = typed.where((F.lit(True) if lo is None else when > lo) & (F.lit(True) if hi is None else when <= hi))
+        own.coalesce(1).write.mode("append").parquet(place)
+    return spark.readStream.schema(typed.schema).option("maxFilesPerTrigger", 1).parquet(place)
+
+
 def _marked(rows: DataFrame, at: str, late: str | None, forget: int | None) -> tuple[DataFrame, str]:
     if forget is not None and late is None:
         raise ValueError("state can be dropped only by a watermark: give late, too")
