@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from oddsloom.plans.materialize import table as stored
 BUCKETS = 4096
 #: Temperatures tried: the mean log-likelihood of a text's tokens counts as so many tokens, or as many as the text has.
 TEMPERATURES = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
+#: The temperature is judged by at most about so many documents, drawn by a hash of the identifier.
+JUDGED = 20_000
 #: How often the source that the table names is the domain.
 TRUST = 0.98
 #: Tokens of texts scored at a time in a task.
@@ -36,7 +39,7 @@ SLOTS = 4096
 #: How often the room that is left in a source is offered to smaller documents.
 FILLS = 3
 #: The targets are a small table that goes to every executor; a longer one is an error.
-MOST_TARGETS = 10_000
+MOST_TARGETS = 1_000
 
 
 def encoded(documents: DataFrame, *, ident: str, text: str, source: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -46,28 +49,32 @@ def encoded(documents: DataFrame, *, ident: str, text: str, source: str, vocabul
     def run(batches):
         enc = encoding(vocabulary)
         for b in batches:
-            tokens = [np.asarray(t, dtype=np.int64) % BUCKETS for t in enc.encode_ordinary_batch([t or "" for t in b["t"]], num_threads=1)]
-            yield b[["i", "source"]].assign(n_tokens=[len(t) for t in tokens], b=[t.astype(np.int16) for t in tokens])
+            tokens = [enc.encode_to_numpy(t or "", disallowed_special=()) for t in b.column("t").to_pylist()]
+            sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+            flat = (np.concatenate(tokens) % BUCKETS).astype(np.int16) if sizes.sum() else np.zeros(0, dtype=np.int16)
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("source"), pa.array(sizes), _lists(flat, sizes)], names=["i", "source", "n_tokens", "b"])
 
     work = documents.where(F.col(ident).isNotNull()).select(F.col(ident).alias("i"), F.col(source).alias("source"), F.col(text).alias("t"))
-    return work.mapInPandas(run, f"i {kind}, source string, n_tokens long, b array<smallint>")
-
-
-def _likelihoods(like: np.ndarray, texts: list, sizes: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood of the tokens of each text under each domain; about CHUNK tokens at a time."""
-    mean = np.zeros((len(texts), len(like)))
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), CHUNK)) + lo)
-        flat = np.concatenate(texts[lo:hi]).astype(np.int64) if sizes[lo:hi].sum() else np.zeros(0, dtype=np.int64)
-        if hi == lo + 1:
-            mean[lo] = sum((like[:, flat[j : j + CHUNK]].sum(axis=1) for j in range(0, len(flat), CHUNK)), np.zeros(len(like)))
-        else:
-            row = np.repeat(np.arange(hi - lo), sizes[lo:hi])
-            for k in range(len(like)):
-                mean[lo:hi, k] = np.bincount(row, weights=like[k, flat], minlength=hi - lo)
-        lo = hi
-    return mean / np.maximum(sizes, 1)[:, None]
+    return work.mapInArrow(run, f"i {kind}, source string, n_tokens long, b array<smallint>")
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _likelihoods(like: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Mean log-likelihood of the tokens of each text under each domain; about CHUNK tokens at a time, a longer text piece by piece."""
+    total = np.zeros((len(sizes), len(like)))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    for lo in range(0, len(flat), CHUNK):
+        own, at = flat[lo : lo + CHUNK].astype(np.int64), row[lo : lo + CHUNK]
+        for k in range(len(like)):
+            total[at[0] : at[-1] + 1, k] += np.bincount(at - at[0], weights=like[k, own])
+    return total / np.maximum(sizes, 1)[:, None]
 
 
 def _softmax(score: np.ndarray) -> np.ndarray:
@@ -87,54 +94,54 @@ def posteriors(told: DataFrame, domains: list[str], trust: float = TRUST) -> Dat
     Multinomial Bayes over token buckets with counts from all documents of a named source (the model has len(domains) * BUCKETS numbers);
     priors are the domains' numbers of documents. The temperature is the one at which the model of one half of those documents gives the
     other half's sources the highest likelihood. Documents without tokens have the priors for a text."""
-    at = {d: i for i, d in enumerate(domains)}
-    spark = told.sparkSession
-    half = F.pmod(F.xxhash64(F.lit(11), "i"), F.lit(2)).cast("int")
-    known = told.where(F.col("source").isin(domains)).select("source", "n_tokens", "b", half.alias("half"))
+    spark, size = told.sparkSession, len(domains)
+    number = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("source"))
+    told = told.withColumns({"k": F.coalesce(number - 1, F.lit(-1)).cast("int"), "half": F.pmod(F.xxhash64(F.lit(11), "i"), F.lit(2)).cast("int")})
+    known = told.where("k >= 0").select("k", "half", "n_tokens", "b")
 
     def count(batches):
-        sums = np.zeros((2 * len(domains), BUCKETS + 1), dtype=np.int64)
+        tokens, texts = np.zeros(2 * size * BUCKETS, dtype=np.int64), np.zeros(2 * size, dtype=np.int64)
         for b in batches:
-            for (s, h), own in b.groupby(["source", "half"])["b"]:
-                sums[2 * at[s] + h, :BUCKETS] += np.bincount(np.concatenate(own.to_list()), minlength=BUCKETS)
-                sums[2 * at[s] + h, BUCKETS] += len(own)
-        k, bucket = np.nonzero(sums)
-        if len(k):
-            yield pd.DataFrame({"k": k, "bucket": bucket, "n": sums[k, bucket]})
-
-    counted = known.mapInPandas(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros((2 * len(domains), BUCKETS + 1))
-    n[counted["k"].to_numpy(), counted["bucket"].to_numpy()] = counted["n"]
+            group = b.column("k").to_numpy().astype(np.int64) * 2 + b.column("half").to_numpy()
+            tokens += np.bincount(np.repeat(group, b.column("n_tokens").to_numpy()) * BUCKETS + _flat(b.column("b")), minlength=len(tokens))
+            texts += np.bincount(group, minlength=len(texts))
+        sums = np.column_stack([tokens.reshape(2 * size, BUCKETS), texts])
+        g, bucket = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[g, bucket])], names=["g", "bucket", "n"])
+
+    counted = known.mapInArrow(count, "g int, bucket int, n long").groupBy("g", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros((2 * size, BUCKETS + 1))
+    n[counted["g"].to_numpy(), counted["bucket"].to_numpy()] = counted["n"]
     first = spark.sparkContext.broadcast(_model(n[0::2]))
     scale = lambda sizes, t: np.minimum(sizes, t)[:, None]
 
     def judge(batches):
         like, prior = first.value
         for b in batches:
-            sizes, k = b["n_tokens"].to_numpy(np.int64), b["source"].map(at).to_numpy(int)
-            mean = _likelihoods(like, b["b"].to_list(), sizes)
-            told = [np.log(_softmax(prior + mean * scale(sizes, t))[np.arange(len(k)), k] + 1e-12).sum() for t in TEMPERATURES]
-            yield pd.DataFrame({"t": TEMPERATURES, "v": told})
-
-    judged = known.where("half = 1").mapInPandas(judge, "t double, v double").groupBy("t").agg(F.sum("v").alias("v")).toPandas().sort_values("t")
+            sizes, k = b.column("n_tokens").to_numpy(), b.column("k").to_numpy()
+            mean = _likelihoods(like, _flat(b.column("b")), sizes)
+            got = [float(np.log(_softmax(prior + mean * scale(sizes, t))[np.arange(len(k)), k] + 1e-12).sum()) for t in TEMPERATURES]
+            yield pa.RecordBatch.from_arrays([pa.array(TEMPERATURES, pa.float64()), pa.array(got, pa.float64())], names=["t", "v"])
+
+    other = float(n[1::2, BUCKETS].sum())
+    drawn = told.where((F.col("k") >= 0) & (F.col("half") == 1) & (F.pmod(F.xxhash64(F.lit(12), "i"), F.lit(max(1, int(other // JUDGED)))) == 0))
+    judged = drawn.select("k", "n_tokens", "b").mapInArrow(judge, "t double, v double").groupBy("t").agg(F.sum("v").alias("v")).toPandas().sort_values("t")
     heat = float(judged["t"].iloc[judged["v"].argmax()]) if len(judged) else 0.0
     model = spark.sparkContext.broadcast(_model(n[0::2] + n[1::2]))
 
     def predict(batches):
         like, prior = model.value
         for b in batches:
-            sizes = b["n_tokens"].to_numpy(np.int64)
-            p = _softmax(prior + _likelihoods(like, b["b"].to_list(), sizes) * scale(sizes, heat))
-            k = b["source"].map(at).fillna(-1).to_numpy(int)
-            if len(domains) > 1:
+            sizes, k = b.column("n_tokens").to_numpy(), b.column("k").to_numpy()
+            p = _softmax(prior + _likelihoods(like, _flat(b.column("b")), sizes) * scale(sizes, heat))
+            if size > 1:
                 named = k >= 0
-                label = np.full((int(named.sum()), len(domains)), (1 - trust) / (len(domains) - 1))
+                label = np.full((int(named.sum()), size), (1 - trust) / (size - 1))
                 label[np.arange(len(label)), k[named]] = trust
                 p[named] = p[named] * label / (p[named] * label).sum(axis=1, keepdims=True)
-            yield b.drop(columns="b").assign(k=k, p=list(p))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("i", "source", "n_tokens", "k")], _lists(p.ravel(), np.full(len(p), size))], names=["i", "source", "n_tokens", "k", "p"])
 
-    schema = ", ".join(f"{c} {t}" for c, t in told.dtypes if c != "b")
-    return told.mapInPandas(predict, f"{schema}, k int, p array<double>")
+    return told.drop("half").mapInArrow(predict, f"i {dict(told.dtypes)['i']}, source string, n_tokens long, k int, p array<double>")
 
 
 def rates(own: np.ndarray, k: np.ndarray, dual: np.ndarray, start: np.ndarray, caps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,15 +176,14 @@ def fit_rates(told: DataFrame, targets: np.ndarray, caps: np.ndarray, start: np.
             for b in batches:
                 if not len(b):
                     continue
-                rows, rate, free = rates(np.stack(b["p"].to_list()), b["k"].to_numpy(np.int64), at.value, start, caps)
-                n = b["n_tokens"].to_numpy(np.float64) / total
+                rows, rate, free = rates(_flat(b.column("p")).reshape(-1, size), b.column("k").to_numpy().astype(np.int64), at.value, start, caps)
+                n = b.column("n_tokens").to_numpy() / total
                 out[:, 0] += rows.T @ (n * rate)
                 out[:, 1:] += (rows * (n * free)[:, None]).T @ rows
             i, j = np.nonzero(out)
-            if len(i):
-                yield pd.DataFrame({"i": i, "j": j, "v": out[i, j]})
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(out[i, j])], names=["i", "j", "v"])
 
-        got = told.select("n_tokens", "k", "p").mapInPandas(add, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+        got = told.select("n_tokens", "k", "p").mapInArrow(add, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
         out = np.zeros((2 * size, 2 * size + 1))
         out[got["i"].to_numpy(), got["j"].to_numpy()] = got["v"]
         off = goal - out[:, 0] - INERTIA * dual
@@ -193,7 +199,7 @@ def fit_rates(told: DataFrame, targets: np.ndarray, caps: np.ndarray, start: np.
         if now[2] >= error:  # documents reached their bounds on the way
             damp *= 8
             continue
-        done = now[2] > error * (1 - 1e-3)
+        done = now[2] > error * (1 - 1e-2)
         dual, damp, (off, normal, error) = dual + step, damp / 8, now
         if done:
             break
@@ -229,14 +235,14 @@ def memberships(documents: DataFrame, targets: DataFrame, *, ident: str, text: s
 
     def rated(batches):
         for b in batches:
-            if len(b):
-                p, k = np.stack(b["p"].to_list()), b["k"].to_numpy(np.int64)
-                rate = rates(p, k, shared.value, start, caps)[1]
-                top = p.argmax(axis=1)
-                yield b.assign(rate=rate, cap=np.where(k >= 0, caps[k], caps[top]).astype(np.int64), domain=np.where(k >= 0, k, top))
+            p, k = _flat(b.column("p")).reshape(-1, size), b.column("k").to_numpy().astype(np.int64)
+            rate = rates(p, k, shared.value, start, caps)[1] if len(k) else np.zeros(0)
+            top = p.argmax(axis=1)
+            more = [pa.array(rate), pa.array(np.where(k >= 0, caps[k], caps[top]).astype(np.int64)), pa.array(np.where(k >= 0, k, top).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "rate", "cap", "domain"])
 
     schema = ", ".join(f"{c} {t}" for c, t in told.dtypes)
-    found = stored(told.mapInPandas(rated, f"{schema}, rate double, cap long, domain int"))
+    found = stored(told.mapInArrow(rated, f"{schema}, rate double, cap long, domain int"))
 
     # sequential Poisson sampling: of each source, and of those of unknown source together, the documents with the least quotient of hash
     # and open part get a copy more, as far as the tokens go that the source still lacks; what room is then left goes the same way to
