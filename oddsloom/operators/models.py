@@ -81,31 +81,36 @@ def fit_rates(p_home: np.ndarray, p_draw: np.ndarray, line: np.ndarray | None =
     total = np.zeros(n, dtype=bool) if p_over is None else np.isfinite(p_over)
     lines = np.zeros(n) if line is None else np.nan_to_num(line)
 
-    def residual(x: np.ndarray) -> np.ndarray:
+    anchor = np.zeros(n) if p_over is None else np.nan_to_num(p_over)
+
+    def residual(x: np.ndarray, at: np.ndarray) -> np.ndarray:
         m = score_matrices(np.exp(x[:, 0]), np.exp(x[:, 1]), rho=rho)
         r = results(m)
         i, j = _grid(GOALS)
-        second = np.where(total, (m * ((i + j)[None] > lines[:, None, None])).sum((1, 2)) - (0 if p_over is None else np.nan_to_num(p_over)), r[:, 1] - p_draw)
-        return np.column_stack([r[:, 0] - p_home, second])
+        second = np.where(total[at], (m * ((i + j)[None] > lines[at, None, None])).sum((1, 2)) - anchor[at], r[:, 1] - p_draw[at])
+        return np.column_stack([r[:, 0] - p_home[at], second])
 
-    r = residual(x)
+    every, bound, eps = np.arange(n), np.log(RATES), 1e-5
+    r = residual(x, every)
     for _ in range(60):
-        if np.abs(r).max(initial=0) < 1e-11:
+        # an event is done on its own, whatever the others of its batch need
+        own = every[np.abs(r).max(axis=1) >= 1e-11]
+        if not len(own):
             break
-        eps = 1e-5
-        jac = np.stack([(residual(x + eps * np.eye(2)[c]) - r) / eps for c in range(2)], axis=2)
+        y, q = x[own], r[own]
+        jac = np.stack([(residual(y + eps * np.eye(2)[c], own) - q) / eps for c in range(2)], axis=2)
         det = jac[:, 0, 0] * jac[:, 1, 1] - jac[:, 0, 1] * jac[:, 1, 0]
         det = np.where(np.abs(det) < 1e-14, np.inf, det)
-        step = -np.column_stack([(jac[:, 1, 1] * r[:, 0] - jac[:, 0, 1] * r[:, 1]) / det, (jac[:, 0, 0] * r[:, 1] - jac[:, 1, 0] * r[:, 0]) / det])
-        size, best, bound = np.ones(n), np.linalg.norm(r, axis=1), np.log(RATES)
+        step = -np.column_stack([(jac[:, 1, 1] * q[:, 0] - jac[:, 0, 1] * q[:, 1]) / det, (jac[:, 0, 0] * q[:, 1] - jac[:, 1, 0] * q[:, 0]) / det])
+        size, best, open_ = np.ones(len(own)), np.linalg.norm(q, axis=1), np.arange(len(own))
         for _ in range(20):
-            trial = residual(np.clip(x + size[:, None] * step, *bound))
-            worse = np.linalg.norm(trial, axis=1) >= best
-            if not worse.any():
+            trial = residual(np.clip(y[open_] + size[open_, None] * step[open_], *bound), own[open_])
+            open_ = open_[np.linalg.norm(trial, axis=1) >= best[open_]]
+            if not len(open_):
                 break
-            size = np.where(worse, size / 2, size)
-        x = np.clip(x + size[:, None] * step, *bound)
-        r = residual(x)
+            size[open_] /= 2
+        x[own] = np.clip(y + size[:, None] * step, *bound)
+        r[own] = residual(x[own], own)
     return np.exp(x[:, 0]), np.exp(x[:, 1]), np.linalg.norm(r, axis=1)
 
 
@@ -203,17 +208,31 @@ def rates(anchors: DataFrame, key: list[str], method: str = "power") -> DataFram
     return _spread(anchors).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", lh double, la double, residual double")
 
 
+#: Fixed value: events of which sheets are held in memory at once.
+SHEETS_AT_ONCE = 1000
+
+
+def _parts(batches):
+    for b in batches:
+        for i in range(0, len(b), SHEETS_AT_ONCE):
+            yield b.iloc[i : i + SHEETS_AT_ONCE].reset_index(drop=True)
+
+
+def _priced(b: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Keys of the sheet, and by event and key the chance and the least chance at the other shares."""
+    lh, la = b["lh"].to_numpy(float), b["la"].to_numpy(float)
+    main, others = price_sheet(lh, la), [price_sheet(lh, la, x) for x in OTHER_SHARES]
+    names = list(main)
+    return names, np.column_stack([main[n] for n in names]), np.minimum.reduce([np.column_stack([o[n] for n in names]) for o in others])
+
+
 def sheets(fitted: DataFrame, key: list[str]) -> DataFrame:
     """Long sheet: key, market, prob, odds and robust_lo, the least chance at the other shares of the first half."""
     kinds = dict(fitted.dtypes)
 
     def run(batches):
-        for b in batches:
-            lh, la = b["lh"].to_numpy(float), b["la"].to_numpy(float)
-            main, others = price_sheet(lh, la), [price_sheet(lh, la, x) for x in OTHER_SHARES]
-            names = list(main)
-            prob = np.column_stack([main[n] for n in names])
-            least = np.minimum.reduce([np.column_stack([o[n] for n in names]) for o in others])
+        for b in _parts(batches):
+            names, prob, least = _priced(b)
             out = pd.DataFrame({"market": np.tile(names, len(b)), "prob": prob.ravel(), "robust_lo": least.ravel()})
             for k in key:
                 out[k] = np.repeat(b[k].to_numpy(), len(names))
@@ -225,7 +244,37 @@ def sheets(fitted: DataFrame, key: list[str]) -> DataFrame:
 
 def model_values(posted: DataFrame, sheet: DataFrame, key: list[str]) -> DataFrame:
     """Posted prices of derived markets that beat the model's fair ones; robust if they do at the other shares, too. posted: key, market, posted."""
-    j = posted.where(~F.col("market").startswith("ft_1x2:") & (F.col("posted") >= SHORTEST)).join(sheet, [*key, "market"]).where(F.col("odds") <= LONGEST)
+    return _better(_derived(posted).join(sheet, [*key, "market"]), key)
+
+
+def posted_values(posted: DataFrame, fitted: DataFrame, key: list[str]) -> DataFrame:
+    """model_values() on the sheets of fitted rates (key, lh, la). Each event's posted prices meet its sheet where it is made, so no sheet, hundreds
+    of rows an event, is shuffled or taken for small and broadcast. An event's posted prices are of bounded number."""
+    kinds = dict(fitted.dtypes)
+
+    def run(batches):
+        for b in _parts(batches):
+            names, prob, least = _priced(b)
+            place = {n: i for i, n in enumerate(names)}
+            sizes = [len(p) for p in b["_posted"]]
+            told = [(place.get(r["market"], -1), r["market"], r["posted"]) for p in b["_posted"] for r in p]
+            col, row = np.array([t[0] for t in told], dtype=int), np.repeat(np.arange(len(b)), sizes)
+            known = col >= 0
+            out = b.loc[row[known], key].reset_index(drop=True)
+            chance = prob[row[known], col[known]]
+            yield out.assign(market=[t[1] for t in told if t[0] >= 0], posted=[t[2] for t in told if t[0] >= 0], prob=chance, odds=1 / np.maximum(chance, 1e-12), robust_lo=least[row[known], col[known]])
+
+    by = _derived(posted).groupBy(*key).agg(F.collect_list(F.struct("market", "posted")).alias("_posted"))
+    rows = _spread(fitted.select(*key, "lh", "la").join(by, key))
+    return _better(rows.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", market string, posted double, prob double, odds double, robust_lo double"), key)
+
+
+def _derived(posted: DataFrame) -> DataFrame:
+    return posted.where(~F.col("market").startswith("ft_1x2:") & (F.col("posted") >= SHORTEST))
+
+
+def _better(j: DataFrame, key: list[str]) -> DataFrame:
+    j = j.where(F.col("odds") <= LONGEST)
     least = F.when((F.col("odds") > 8.0) | F.col("market").startswith("cs:"), LEAST_EV_TAIL).otherwise(LEAST_EV)
     j = j.withColumns({"ev": F.col("posted") * F.col("prob") - 1, "robust": F.col("posted") * F.col("robust_lo") - 1 >= least})
     return j.where(F.col("ev") >= least).select(*key, "market", "posted", F.col("odds").alias("fair"), "ev", "robust")

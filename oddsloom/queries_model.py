@@ -64,7 +64,7 @@ def price_sheet(spark, d):
 @_query()
 def model_ev(spark, d):
     posted = idn.posted_sheet(_board(spark, d)).withColumnRenamed("key", "market")
-    return mo.model_values(posted, price_sheet(spark, d), EVENT)
+    return mo.posted_values(posted, goal_rates(spark, d), EVENT)
 
 
 @_query()
