@@ -81,7 +81,7 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
     """(source, sport, event, ref_event, flipped, score, gap_seconds): every soft source's events matched with the reference's by the fuzzy matcher."""
     e = table(spark, d, "book_events")
     rows = e.select(F.col("event_id").alias("id"), "book", "sport", "home", "away", "league", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', start_time)").alias("start"))
-    found = fx.match_fixtures(rows.where(F.col("book") != REFERENCE), rows.where(F.col("book") == REFERENCE), ("book",))[0]
+    found = fx.matches(rows.where(F.col("book") != REFERENCE), rows.where(F.col("book") == REFERENCE), ("book",))
     a = e.select(F.col("event_id").alias("a_id"), F.col("book").alias("source"), "sport", F.col("source_event_id").alias("event"))
     b = e.select(F.col("event_id").alias("b_id"), F.col("source_event_id").alias("ref_event"))
     return found.join(a, "a_id").join(b, "b_id").select("source", "sport", "event", "ref_event", "flipped", F.col("mean").alias("score"), F.col("gap").alias("gap_seconds"))
