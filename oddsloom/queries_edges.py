@@ -73,7 +73,7 @@ def arb_edges(spark, d):
 @_query()
 def opportunities(spark, d):
     """The feed over all sports and soft sources: value and arbitrage rows with the confidence of their match, the largest edge first by place."""
-    o = gr.opportunities(_joined(spark, d))
+    o = gr.opportunities(stored(_joined(spark, d)))  # read three times
     w = Window.partitionBy("kind", "sport").orderBy(F.col("edge").desc(), "odds_id", "side")
     return o.withColumn("place", F.row_number().over(w)).withColumns({"edge": F.round("edge", 5), "ref_price": F.round("ref_price", 6)})
 
