@@ -9,7 +9,7 @@ from oddsloom.operators import fixture_blocks as fb
 from oddsloom.operators import fixtures as fx
 
 D = "/root/testdata/sf0.001"
-RESOLVED = ["ev_edges", "arb_edges", "matches_resolved", "opportunities"]
+RESOLVED = ["ev_edges", "arb_edges", "matches_resolved", "opportunities", "shared_id_grid"]
 
 
 def test_bounds_are_never_below_the_likeness():
