@@ -3,7 +3,7 @@ prices, edges, stakes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsloom.operators import board as bo
@@ -11,6 +11,15 @@ from oddsloom.operators import board as bo
 MARKET = ["sport", "meeting", "market_type", "period", "line", "submarket", "team_side"]
 
 
+def _line_as_text(df: DataFrame) -> DataFrame:
+    """Rows spread by a double are spread again to be grouped by it, as Spark takes its zeros as equal; by a text they are not. Minus nought is nought."""
+    return df.withColumn("line", (F.col("line") + 0.0).cast("string"))
+
+
+def _line_as_number(df: DataFrame) -> DataFrame:
+    return df.withColumn("line", F.col("line").cast("double"))
+
+
 def meetings(board: DataFrame, pairs: DataFrame, shared: str = "sr_match_id") -> DataFrame:
     """(source, sport, event, meeting, own, flipped): the shared id of each event. own: given by its source. Events of sources that give none get it from a
     reference event with which both they and an event with an id are matched (of several ids the one that sorts first).
@@ -25,16 +34,17 @@ def meetings(board: DataFrame, pairs: DataFrame, shared: str = "sr_match_id") ->
 
 def priced_markets(board: DataFrame, known: DataFrame) -> DataFrame:
     """(MARKET, side, source, price): the best price of each source. Markets exist by the sources that give the id; others only add to them."""
-    rows = bo.flip_quotes(board.join(known, ["source", "sport", "event"]), "flipped").withColumn("line", F.round("line", 2))
-    q = bo.long_quotes(rows, *MARKET, "source", "own").groupBy(*MARKET, "side", "source").agg(F.max("price").alias("price"), F.max("own").alias("own"))
-    text = {f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in MARKET}
-    there = q.where("own").select(*[e.alias(n) for n, e in text.items()]).distinct()
-    return q.withColumns(text).join(there, list(text), "left_semi").drop(*text, "own")
+    rows = _line_as_text(bo.flip_quotes(board.join(known, ["source", "sport", "event"]), "flipped").withColumn("line", F.round("line", 2)))
+    q = bo.long_quotes(rows, *MARKET, "source", "own").repartition(*MARKET).groupBy(*MARKET, "side", "source").agg(F.max("price").alias("price"), F.max("own").alias("own"))
+    return _line_as_number(q.withColumn("_there", F.max("own").over(Window.partitionBy(*MARKET))).where("_there").drop("_there", "own"))
 
 
 def fair_prices(board: DataFrame, reference: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(MARKET, side, fair): the reference's price without margin for markets of sources that give the id (of several the largest)."""
-    j = bo.fair_sides(bo.closest_line(board.drop("own").join(known.where("own").select("source", "sport", "event", "meeting"), ["source", "sport", "event"]), reference, pairs), "ref_selections").where("fair IS NOT NULL")
+    on = ["source", "sport", "event"]
+    own = known.where("own").select(*on, "meeting")
+    near = bo.closest_line(board.select("odds_id", *on, *bo.SPEC, "line").join(own, on), reference, pairs.join(own.select(*on), on, "left_semi"))
+    j = bo.fair_sides(near, "ref_selections").where("fair IS NOT NULL")
     return j.withColumn("line", F.round("line", 2)).select(*MARKET, F.explode("fair").alias("side", "p")).where("p > 0").groupBy(*MARKET, "side").agg(F.max(1 / F.col("p")).alias("fair"))
 
 
@@ -44,23 +54,21 @@ def best_lines(priced: DataFrame, fair: DataFrame | None = None, *, least: float
 
     Kept are markets whose best edge (kind 'ev'), arbitrage ('arb') or either (None) is at least `least` percent. A market has three sides if
     a draw is priced in a moneyline, else two."""
-    sides = priced.groupBy(*MARKET, "side").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "price")))).alias("prices"), F.count("*").alias("sources"), F.max_by(F.struct("source", "price"), F.struct("price", "source")).alias("best")
-    )
-    safe = lambda df, n: df.withColumns({f"_{n}{c}": F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in MARKET})
-    key = [f"_{c}" for c in MARKET]
-    sides = safe(sides.select(*MARKET, "side", "prices", "sources", F.col("best.source").alias("best_source"), F.col("best.price").alias("best_price")), "")
-    if fair is None:
-        sides = sides.withColumn("fair", F.lit(None).cast("double"))
-    else:
-        sides = sides.join(safe(fair, "").select(*key, "side", "fair"), [*key, "side"], "left")
+    rows = priced.select(*MARKET, "side", "source", "price", F.lit(None).cast("double").alias("fair"))
+    if fair is not None:
+        rows = rows.unionByName(fair.select(*MARKET, "side", "fair"), allowMissingColumns=True)
+    quote = lambda *c: F.when(F.col("price").isNotNull(), F.struct(*c))
+    sides = _line_as_text(rows).repartition(*MARKET).groupBy(*MARKET, "side").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(quote("source", "price")))).alias("prices"), F.count("price").alias("sources"), F.max_by(quote("source", "price"), quote("price", "source")).alias("best"), F.max("fair").alias("fair")
+    ).where("sources > 0")
+    sides = sides.select(*MARKET, "side", "prices", "sources", F.col("best.source").alias("best_source"), F.col("best.price").alias("best_price"), "fair")
     sides = sides.withColumn("edge_pct", (F.col("best_price") / F.col("fair") - 1) * 100)
-    by = sides.groupBy(*key).agg(F.count("*").alias("n"), F.max("sources").alias("most"), F.max(((F.col("side") == "draw") & (F.col("market_type") == "moneyline")).cast("int")).alias("draw"), F.sum(1 / F.col("best_price")).alias("implied"), F.max("edge_pct").alias("top"))
-    arb = F.when((F.col("n") >= F.when(F.col("draw") == 1, 3).otherwise(2)) & (F.col("implied") < 1), (1 - F.col("implied")) * 100)
-    by = by.where("most >= 2").withColumn("arb_pct", arb)
-    ev, ar = F.coalesce(F.col("top") >= least, F.lit(False)), F.coalesce(F.col("arb_pct") >= least, F.lit(False))
-    by = by.where(ev if kind == "ev" else ar if kind == "arb" else ev | ar)
-    return sides.join(by.select(*key, "arb_pct"), key).drop(*key)
+    all_of = lambda f: f.over(Window.partitionBy(*MARKET))
+    draw = F.max(((F.col("side") == "draw") & (F.col("market_type") == "moneyline")).cast("int"))
+    by = sides.withColumns({"_n": all_of(F.count("*")), "_most": all_of(F.max("sources")), "_draw": all_of(draw), "_implied": all_of(F.sum(1 / F.col("best_price"))), "_top": all_of(F.max("edge_pct"))}).where("_most >= 2")
+    by = by.withColumn("arb_pct", F.when((F.col("_n") >= F.when(F.col("_draw") == 1, 3).otherwise(2)) & (F.col("_implied") < 1), (1 - F.col("_implied")) * 100))
+    ev, ar = F.coalesce(F.col("_top") >= least, F.lit(False)), F.coalesce(F.col("arb_pct") >= least, F.lit(False))
+    return _line_as_number(by.where(ev if kind == "ev" else ar if kind == "arb" else ev | ar).drop("_n", "_most", "_draw", "_implied", "_top"))
 
 
 def arb_legs(priced: DataFrame, least: float = 0.0) -> DataFrame:

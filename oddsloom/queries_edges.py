@@ -159,6 +159,7 @@ def matches_resolved(spark, d):
 
 def _shared(spark, d, pairs):
     soft, ref = _both(spark, d)
+    soft = soft.select("odds_id", "source", "sport", "event", *bo.SPEC, "line", "selections", "sr_match_id")
     soft, pairs = stored(soft), stored(pairs)
     known = stored(gr.meetings(soft, pairs))
     return soft, ref, pairs, known
