@@ -32,3 +32,25 @@ def test_fixtures_scored_as_arrays_are_as_one_by_one(monkeypatch):
     plain = np.flatnonzero(names.fits)
     monkeypatch.setattr(fb, "token_set", None)
     names.likeness(rng.choice(plain, 1000), rng.choice(plain, 1000))
+
+
+def test_unknown_kickoffs_meet_by_bounds_not_below_the_likeness():
+    said = _names()
+    names = fb.Names(said)
+    every = np.arange(len(said))
+    i, j = np.divmod(np.arange(len(said) ** 2), len(said))
+    half = fb._half_bounds(names, every, every, fx.MEDIUM)
+    lifted = np.where(names.short[i] | names.short[j], fx.MEDIUM, 0)
+    assert (half.ravel() == np.ceil(np.maximum(names.bound(i, j), lifted)).astype(int) // 2).all()
+    rows = lambda side, names_: pd.DataFrame({"n_home": [h for h, _ in names_], "n_away": [a for _, a in names_], "_kind": 1, "sport": "s", "_bk": 0, "_part": 0, "_side": side, "start": None, "win": 3600})
+    rng = random.Random(2)
+    soft, ref = ([(rng.choice(said), rng.choice(said)) for _ in range(n)] for n in (40, 90))
+    f = pd.concat([rows(0, soft), rows(1, ref + [(a, h) for h, a in soft])], ignore_index=True)
+    got = {(i, j): (m, low, flip) for i, j, m, low, flip in zip(*fb.candidates(f, fx._may_be_accepted, (fx.STRONG, fx.FLIP_MEAN, fx.MEDIUM)))}
+    n, want = f[["n_home", "n_away"]].to_numpy(), {}
+    for a in range(40):
+        for b in range(40, len(f)):
+            m = fx.likeness(*n[a], *n[b])[:3]
+            if m[0] >= fx.STRONG and m[1] >= fx.LEAST_SIDE:
+                want[a, b] = m
+    assert got == want and len(got) >= 30
