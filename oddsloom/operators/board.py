@@ -15,6 +15,7 @@ OPPOSITE = {"home": "away", "away": "home", "over": "under", "under": "over"}
 FALLING = ("home", "under")
 LINE_TOLERANCE = 0.01
 SPEC = ["market_type", "period", "submarket", "team_side"]
+BOARD_KEY = ["source", "sport", "event", *SPEC, "line"]
 
 
 def with_sides(odds: DataFrame) -> DataFrame:
@@ -28,14 +29,22 @@ def long_quotes(odds: DataFrame, *keep: str) -> DataFrame:
     return odds.select(*keep, F.explode(F.map_entries("selections")).alias("e")).select(*keep, F.col("e.key").alias("side"), valid(F.col("e.value")).alias("price")).where("price IS NOT NULL")
 
 
+def _event() -> Column:
+    return F.coalesce("raw_event_id", F.concat_ws("|", "home", "away"))
+
+
 def newest_board(odds: DataFrame) -> DataFrame:
     """Of every source, event, market line the row fetched last (ties: the larger id). Rows without event id are their own event."""
-    key = ["source", "sport", "event", *SPEC, "line"]
-    odds = odds.withColumn("event", F.coalesce("raw_event_id", F.concat_ws("|", "home", "away")))
-    w = Window.partitionBy(*key).orderBy(F.col("fetched_at").desc(), F.col("odds_id").desc())
+    odds = odds.withColumn("event", _event())
+    w = Window.partitionBy(*BOARD_KEY).orderBy(F.col("fetched_at").desc(), F.col("odds_id").desc())
     return odds.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def board_lines(odds: DataFrame) -> DataFrame:
+    """The keys of newest_board(), where it does not matter what was fetched last."""
+    return odds.withColumn("event", _event()).select(*BOARD_KEY).distinct()
+
+
 def same_spec(a: str, b: str) -> Column:
     """Equal market specification; null equals null."""
     out = F.lit(True)
@@ -45,35 +54,47 @@ def same_spec(a: str, b: str) -> Column:
 
 
 def flip_quotes(rows: DataFrame, flipped: str) -> DataFrame:
-    """Rows seen with the sides changed where the column is true: prices of home and away, the sign of a spread's line, the team of a team total."""
+    """Rows seen with the sides changed where the column is true: prices of home and away (if there are prices), the sign of a spread's line, the team of a
+    team total."""
     at = lambda k: F.try_element_at("selections", F.lit(k))
     swap = F.create_map(F.lit("home"), F.lit("away"), F.lit("away"), F.lit("home"))
     turned = F.map_filter(F.map_zip_with(F.transform_keys("selections", lambda k, _: F.coalesce(F.try_element_at(swap, k), k)), "selections", lambda k, v, _: v), lambda _, v: v.isNotNull())
     yes = F.coalesce(F.col(flipped), F.lit(False))
-    out = {"selections": F.when(yes & (at("home").isNotNull() | at("away").isNotNull()), turned).otherwise(F.col("selections"))}
+    out = {"selections": F.when(yes & (at("home").isNotNull() | at("away").isNotNull()), turned).otherwise(F.col("selections"))} if "selections" in rows.columns else {}
     out["line"] = F.when(yes & (F.col("market_type") == "spread"), -F.col("line")).otherwise(F.col("line"))
     out["team_side"] = F.when(yes, F.coalesce(F.try_element_at(swap, F.col("team_side")), F.col("team_side"))).otherwise(F.col("team_side"))
     return rows.withColumns(out)
 
 
-def closest_line(soft: DataFrame, ref: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each soft row the reference row of the matched event with the same specification and the nearest line within tolerance
-    (moneylines need none); ties keep the smaller id. pairs: source, event (of soft), ref_event and, if events are matched with their sides
-    changed, flipped; the reference's row is then seen with its sides changed, too. If pairs have a sport, events are of that sport.
+def _near_lines(soft: DataFrame, ref: DataFrame, pairs: DataFrame, **kept: str) -> DataFrame:
+    """Each soft row beside every reference row of the matched event with the same specification and a line within tolerance, with their gap. kept: further
+    columns of the reference by the names they get.
 
     The join is on event, specification and hundredths of the line, the reference side put into its own and both neighbouring
-    hundredths, so a tolerance is an equi-join."""
+    hundredths, so a tolerance is an equi-join. Where nothing is kept, rows are narrow and few a key, so they are met by hash, not sorted."""
+    met = lambda df: df if kept else df.hint("shuffle_hash")
     cents = lambda c: F.coalesce(F.round(c * 100).cast("long"), F.lit(-(10**9)))
     text = lambda c: F.coalesce(F.col(c), F.lit("~"))
     on = ["source", "event"] + (["sport"] if "sport" in pairs.columns else [])
     pairs = pairs if "flipped" in pairs.columns else pairs.withColumn("flipped", F.lit(False))
-    left = soft.join(pairs, on).withColumns({"_c": cents(F.col("line")), **{f"_{c}": text(c) for c in SPEC}})
-    right = ref.withColumnRenamed("event", "ref_event").join(pairs.select("ref_event", "flipped", *on[2:]).distinct(), ["ref_event", *on[2:]])
-    right = flip_quotes(right, "flipped").select("ref_event", "flipped", *on[2:], F.col("odds_id").alias("ref_id"), F.col("line").alias("ref_line"), F.col("selections").alias("ref_selections"), *[text(c).alias(f"_{c}") for c in SPEC], F.explode(F.array(cents(F.col("line")) - 1, cents(F.col("line")), cents(F.col("line")) + 1)).alias("_c"))
-    near = left.join(right, ["ref_event", "flipped", *on[2:], "_c", *[f"_{c}" for c in SPEC]]).withColumn("gap", F.coalesce(F.abs(F.col("line") - F.col("ref_line")), F.lit(0.0)))
-    near = near.where((F.col("gap") <= LINE_TOLERANCE + 1e-9) & F.col("line").isNull().eqNullSafe(F.col("ref_line").isNull()))
+    left = soft.join(met(pairs), on).withColumns({"_c": cents(F.col("line")), **{f"_{c}": text(c) for c in SPEC}})
+    right = ref.withColumnRenamed("event", "ref_event").join(met(pairs.select("ref_event", "flipped", *on[2:]).distinct()), ["ref_event", *on[2:]])
+    right = flip_quotes(right, "flipped").select("ref_event", "flipped", *on[2:], F.col("line").alias("ref_line"), *[F.col(c).alias(n) for n, c in kept.items()], *[text(c).alias(f"_{c}") for c in SPEC], F.explode(F.array(cents(F.col("line")) - 1, cents(F.col("line")), cents(F.col("line")) + 1)).alias("_c"))
+    near = left.join(met(right), ["ref_event", "flipped", *on[2:], "_c", *[f"_{c}" for c in SPEC]]).withColumn("gap", F.coalesce(F.abs(F.col("line") - F.col("ref_line")), F.lit(0.0)))
+    return near.where((F.col("gap") <= LINE_TOLERANCE + 1e-9) & F.col("line").isNull().eqNullSafe(F.col("ref_line").isNull())).drop("_c", *[f"_{c}" for c in SPEC])
+
+
+def closest_line(soft: DataFrame, ref: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each soft row the reference row of the matched event with the same specification and the nearest line within tolerance
+    (moneylines need none); ties keep the smaller id. pairs: source, event (of soft), ref_event and, if events are matched with their sides
+    changed, flipped; the reference's row is then seen with its sides changed, too. If pairs have a sport, events are of that sport."""
     w = Window.partitionBy("odds_id").orderBy("gap", "ref_id")
-    return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_c", *[f"_{c}" for c in SPEC])
+    return _near_lines(soft, ref, pairs, ref_id="odds_id", ref_selections="selections").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def met_lines(soft: DataFrame, ref: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The keys of the soft rows of closest_line(), from board_lines() of both."""
+    return _near_lines(soft, ref, pairs).select(*BOARD_KEY).distinct()
 
 
 def fair_sides(df: DataFrame, selections: str) -> DataFrame:

@@ -149,11 +149,12 @@ def _points(spark, d):
 @_query()
 def matches_resolved(spark, d):
     """Every soft event with its reference event, if it has one, the number of its lines and of those for which the reference has a line."""
-    soft, ref = _both(spark, d)
+    board = bo.board_lines(table(spark, d, "odds"))
+    soft, ref = board.where(F.col("source") != REFERENCE), board.where(F.col("source") == REFERENCE)
     pairs = stored(resolved(spark, d))
     on = ["source", "sport", "event"]
     lines = soft.groupBy(*on).agg(F.count("*").alias("lines"))
-    met = bo.closest_line(soft, ref, pairs).groupBy(*on).agg(F.count("*").alias("met"))
+    met = bo.met_lines(soft, ref, pairs).groupBy(*on).agg(F.count("*").alias("met"))
     return lines.join(pairs.groupBy(*on).agg(F.min("ref_event").alias("ref_event")), on, "left").join(met, on, "left").fillna(0, ["met"])
 
 
